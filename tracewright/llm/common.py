@@ -86,3 +86,14 @@ def fresh(df: DataFrame, name: str) -> str:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def with_rows(left: DataFrame, right: DataFrame, how: str, h: str = "h") -> DataFrame:
+    """left joined with right on the row's identity, doc_id and a hash of its text, either of which may be null.
+
+    doc_ids may repeat or be null, so a doc_id alone does not name a row. right is hinted to be broadcast only if it
+    is counted to be small. left's columns come first, then right's others.
+    """
+    names = [c for c in right.columns if c not in ("doc_id", "h")]
+    own = small(right.select(F.col("doc_id").alias("_right_id"), F.col("h").alias("_right_h"), *names))
+    return left.join(own, F.col("doc_id").eqNullSafe(F.col("_right_id")) & F.col(h).eqNullSafe(F.col("_right_h")), how).drop("_right_id", "_right_h")

@@ -35,9 +35,13 @@ def word_hashes(text: str | None) -> np.ndarray:
     A word's hash is a polynomial in its bytes modulo 2^64, taken from running sums over the text, so the
     cost is a few vector operations a byte. Long texts go piece by piece, cut between words.
     """
-    if not text:
+    return word_hashes_of(text.encode("utf-8", "surrogatepass").translate(WORD_BYTES) if text else b"")
+
+
+def word_hashes_of(data: bytes) -> np.ndarray:
+    """The same for bytes whose words are parted by blanks."""
+    if not data:
         return np.empty(0, np.uint64)
-    data = text.encode("utf-8", "surrogatepass").translate(WORD_BYTES)
     if len(data) <= _PIECE:
         return _hashes(data)
     out, at = [], 0
