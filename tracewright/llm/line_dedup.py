@@ -149,3 +149,18 @@ def dedup(docs: DataFrame, near_chars: int = NEAR_CHARS) -> DataFrame:
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return done.select("doc_id", "n_lines", "n_kept", "n_near", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("text_sha256"))
+
+
+def keep_lines(docs: DataFrame, near_chars: int = NEAR_CHARS) -> DataFrame:
+    """docs (all columns) with their repeated lines cut out; those that are left without a word go.
+
+    A text that had no word from the start stays. A column n_chars follows a text that has changed.
+    """
+    done = dedup(docs, near_chars)
+    added = [c for c in done.columns if c not in docs.columns]
+    n_lines, n_kept = added[0], added[1]
+    changed = F.col(n_kept) < F.col(n_lines)
+    kept = done.where(~(changed & (F.col("text") == "")))
+    if "n_chars" in docs.columns:
+        kept = kept.withColumn("n_chars", F.when(changed, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return kept.select(*docs.columns)

@@ -2,13 +2,27 @@
 
 from __future__ import annotations
 
+from tracewright.llm.decontamination import op9_decontamination
 from tracewright.llm.fingerprints import op10_fingerprints
+from tracewright.llm.language_id import op8_language_id
+from tracewright.llm.language_model import op5_language_model
+from tracewright.llm.licenses import op6_licenses
+from tracewright.llm.line_dedup import op3_line_dedup
+from tracewright.llm.near_duplicates import op4_near_duplicates
 from tracewright.llm.packing import op1_packing
+from tracewright.llm.personal_data import op7_personal_data
 from tracewright.llm.token_files import op2_token_files
 
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_token_files": op2_token_files,
+    "op3_line_dedup": op3_line_dedup,
+    "op4_near_duplicates": op4_near_duplicates,
+    "op5_language_model": op5_language_model,
+    "op6_licenses": op6_licenses,
+    "op7_personal_data": op7_personal_data,
+    "op8_language_id": op8_language_id,
+    "op9_decontamination": op9_decontamination,
     "op10_fingerprints": op10_fingerprints,
 }
 
