@@ -1 +1 @@
-
+"""Scalar functions and quantiles as column expressions."""

@@ -1 +1 @@
-
+"""Where frames, captures, signals and models come from."""
