@@ -92,6 +92,16 @@ def test_personal_data(spark, both):
     assert any(s["kind"] > 3 and s["probability"] >= 0.5 for r in got for s in r["spans"])
 
 
+def test_personal_data_query(spark):
+    docs = {r["doc_id"]: r["text"] for r in rows_of(spark.read.parquet(f"{DATA}/documents.parquet"))}
+    names = ["email", "ip", "card", "phone"]
+    for r in rows_of(personal_data.op7_personal_data(spark, DATA)):
+        want = brute_pii(docs[r["doc_id"]])
+        assert [r[f"n_{n}"] for n in names] == [sum(k == i for k, _, _ in want) for i in range(4)]
+        joined = ",".join(f"{names[k]}:{a}:{b}" for k, a, b in want)
+        assert r["base_sha256"] == hashlib.sha256(joined.encode()).hexdigest() and r["spans"].startswith(joined)
+
+
 def brute_hits(docs, items, n=13):
     windows = defaultdict(set)
     for item, text in items:

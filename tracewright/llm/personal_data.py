@@ -181,6 +181,9 @@ def _joined(spans: Column) -> Column:
 
 def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find(table(spark, sf_dir, "documents"))
-    count = [F.size(F.filter("spans", lambda x, k=k: x["kind"] == k)).cast("long").alias(f"n_{KINDS[k][0]}") for k in range(BASE)]
+
+    def count(k: int) -> Column:
+        return F.size(F.filter("spans", lambda x: x["kind"] == k)).cast("long").alias(f"n_{KINDS[k][0]}")
+
     base = F.filter("spans", lambda x: x["kind"] < BASE)
-    return found.select("doc_id", *count, F.sha2(_joined(base), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"))
+    return found.select("doc_id", *map(count, range(BASE)), F.sha2(_joined(base), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"))
