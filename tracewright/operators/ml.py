@@ -66,7 +66,7 @@ def forward(x: np.ndarray, net: dict[str, np.ndarray]) -> np.ndarray:
 def timing_net(bins: DataFrame, net: dict[str, np.ndarray]) -> DataFrame:
     """(window_id, attack_score) of windows' bins by a net of given weights; windows go through it in batches."""
     one = F.array_sort(F.collect_list(F.struct("bin", "log_frames", "log_ids", "log_watched")))
-    rows = bins.groupBy("window_id").agg(one.alias("b")).select("window_id", *[F.transform("b", lambda x, c=c: x[c]).alias(c) for c in ("log_frames", "log_ids", "log_watched")])
+    rows = bins.groupBy("window_id").agg(one.alias("b")).select("window_id", *[F.col(f"b.{c}").alias(c) for c in ("log_frames", "log_ids", "log_watched")])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in batches:
