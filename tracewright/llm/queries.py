@@ -26,4 +26,26 @@ QUERIES = {
     "op10_fingerprints": op10_fingerprints,
 }
 
-ORACLES: dict[str, str] = {}
+_WORDS = "list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '')"
+
+#: The others' results come from fitted models, signatures, token ids or numbers that SQL doesn't have; tests hold them against plain Python.
+ORACLES = {
+    "op3_line_dedup": """WITH each AS (SELECT doc_id, text, i AS line_no, lines[i] AS line, trim(regexp_replace(lower(lines[i]), '[ \\t\\x0B\\f\\r]+', ' ', 'g'), ' ') AS s FROM (
+        SELECT doc_id, text, lines, unnest(range(1, len(lines) + 1)) AS i FROM (SELECT doc_id, text, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents))),
+    firsts AS (SELECT s, min((doc_id, line_no)) AS first FROM each WHERE s <> '' GROUP BY s),
+    halves AS (SELECT s, first, unnest(['h' || m || '|' || substr(s, 1, m // 2), 't' || m || '|' || right(s, m - m // 2)]) AS half FROM (SELECT s, first, unnest([length(s), length(s) - 1]) AS m FROM firsts WHERE length(s) >= 20)),
+    near AS (SELECT DISTINCT a.s FROM halves a JOIN halves b USING (half) WHERE a.first > b.first AND abs(length(a.s) - length(b.s)) <= 1 AND levenshtein(a.s, b.s) <= 1),
+    marked AS (SELECT e.*, s <> '' AND (((e.doc_id, line_no) <> f.first) OR n.s IS NOT NULL) AS gone, n.s IS NOT NULL AND (e.doc_id, line_no) = f.first AS is_near FROM each e LEFT JOIN firsts f USING (s) LEFT JOIN near n USING (s))
+    SELECT doc_id, count(*) AS n_lines, count(*) FILTER (NOT coalesce(gone, FALSE)) AS n_kept, count(*) FILTER (gone AND is_near) AS n_near,
+        sha256(CASE WHEN NOT bool_or(coalesce(gone, FALSE)) THEN coalesce(any_value(text), '') WHEN bool_or(s <> '' AND NOT gone) THEN string_agg(line, chr(10) ORDER BY line_no) FILTER (NOT coalesce(gone, FALSE)) ELSE '' END) AS text_sha256
+    FROM marked GROUP BY doc_id""",
+    "op9_decontamination": f"""WITH items AS (SELECT CAST(item_id AS VARCHAR) AS item_id, {_WORDS} AS w FROM benchmark),
+    windows AS (SELECT DISTINCT item_id, k, array_to_string(w[b:b + k - 1], ' ') AS win FROM (SELECT item_id, w, least(len(w), 13) AS k, unnest(range(1, len(w) - least(len(w), 13) + 2)) AS b FROM items WHERE len(w) > 0)),
+    docs AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+    places AS (SELECT doc_id, k, b, array_to_string(w[b:b + k - 1], ' ') AS win FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS b FROM docs, (SELECT DISTINCT k FROM windows) WHERE len(w) >= k)),
+    hits AS (SELECT doc_id, b, k, item_id FROM places JOIN windows USING (k, win)),
+    hit AS (SELECT doc_id, count(DISTINCT place) AS n_hit FROM (SELECT doc_id, unnest(range(b, b + k)) AS place FROM hits) GROUP BY doc_id),
+    ids AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids FROM (SELECT DISTINCT doc_id, item_id FROM hits) GROUP BY doc_id)
+    SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+    FROM docs LEFT JOIN hit USING (doc_id) LEFT JOIN ids USING (doc_id)""",
+}
