@@ -322,6 +322,8 @@ def test_egress_and_actions(spark):
     assert nothing["escalation_rate"] == 0.0 and nothing["correction_rate"] is None and nothing["p95_latency_ms"] is None
     assert schema.violations(o, "outcomes").count() == 0
     assert {r["action"]: r["n"] for r in evaluate.action_counts(evaluate.actions(outputs(spark, SIX), "SIMULATED_ISOLATION")).collect()} == {"SIMULATED_ALERT": 0, "SIMULATED_FORWARD": 3, "SIMULATED_ISOLATION": 3}
+    said = evaluate.actions(outputs(spark, SIX)).where("window_id = 'w0'").first()["message"]
+    assert said == "[SIMULATION ONLY] SIMULATED_ALERT for window w0 (score 0.90, threshold 0.50)"
     assert evaluate.benchmark(spark.createDataFrame([], "latency_ms double")).first()["windows_per_s"] == 0.0
     show = spark.range(1).select(evaluate.display_outcome(F.lit("attack"), F.lit("ACCEPT")), evaluate.display_outcome(F.lit("normal"), F.lit("ATTACK")), evaluate.display_outcome(F.lit(None), F.lit("ATTACK"))).first()
     assert tuple(show) == ("missed", "false_alarm", None)

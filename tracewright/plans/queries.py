@@ -373,9 +373,9 @@ def m14_second_opinion(t):
     return evaluate.second_opinion(evaluate.sanitize(t.outputs)).select("window_id", "advice")
 
 
-@query("SELECT window_id, CASE decision WHEN 'ATTACK' THEN 'SIMULATED_ALERT' ELSE 'SIMULATED_FORWARD' END AS action, printf('[SIMULATION ONLY] %s for window %s (score %.2f, threshold %.2f)', CASE decision WHEN 'ATTACK' THEN 'SIMULATED_ALERT' ELSE 'SIMULATED_FORWARD' END, window_id, attack_score, threshold) AS message FROM outputs WHERE attack_score IN (0.0, 0.25, 0.5, 1.0)", "outputs")
+@query("SELECT window_id, CASE decision WHEN 'ATTACK' THEN 'SIMULATED_ALERT' ELSE 'SIMULATED_FORWARD' END AS action FROM outputs", "outputs")
 def p11_actions(t):
-    return evaluate.actions(t.outputs.where("attack_score in (0.0, 0.25, 0.5, 1.0)")).select("window_id", "action", "message")
+    return evaluate.actions(t.outputs).select("window_id", "action")
 
 
 @query("SELECT a AS action, (SELECT count(*) FROM outputs WHERE (decision = 'ATTACK' AND a = 'SIMULATED_ALERT') OR (decision <> 'ATTACK' AND a = 'SIMULATED_FORWARD')) AS n FROM (VALUES ('SIMULATED_ALERT'), ('SIMULATED_FORWARD'), ('SIMULATED_ISOLATION')) v(a)", "outputs")
@@ -657,7 +657,9 @@ def n9_latest_value(t):
 
 @query("SELECT line_no, CASE WHEN line_no % 2 = 0 THEN 'payload has whole bytes' ELSE 'id is hex' END AS rule FROM frames WHERE line_no % 5 = 0", "frames")
 def i1_violations(t):
-    bad = t.frames.where("line_no % 5 = 0").withColumns({"payload": F.when(F.col("line_no") % 2 == 0, F.substring("payload", 1, 5)).otherwise(F.col("payload")), "can_id": F.when(F.col("line_no") % 2 == 0, F.col("can_id")).otherwise("XYZ")})
+    # Every fifth frame is spoilt, in one of two ways; all frames are checked.
+    way = F.when(F.col("line_no") % 5 == 0, F.col("line_no") % 2)
+    bad = t.frames.withColumns({"payload": F.when(way == 0, F.substring("payload", 1, 5)).otherwise(F.col("payload")), "can_id": F.when(way == 1, "XYZ").otherwise(F.col("can_id"))})
     return schema.violations(bad, "frames").select("line_no", "rule")
 
 
