@@ -14,12 +14,13 @@ from __future__ import annotations
 
 import numpy as np
 
-BLOCK = 8192
+BLOCK = 4096
 #: Ids must be below this.
 ID_LIMIT = (1 << 18) - 1
 SYMBOLS = 20
-_SLOT_BITS = 12
-_GAIN = 24
+_SLOT_BITS = 11
+#: A row's sum stays below 2 x 16 x 512 plus what it starts with, so that of three rows fits 16 bits.
+_GAIN = 16
 _HALVE_EVERY = 512
 _FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
 _WORD = np.uint64(32)
@@ -76,7 +77,7 @@ def encode(blocks: list[np.ndarray]) -> list[np.ndarray]:
     """The 32-bit words of each block of ids."""
     order = sorted(range(len(blocks)), key=lambda i: -len(blocks[i]))
     lanes, longest = len(blocks), max(map(len, blocks), default=0)
-    ids = np.zeros((longest, lanes), np.int64)
+    ids = np.zeros((longest, lanes), np.int32)
     sizes = np.array([len(blocks[i]) for i in order], np.int64)
     for lane, i in enumerate(order):
         ids[: len(blocks[i]), lane] = blocks[i]
@@ -90,7 +91,7 @@ def encode(blocks: list[np.ndarray]) -> list[np.ndarray]:
     for t in range(longest):
         k = int(np.searchsorted(-sizes, -t, "left"))
         total = model.predict(k)
-        code = ids[t, :k] + 1
+        code = ids[t, :k].astype(np.int64) + 1
         octave = _OCTAVE[code]
         hit2, hit1 = model.guess2 == code, model.guess1 == code
         symbol = np.where(hit2, 0, np.where(hit1, 1, octave + 2))

@@ -10,18 +10,18 @@ from tracewright.llm.common import cut, fresh, small, table, with_rows
 NEAR_CHARS = 20
 
 
-def normal(line: Column) -> Column:
-    """A line as it is compared: lower case, white space at the ends dropped, elsewhere one blank."""
-    return F.trim(F.regexp_replace(F.lower(line), r"\s+", " "))
-
-
 def _lines(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n")
 
 
-def _row_key(docs: DataFrame) -> DataFrame:
-    """doc_id, h (a hash of the text, since doc_ids may repeat or be null) and the lines."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text", F.length("text")).alias("h"), _lines(F.col("text")).alias("lines"))
+def normal_lines(text: Column) -> Column:
+    """The lines of a text as they are compared: lower case, white space at the ends dropped, elsewhere one blank."""
+    return F.transform(_lines(F.regexp_replace(F.lower(text), r"[ \t\x0B\f\r]{2,}|[\t\x0B\f\r]", " ")), lambda x: F.trim(x))
+
+
+def _row_key() -> list[Column]:
+    """doc_id and h, a hash of the text, since doc_ids may repeat or be null."""
+    return [F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text", F.length("text")).alias("h")]
 
 
 def _half_keys(s: Column) -> Column:
@@ -84,7 +84,7 @@ def _whole(s: Column) -> Column:
 def repeats(docs: DataFrame, near_chars: int = NEAR_CHARS) -> DataFrame:
     """(doc_id, h, line_no, near): the lines of docs (doc_id, text) that an earlier line makes superfluous.
 
-    Lines are compared as normal() has them, in the order of doc_id (null first), hash of the text, line number. A
+    Lines are compared as normal_lines() has them, in the order of doc_id (null first), hash of the text, line number. A
     line goes if an earlier one is equal to it, or if both have near_chars characters or more and an edit distance
     of 1: one character put in, left out or changed. What is compared with is every earlier line, be it kept or
     not. near tells that the line has no equal that comes earlier. Blank lines are never compared.
@@ -95,17 +95,21 @@ def repeats(docs: DataFrame, near_chars: int = NEAR_CHARS) -> DataFrame:
     which is enough, as all of a group are within one edit of each other; so a group of n gives n pairs. The pairs'
     edit distance is computed exactly.
     """
-    keyed = _row_key(docs)
-    each = keyed.select("doc_id", "h", F.posexplode("lines").alias("line_no", "raw")).withColumn("s", normal(F.col("raw"))).where("s <> ''").drop("raw")
+    each = docs.select(*_row_key(), F.posexplode(normal_lines(F.col("text"))).alias("line_no", "s")).where("s <> ''")
     order = F.struct(F.col("doc_id").isNotNull().alias("known"), F.coalesce("doc_id", F.lit(0)).alias("doc_id"), "h", "line_no")
-    hashed = each.select(F.xxhash64("s").alias("line"), F.hash("s", F.length("s")).alias("more"), order.alias("place"), F.when(F.length("s") >= near_chars, _half_keys(F.col("s"))).alias("halves"))
+    hashed = cut(each.select(F.xxhash64("s").alias("line"), F.hash("s", F.length("s")).alias("more"), order.alias("place"), F.when(F.length("s") >= near_chars, _half_keys(F.col("s"))).alias("halves")), "hashed")
     # Of equal lines the earliest; equal lines have equal halves.
     first = cut(hashed.groupBy("line", "more").agg(F.min("place").alias("first"), F.first("halves").alias("halves")), "lines")
     halves = first.select("line", F.explode("halves").alias("half"))
     shared = halves.groupBy("half").agg(F.min("line").alias("low"), F.max("line").alias("high")).where("low <> high").select("half")
     candidates = cut(halves.join(shared, "half", "left_semi").select("line").distinct(), "candidates")
-    texts = each.select(F.xxhash64("s").alias("line"), "s").where(F.length("s") >= near_chars).join(small(candidates), "line", "left_semi").groupBy("line").agg(F.first("s").alias("s"))
-    texts = cut(texts.join(first.groupBy("line").agg(F.min("first").alias("first")), "line"), "texts")
+    # A candidate's text is read where the line is first; a document's own candidates are no more than its lines.
+    places = first.groupBy("line").agg(F.min("first").alias("first")).join(small(candidates), "line", "left_semi")
+    row = [F.when(F.col("first.known"), F.col("first.doc_id")).alias("doc_id"), F.col("first.h").alias("h")]
+    asked = cut(places.groupBy(*row).agg(F.collect_list(F.struct("line", "first")).alias("asked")), "asked")
+    found = with_rows(docs.select(*_row_key(), "text"), asked, "inner").select("asked", normal_lines(F.col("text")).alias("own"))
+    texts = found.select(F.inline(F.transform("asked", lambda x: F.struct(x["line"].alias("line"), x["first"].alias("first"), F.get("own", x["first"]["line_no"]).alias("s"))))).dropDuplicates(["line"])
+    texts = cut(texts, "texts")
     variants = cut(_deletions(texts.select("line", "s")).join(texts.select("line", "first"), "line"), "deletions")
     group = variants.groupBy("variant", "at").agg(F.min(F.struct("first", "line")).alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1").select("variant", "at", "head")
     changed = variants.join(group, ["variant", "at"]).select("line", "first", F.col("head.line").alias("other"), F.col("head.first").alias("other_first")).where("first > other_first")
@@ -135,14 +139,14 @@ def dedup(docs: DataFrame, near_chars: int = NEAR_CHARS) -> DataFrame:
     gone = gone.groupBy("doc_id", "h").agg(F.collect_set("line_no").alias("_gone"), F.count_if("near").alias("_near"))
     gone = cut(gone, "gone")
     joined = with_rows(docs.withColumn(names["h"], F.xxhash64("text", F.length("text"))), gone, "left", names["h"])
-    lines = _lines(F.col("text"))
-    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_gone"))
-    kept = F.transform(left, lambda i: F.get(lines, i))
-    worded = F.exists(kept, lambda x: F.trim(F.regexp_replace(x, r"\s+", " ")) != "")
-    text = F.when(F.col("_gone").isNull(), F.col("text")).when(worded, F.array_join(kept, "\n")).otherwise("")
+    joined = joined.withColumn("_lines", _lines(F.col("text")))
+    joined = joined.withColumn("_kept", F.when(F.col("_gone").isNotNull(), F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), "_gone")))
+    joined = joined.withColumn("_left", F.transform("_kept", lambda i: F.get("_lines", i)))
+    worded = F.exists("_left", lambda x: F.trim(F.regexp_replace(x, r"\s+", " ")) != "")
+    text = F.when(F.col("_gone").isNull(), F.col("text")).when(worded, F.array_join("_left", "\n")).otherwise("")
     return joined.select(
-        *[text.alias(c) if c == "text" else F.col(c) for c in docs.columns], F.size(lines).cast("long").alias(names["n_lines"]),
-        (F.size(lines) - F.coalesce(F.size("_gone"), F.lit(0))).cast("long").alias(names["n_kept"]), F.coalesce("_near", F.lit(0)).cast("long").alias(names["n_near"]),
+        *[text.alias(c) if c == "text" else F.col(c) for c in docs.columns], F.size("_lines").cast("long").alias(names["n_lines"]),
+        F.coalesce(F.size("_kept"), F.size("_lines")).cast("long").alias(names["n_kept"]), F.coalesce("_near", F.lit(0)).cast("long").alias(names["n_near"]),
     )
 
 

@@ -16,8 +16,8 @@ SIMILARITY = 0.8
 BANDS, ROWS = 32, 4
 #: Registers of a signature. A pair of similarity 0.8 shares no band with probability (1 - 0.8**4)**32, 5e-8.
 REGISTERS = BANDS * ROWS
-#: Rounds that link each bucket's members to one of them before the pairs that are left are taken as they are.
-STAR_ROUNDS = 2
+#: Rounds that compare each bucket's members with one of them, before the pairs that are left are taken as they are.
+ROUNDS = 3
 _CHUNK = 400_000
 
 
@@ -101,15 +101,24 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array([weighted_shingles(t.as_py())[0].tobytes() for t in b.column(1)], pa.binary())], ["node", "shingles"])
 
 
-def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(a, b, set of a, set of b) to the pairs whose Jaccard similarity is high enough, exactly."""
+def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, b, set of a, set of b) to (a, b, alike, size, lacks, adds): whether the exact Jaccard similarity is high enough,
+    the size of b's set, what a lacks of it and what a has besides."""
     for batch in batches:
-        keep = []
+        rows = []
         for x, y in zip(batch.column(2), batch.column(3)):
             x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
             both = len(np.intersect1d(x, y, True))
-            keep.append(both >= SIMILARITY * (len(x) + len(y) - both))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            rows.append((both >= SIMILARITY * (len(x) + len(y) - both), len(y), len(y) - both, len(x) - both))
+        columns = [pa.array(c, t) for c, t in zip(zip(*rows), (pa.bool_(), *3 * (pa.int32(),)))] if rows else [pa.array([], t) for t in (pa.bool_(), *3 * (pa.int32(),))]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["a", "b", "alike", "size", "lacks", "adds"])
+
+
+def _extras(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, b, set of a, set of b) to (a, b, extras): the hashes that a has and b doesn't."""
+    for batch in batches:
+        made = [np.setdiff1d(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), True).view(np.int64) for x, y in zip(batch.column(2), batch.column(3))]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(made, pa.list_(pa.int64()))], ["a", "b", "extras"])
 
 
 def components(links: DataFrame, spark: SparkSession) -> DataFrame:
@@ -149,9 +158,14 @@ def classes(docs: DataFrame) -> DataFrame:
     whose doc_ids are all null has a null class_id. No rows give no rows.
 
     Equal texts are one node from the start. Signatures give each node 32 band keys; nodes that share one are a
-    bucket. Each bucket's members are compared with the first of them (so a bucket of n costs n comparisons),
-    what that links is joined into classes, and members of a bucket that are in different classes afterwards
-    are compared as pairs, unless their sizes alone rule 0.8 out. Every comparison is exact.
+    bucket, and the buckets' members are the candidates. Each bucket's members are compared, exactly, with its pivot,
+    the member that meets most others over all buckets, so a bucket of n costs n comparisons; what that links is
+    joined into classes. Let a and b be left in one bucket, but in different classes, with pivot P, and b not linked
+    to it. If they share no shingle besides P's, then they can only be alike if .8 (|P| + |b - P|) - |P & b| is at
+    most .8 (|P - a| - |a - P|), as |a & b| <= |P| - max(|P - a|, |P - b|). So all candidates that are left share a
+    shingle that P lacks, or stand in that relation to P; these are smaller buckets, with which the same is done
+    again. After ROUNDS of it the pairs that are left are compared as they are, but for those that sizes rule out.
+    No link between candidates is lost.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long"), "text").withColumn("node", text_key())
@@ -162,41 +176,58 @@ def classes(docs: DataFrame) -> DataFrame:
         docs.select("node", "text").mapInArrow(_bands, "node binary, n int, bands array<long>").groupBy("node").agg(F.first("n").alias("n"), F.first("bands").alias("bands")), "bands"
     )
     each = banded.select("node", "n", F.explode("bands").alias("band"))
-    shared = each.groupBy("band").agg(F.count(F.lit(1)).alias("members"), F.min("node").alias("pivot")).where("members > 1").select("band", "pivot")
-    buckets = cut(each.join(shared, "band"), "buckets")
+    shared = each.groupBy("band").agg(F.count(F.lit(1)).alias("members")).where("members > 1").select("band")
+    buckets = cut(each.join(shared, "band").select("band", "node", "n"), "buckets")
     wanted = cut(buckets.select("node").distinct(), "wanted")
     texts = docs.select("node", "text").join(small(wanted), "node", "left_semi").dropDuplicates(["node"])
     sets = cut(texts.mapInArrow(_sets, "node binary, shingles binary"), "sets")
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b) that are similar enough."""
+    def with_sets(pairs: DataFrame) -> DataFrame:
         full = pairs.distinct().join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a")
-        full = full.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
-        return full.select("a", "b", "x", "y").mapInArrow(_verify, "a binary, b binary")
-
-    links = cut(verified(buckets.where("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b"))), "links")
-    roots = components(links, spark)
-    open_ = buckets
-    for turn in range(STAR_ROUNDS):
-        # Members of a bucket whose class is not its pivot's: they go on among themselves and, in the last turn, as pairs.
-        of = roots.select("node", "root")
-        placed = open_.join(of, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        spread = placed.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("band")
-        placed = cut(placed.join(spread, "band"), "open")
-        if turn + 1 < STAR_ROUNDS:
-            # One of another class than the pivot's becomes the second pivot of those not in the pivot's class.
-            own = placed.where("node = pivot").select("band", F.col("root").alias("pivot_root"))
-            rest = placed.join(own, "band", "left").where("pivot_root is null or root <> pivot_root")
-            second = rest.groupBy("band").agg(F.min("node").alias("second"))
-            pairs = rest.join(second, "band").where("node <> second").select(F.col("node").alias("a"), F.col("second").alias("b"))
-        else:
-            a = placed.select("band", F.col("node").alias("a"), F.col("root").alias("root_a"), F.col("n").alias("n_a"))
-            b = placed.select("band", F.col("node").alias("b"), F.col("root").alias("root_b"), F.col("n").alias("n_b"), "pivot")
-            alike = F.least("n_a", "n_b") >= SIMILARITY * F.greatest("n_a", "n_b")
-            pairs = a.join(b, "band").where((F.col("root_a") != F.col("root_b")) & (F.col("a") < F.col("b")) & alike & (F.col("a") != F.col("pivot"))).select("a", "b")
-        links = cut(links.union(verified(pairs)), "links")
+        return full.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b").select("a", "b", "x", "y")
+
+    def several(members: DataFrame) -> DataFrame:
+        """The (band, node, n, root, ...) whose band has members of several classes."""
+        split = members.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("band")
+        return members.join(split, "band")
+
+    members = buckets.select("band", "node", "n")
+    links = roots = None
+    for turn in range(ROUNDS):
+        sized = members.groupBy("band").agg(F.count(F.lit(1)).alias("members"))
+        met = members.join(sized, "band").groupBy("node").agg(F.sum("members").alias("met"))
+        pivot = members.join(met, "node").groupBy("band").agg(F.max(F.struct("met", "node")).alias("p")).select("band", F.col("p.node").alias("pivot"))
+        placed = cut(members.join(pivot, "band"), "placed")
+        pairs = placed.where("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b"))
+        compared = cut(with_sets(pairs).mapInArrow(_compare, "a binary, b binary, alike boolean, size int, lacks int, adds int"), "compared")
+        found = compared.where("alike").select("a", "b")
+        links = cut(links.union(found) if links is not None else found, "links")
         roots = components(links, spark)
-        open_ = placed.drop("root")
+        left = placed.where("node <> pivot").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        left = cut(several(left), "left")
+        if not left.limit(1).count():
+            break
+        if turn + 1 == ROUNDS:
+            a = left.select("band", F.col("node").alias("a"), F.col("root").alias("root_a"), F.col("n").alias("n_a"))
+            b = left.select("band", F.col("node").alias("b"), F.col("root").alias("root_b"), F.col("n").alias("n_b"))
+            alike = F.least("n_a", "n_b") >= SIMILARITY * F.greatest("n_a", "n_b")
+            rest = a.join(b, "band").where((F.col("root_a") != F.col("root_b")) & (F.col("a") < F.col("b")) & alike).select("a", "b")
+            more = with_sets(rest).mapInArrow(_compare, "a binary, b binary, alike boolean, size int, lacks int, adds int").where("alike").select("a", "b")
+            links = cut(links.union(more), "links")
+            roots = components(links, spark)
+            break
+        of = left.select(F.col("node").alias("a"), F.col("pivot").alias("b"), "n", "root").distinct()
+        extras = with_sets(of.select("a", "b")).mapInArrow(_extras, "a binary, b binary, extras array<long>")
+        shared_more = extras.select("a", "b", F.explode("extras").alias("s")).join(of, ["a", "b"]).select(F.xxhash64("b", "s").alias("band"), F.col("a").alias("node"), "n", "root")
+        known = of.join(compared, ["a", "b"]).withColumns(
+            {"short": F.when(~F.col("alike"), SIMILARITY * (F.col("size") + F.col("adds")) - (F.col("size") - F.col("lacks"))), "net": SIMILARITY * (F.col("lacks") - F.col("adds"))}
+        )
+        most = known.groupBy("b").agg(F.max("net").alias("most_net"), F.min("short").alias("least_short")).where("least_short <= most_net + 1e-9")
+        near = known.join(most, "b").where((F.col("short") <= F.col("most_net") + 1e-9) | ((F.col("net") > 0) & (F.col("net") >= F.col("least_short") - 1e-9)))
+        smaller = near.select(F.xxhash64("b", F.lit("shorter")).alias("band"), F.col("a").alias("node"), "n", "root")
+        members = cut(several(shared_more.union(smaller)).select("band", "node", "n"), "members")
+        if not members.limit(1).count():
+            break
     linked = nodes.join(roots, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))
     named = linked.groupBy("root").agg(F.min("first").alias("class_id"))
     place = cut(linked.join(named, "root").join(banded.select("node", (F.col("n") > 0).alias("worded")), "node").select("node", "class_id", "worded"), "classes")

@@ -53,9 +53,10 @@ def fit_stage1(frames: DataFrame, us: int, every: int = 1) -> Stage1:
     n = spine.count()
     if n < 2:
         raise ValueError("training needs two windows or more")
-    ids = normal_ids(placed, n, us)
+    # A model is small and every scoring reads it, so it is kept rather than fitted again each time.
+    ids = normal_ids(placed, n, us).persist()
     checks = features.timing(features.per_id(placed), spine, ids, us / 1e6)
-    return Stage1(ids, _reference(checks, TIMING), n, us)
+    return Stage1(ids, _reference(checks, TIMING).persist(), n, us)
 
 
 def field_model(stats: DataFrame, window_fields: DataFrame, percent: float | None = None, raw: DataFrame | None = None) -> DataFrame:
@@ -88,9 +89,9 @@ def fit_stage2(frames: DataFrame, us: int, watch: list[str] | None = None, mode:
     raw = None
     if percent is not None:
         raw = features.turns(own).select("can_id", "field", "value").union(features.fields(placed).select("can_id", "field", "value"))
-    table = field_model(stats if stats is not None else features.ranges(own), window_fields, percent, raw)
+    table = field_model(stats if stats is not None else features.ranges(own), window_fields, percent, raw).persist()
     checks = features.payload(window_fields, spine, table, mode)
-    return Stage2(table, _reference(checks, PAYLOAD), n, us, mode, watch)
+    return Stage2(table, _reference(checks, PAYLOAD).persist(), n, us, mode, watch)
 
 
 def unusualness(value: Column, values: Column) -> Column:
