@@ -188,6 +188,12 @@ def test_near_duplicates(spark, both, nothing):
     assert near_duplicates.classes(nothing).count() == 0 and near_duplicates.keep_first(nothing).count() == 0
 
 
+def test_keep_first_tells_classes_with_the_same_or_no_doc_id_apart(spark):
+    texts = [(None, "apples and pears in a bowl"), (None, "apples and pears in a bowl"), (None, "seven ships on a grey sea"), (None, None), (7, "   "), (7, "another text of the same id"), (7, "quite a different one under it"), (9, "Another text, of the same id!")]
+    kept = rows_of(near_duplicates.keep_first(spark.createDataFrame(texts, "doc_id long, text string")))
+    assert Counter(tuple(r) for r in kept) == Counter([texts[0], *texts[2:7]])
+
+
 def test_probminhash_estimates_probability_jaccard():
     r = np.random.default_rng(4)
     x, w = r.integers(0, 1 << 62, 300).astype(np.uint64), 1 + r.random(300) * 3

@@ -149,7 +149,8 @@ def text_key(text: str = "text") -> F.Column:
 
 
 def classes(docs: DataFrame) -> DataFrame:
-    """(doc_id, node, class_id) for each row of docs (doc_id, text), where node is the text's key.
+    """(doc_id, node, class_id, root, worded) for each row of docs (doc_id, text), where node is the text's key, root the
+    smallest node of its class and worded whether it has words.
 
     Documents are linked if the Jaccard similarity of their sets of five-word shingles is 0.8 or more, and a
     class is what links lead to; class_id is its smallest doc_id. Words are of lower-case A-Z, digits and all
@@ -230,21 +231,22 @@ def classes(docs: DataFrame) -> DataFrame:
             break
     linked = nodes.join(roots, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))
     named = linked.groupBy("root").agg(F.min("first").alias("class_id"))
-    place = cut(linked.join(named, "root").join(banded.select("node", (F.col("n") > 0).alias("worded")), "node").select("node", "class_id", "worded"), "classes")
-    return rows.join(place, "node").select("doc_id", "node", F.when(F.col("worded"), F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"))
+    place = cut(linked.join(named, "root").join(banded.select("node", (F.col("n") > 0).alias("worded")), "node").select("node", "class_id", "root", "worded"), "classes")
+    return rows.join(place, "node").select("doc_id", "node", F.when(F.col("worded"), F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"), "root", "worded")
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
     """docs (all columns) with one row of each class: that of the smallest doc_id, of equal ones any one row.
 
-    Rows without words all stay. A class whose doc_ids are all null keeps the row of the smallest text key.
+    Rows without words all stay. A class whose doc_ids are all null keeps the row of the smallest text key. Classes are
+    told apart by root: several may have the same class_id, or none, if doc_ids repeat or are null.
     """
     found = cut(classes(docs.select("doc_id", "text")), "rows")
     key, node = F.struct(F.col("doc_id").isNull(), "doc_id", "node"), fresh(docs, "node")
     alone = F.length(F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]", "")) == 0
-    firsts = found.groupBy(F.coalesce("class_id", F.lit(-(1 << 63))).alias("class_id")).agg(F.min(key).alias("k")).select("k.doc_id", F.col("k.node").alias("h"))
+    firsts = found.where("worded").groupBy("root").agg(F.min(key).alias("k")).select("k.doc_id", F.col("k.node").alias("h"))
     own = docs.withColumn(node, text_key())
-    kept = with_rows(own.where(~alone), cut(firsts.distinct(), "firsts"), "left_semi", node)
+    kept = with_rows(own.where(~alone), cut(firsts, "firsts"), "left_semi", node)
     if found.groupBy("doc_id", "node").count().where("count > 1").limit(1).count():  # repeated rows
         kept = kept.dropDuplicates(["doc_id", node])
     return kept.unionByName(own.where(alone)).drop(node)
