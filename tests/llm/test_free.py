@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -194,6 +195,21 @@ def test_keep_first_tells_classes_with_the_same_or_no_doc_id_apart(spark):
     assert Counter(tuple(r) for r in kept) == Counter([texts[0], *texts[2:7]])
 
 
+def test_pairs_that_repeat_different_passages_share_a_band():
+    r = random.Random(6)
+    passage = lambda: " ".join("".join(r.choice("abcdefghij") for _ in range(7)) for _ in range(20))
+    parted = 0
+    for _ in range(60):
+        one, two = passage(), passage()
+        texts = [" ".join([one] * 20 + [two]), " ".join([one] + [two] * 20)]
+        both, either = shingles(texts[0]) & shingles(texts[1]), shingles(texts[0]) | shingles(texts[1])
+        assert 0.8 <= len(both) / len(either) < 0.83
+        (found,) = near_duplicates._bands(iter([pa.RecordBatch.from_arrays([pa.array([b"a", b"b"]), pa.array(texts)], ["node", "text"])]))
+        a, b = found.column(2).to_pylist()
+        parted += not set(a) & set(b)
+    assert parted == 0
+
+
 def test_probminhash_estimates_probability_jaccard():
     r = np.random.default_rng(4)
     x, w = r.integers(0, 1 << 62, 300).astype(np.uint64), 1 + r.random(300) * 3

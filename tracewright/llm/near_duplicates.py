@@ -14,17 +14,17 @@ from tracewright.llm.hashing import mix, shingle_hashes, word_hashes
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 32, 4
-#: Registers of a signature. A pair of similarity 0.8 shares no band with probability (1 - 0.8**4)**32, 5e-8.
+#: Registers of a signature. With equal weights, as here, registers agree with the probability of the Jaccard similarity
+#: itself, each on its own, so a pair of similarity 0.8 shares no band with probability (1 - 0.8**4)**32, 5e-8.
 REGISTERS = BANDS * ROWS
 #: Rounds that compare each bucket's members with one of them, before the pairs that are left are taken as they are.
 ROUNDS = 3
 _CHUNK = 400_000
 
 
-def weighted_shingles(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct shingle hashes of a text, ascending, and weights 1 + ln(count)."""
-    found, counts = np.unique(shingle_hashes(word_hashes(text), SHINGLE), return_counts=True)
-    return found, 1.0 + np.log(counts)
+def shingle_set(text: str | None) -> np.ndarray:
+    """The distinct shingle hashes of a text, ascending."""
+    return np.unique(shingle_hashes(word_hashes(text), SHINGLE))
 
 
 def signatures(sets: list[tuple[np.ndarray, np.ndarray]], registers: int = REGISTERS) -> np.ndarray:
@@ -73,7 +73,10 @@ def band_keys(signature: np.ndarray) -> np.ndarray:
 
 
 def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(node, text) to (node, n, bands); texts without words have no bands."""
+    """(node, text) to (node, n, bands); texts without words have no bands.
+
+    All shingles weigh the same, however often a text repeats them, as in the similarity that links are judged by.
+    """
 
     def flush(nodes: list, sets: list) -> pa.RecordBatch:
         keys = band_keys(signatures(sets))
@@ -85,7 +88,8 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     nodes, sets, size = [], [], 0
     for b in batches:
         for node, text in zip(b.column(0).to_pylist(), b.column(1)):
-            sets.append(weighted_shingles(text.as_py()))
+            found = shingle_set(text.as_py())
+            sets.append((found, np.ones(len(found))))
             nodes.append(node)
             size += len(sets[-1][0])
             if size >= _CHUNK or len(sets) >= 2000:
@@ -98,7 +102,7 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(node, text) to (node, shingles): the distinct hashes as bytes."""
     for b in batches:
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([weighted_shingles(t.as_py())[0].tobytes() for t in b.column(1)], pa.binary())], ["node", "shingles"])
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingle_set(t.as_py()).tobytes() for t in b.column(1)], pa.binary())], ["node", "shingles"])
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
