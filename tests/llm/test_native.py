@@ -66,6 +66,50 @@ def test_names_without_the_word_license_pass_the_gate(spark):
     assert not [samples[r["doc_id"]] for r in rows_of(licenses.scan(frame)) if not r["labels"]]
 
 
+def sample(parts):
+    """A text that a parsed regex matches: the first of its alternatives, and what is optional once."""
+    out = ""
+    for kind, x in parts:
+        kind = str(kind)
+        if kind == "LITERAL":
+            out += chr(x)
+        elif kind == "BRANCH":
+            out += sample(x[1][0])
+        elif kind == "SUBPATTERN":
+            out += sample(x[3])
+        elif kind.endswith("REPEAT"):
+            out += sample(x[2]) * max(x[0], 1)
+        elif kind == "IN":
+            out += {"LITERAL": lambda v: chr(v), "RANGE": lambda v: chr(v[0])}.get(str(x[0][0]), lambda v: "1")(x[0][1])
+    return out
+
+
+def branches(regex):
+    """A text for each alternative of a regex of licenses, whose blanks are still blanks."""
+    parts = re._parser.parse(regex)
+    first, rest = (list(parts)[0], list(parts)[1:]) if len(parts) else (None, [])
+    return [sample(b) for b in first[1][1]] if first and str(first[0]) == "BRANCH" and not rest else [sample(parts)]
+
+
+def test_rules_find_names_however_they_are_wrapped(spark):
+    found = [(label, t) for label, _, names, _ in licenses.LICENSES for t in branches(names)]
+    found += [(label, t) for label, regex, _, _ in licenses.NOTICES for t in branches(regex.replace("\\s+", " "))]
+    found += [("public-domain", "released into the public domain"), ("cc-by-sa", "creative commons attribution-sharealike"), ("apache-2", "licensed under the apache license, version 2.0")]
+    found += [("proprietary", "unauthorized use of this by any other party, whoever it is, is prohibited")]
+    breaks = [" ", "\n", "\r\n", "\n        ", "  ", "\t"]
+    rows = [(i * len(breaks) + k, f"x {t} y".replace(" ", gap)) for i, (_, t) in enumerate(found) for k, gap in enumerate(breaks)]
+    got = {r["doc_id"]: r for r in rows_of(licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")))}
+    texts = dict(rows)
+    for i, (label, t) in enumerate(found):
+        plain = got[i * len(breaks)]
+        assert label in plain["labels"].split(","), t
+        for k in range(1, len(breaks)):
+            one = got[i * len(breaks) + k]
+            assert (one["labels"], one["score"]) == (plain["labels"], plain["score"]), (t, breaks[k])
+            inside = [" ".join(texts[one["doc_id"]][d["first"] : d["last"]].split()) for d in one["detections"]]
+            assert inside == [" ".join(texts[plain["doc_id"]][d["first"] : d["last"]].split()) for d in plain["detections"]]
+
+
 def brute_pii(text):
     text = text or ""
     kinds = [r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]"]

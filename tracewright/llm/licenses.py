@@ -12,6 +12,7 @@ from tracewright.llm.spans import matches
 #: Phrases that count wherever their words stand one after the other, and their labels. Fixed by the contract.
 PHRASES = [("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved")]
 
+#: A blank in the regexes of LICENSES and NOTICES and in GATE stands for white space of any kind and length.
 #: Licenses: label, SPDX names, ways to write the name, and a keyword that every text with such a name has.
 LICENSES = [
     ("agpl", "agpl-[13]\\.0", "(?:gnu )?affero general public licen[sc]e|agplv?3?", "agpl|affero"),
@@ -36,7 +37,7 @@ LICENSES = [
     ("eupl", "eupl-1\\.[0-2]", "european union public licen[sc]e", "eupl|european"),
     ("fdl", "gfdl-1\\.[1-3]", "(?:gnu )?free documentation licen[sc]e", "gfdl|documentation"),
     ("ftl", "ftl", "freetype (?:project )?licen[sc]e", "ftl|freetype"),
-    ("gpl", "gpl-[123]\\.0", "gnu gpl|(?:gnu )?(?<!lesser )(?<!library )(?<!affero )general public licen[sc]e", "gpl|general"),
+    ("gpl", "gpl-[123]\\.0", "gnu gpl|(?:gnu )?(?<!lesser\\s)(?<!library\\s)(?<!affero\\s)general public licen[sc]e", "gpl|general"),
     ("gpl-2", "gpl-2\\.0-(?:only|or-later)", "gplv2|general public licen[sc]e,? (?:version |v\\.? ?)2(?:\\.0)?", "gpl|general"),
     ("gpl-3", "gpl-3\\.0-(?:only|or-later)", "gplv3|general public licen[sc]e,? (?:version |v\\.? ?)3(?:\\.0)?", "gpl|general"),
     ("icu", "icu", "icu licen[sc]e", "icu"),
@@ -97,7 +98,7 @@ NOTICES = [
     ("cc-by-nd", "creativecommons\\.org/licenses/by-nd/", "creativecommons", 95),
     ("reserved", "all\\s+rights\\s+reserved", "reserved", 60),
     ("copyright", "(?:copyright|\\(c\\)|©)\\s+(?:\\(c\\)\\s+)?(?:19|20)\\d\\d", "copyright|(c)|©", 40),
-    ("proprietary", "proprietary and confidential|unauthorized (?:copying|use|reproduction) [^.\\n]{0,60}prohibited", "pro", 60),
+    ("proprietary", "proprietary and confidential|unauthorized (?:copying|use|reproduction) (?:[^.\\s]|\\s++){0,60}prohibited", "pro", 60),
 ]
 #: No rule matches a lower-case text that this does not find in.
 GATE = (
@@ -107,13 +108,18 @@ GATE = (
 )
 
 
+def spaced(regex: str) -> str:
+    """regex with white space of any kind and length in place of each blank; none, too, in place of an optional one."""
+    return regex.replace(" ?", r"\s*").replace(" ", r"\s+")
+
+
 def rules() -> list[tuple[str, str, str, int]]:
     """Every signature: label, regex over lower-case text, keywords of which one must be there, priority."""
     out = []
     for label, spdx, names, keyword in LICENSES:
         for before, after, priority, by_id in USES:
-            out.append((label, f"{before}(?:{spdx if by_id else names}){after}", keyword, priority))
-    return out + NOTICES
+            out.append((label, f"{before}(?:{spdx if by_id else spaced(names)}){after}", keyword, priority))
+    return out + [(label, spaced(regex), keyword, priority) for label, regex, keyword, priority in NOTICES]
 
 
 def _found(text: Column, rule: Column) -> Column:
@@ -141,7 +147,6 @@ def scan(docs: DataFrame) -> DataFrame:
     """
     entries = json.dumps([{"label": a, "regex": b, "keywords": c.split("|"), "priority": p} for a, b, c, p in rules()])
     entries = F.from_json(F.lit(entries), "array<struct<label:string,regex:string,keywords:array<string>,priority:int>>")
-    # Blanks of any kind count as one in the rules' names.
     lower = lower_ascii(F.col("text"))
     step = docs.select(F.col("doc_id").cast("long").alias("doc_id"), lower.alias("lower"), words(F.col("text")).alias("w"))
     may = F.array_contains("w", "cc") | F.array_contains("w", "license") | F.array_contains("w", "reserved")
@@ -164,7 +169,7 @@ def scan(docs: DataFrame) -> DataFrame:
     base = step.select(
         "doc_id", F.size("w").cast("long").alias("n_words"), F.size(all_places).cast("long").alias("n_base"), F.array_min(all_places).cast("long").alias("first_word"),
         F.array_max(all_places).cast("long").alias("last_word"), F.array_sort(F.array_compact(F.array_distinct(F.array(*labels)))).alias("base_labels"),
-        F.when(F.col("lower").rlike(GATE), F.regexp_replace("lower", r"\s", " ")).alias("lower"),
+        F.when(F.col("lower").rlike(spaced(GATE)), F.col("lower")).alias("lower"),
     )
     chosen = F.filter(entries, lambda r: _has_keyword(F.col("lower"), r))
     raw = F.flatten(F.transform(chosen, lambda r: _found(F.col("lower"), r)))
