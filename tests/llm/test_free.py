@@ -287,6 +287,20 @@ def test_language_id(spark, both, nothing):
     assert language_id.predict(nothing, language_id.learn(nothing)).count() == 0
 
 
+def test_language_id_learns_every_label(spark):
+    made = [(i * 80 + k, " ".join(chr(97 + i % 26) * 2 + chr(97 + i // 26) + x for x in ("on", "er", "as")) + f" {chr(97 + k % 26)}", f"l{i:02}") for i in range(70) for k in range(12)]
+    docs = spark.createDataFrame(made, "doc_id long, text string, lang string").coalesce(2)
+    model = language_id.learn(docs)
+    assert model.languages == [f"l{i:02}" for i in range(70)]
+    assert sum(model.predict(text)[0] == lang for _, text, lang in made) > 0.95 * len(made)
+
+
+def test_without_labels_lettered_texts_stay(spark):
+    docs = spark.createDataFrame([(1, "some text", None), (2, "12 ...", None), (3, None, None), (4, "", None), (5, "中文", None)], "doc_id long, text string, lang string")
+    kept = language_id.keep_known(docs, language_id.learn(docs))
+    assert sorted(r["doc_id"] for r in rows_of(kept)) == [1, 5] and kept.schema == docs.schema
+
+
 def test_fingerprints(spark, both, nothing):
     got = Counter(tuple(r) for r in rows_of(fingerprints.edited_pairs(both, 5)))
     rows = sorted(((r["doc_id"] is not None, r["doc_id"] or 0, r["h"], r["text"] or "") for r in rows_of(both.withColumn("h", F.xxhash64("text")))))

@@ -11,14 +11,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tracewright.llm.common import fresh, table
+from tracewright.llm.common import fresh, small, table
 
 UNDETERMINED = "und"
 #: Hash buckets of n-grams of 1 to ORDER characters.
 BUCKETS_LOG2, ORDER = 15, 3
 BUCKETS = 1 << BUCKETS_LOG2
-#: The classifier is fitted on at most about this many labelled rows of each of at most LANGUAGES labels.
-ROWS_PER_LANGUAGE, LANGUAGES = 1200, 64
+#: The classifier is fitted on about this many labelled rows of each label, fewer where all together would exceed
+#: ROWS, but never under LEAST_ROWS: the rows of a label are bounded, the labels are not.
+ROWS_PER_LANGUAGE, ROWS, LEAST_ROWS = 1200, 64 * 1200, 20
 #: The pipeline's stage rejects documents that get less than this, beside those without a letter.
 MIN_SCORE = 0.35
 _LETTERS = re.compile(r"[^\W\d_]+")
@@ -139,16 +140,17 @@ def learn(docs: DataFrame, per_language: int = ROWS_PER_LANGUAGE) -> Model:
     """A model from labelled rows (doc_id, text, lang) whose doc_id is not held out.
 
     Per label about per_language rows are taken, by a hash of doc_id against a share from the label's count over
-    all documents. Of labels beyond LANGUAGES the rarest are left out. Without labelled rows the model knows no
-    language and answers und.
+    all documents; with so many labels that this exceeds ROWS, an equal part of ROWS. A label with no more rows than
+    that is taken whole, and every label is learned. Without labelled rows the model knows no language and answers und.
     """
     rows = docs.select("doc_id", "text", "lang").where((remainder() != 0) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    counts = rows.groupBy("lang").count().collect()
     if not counts:
         return fit([])
-    share = F.create_map(*[x for r in counts for x in (F.lit(r["lang"]), F.lit(min(1.0, per_language / r["count"])))])
+    per_language = min(per_language, max(LEAST_ROWS, ROWS // len(counts)))
+    shares = docs.sparkSession.createDataFrame([(r["lang"], min(1.0, per_language / r["count"])) for r in counts], "lang string, share double")
     chance = F.pmod(F.xxhash64("doc_id", F.lit("language sample")), F.lit(1 << 30)) / float(1 << 30)
-    sample = rows.where(chance < F.coalesce(F.try_element_at(share, F.col("lang")), F.lit(0.0)))
+    sample = rows.join(small(shares), "lang").where(chance < F.col("share"))
     made = sample.select("lang", "text").mapInArrow(_features, "lang string, found array<int>, counts array<double>").toArrow()
     found = [(x, np.array(f.as_py(), np.int64), np.array(c.as_py())) for x, f, c in zip(made.column(0).to_pylist(), made.column(1), made.column(2))]
     # The order of arrival depends on the tasks; that of the fit must not.
@@ -165,6 +167,11 @@ def _predictor(model: Model, kept: list[str], language: str = "lang_pred", score
     return run
 
 
+def _lettered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        yield b.filter(pa.array([bool(_LETTERS.search(t.as_py() or "")) for t in b.column("text")], pa.bool_()))
+
+
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, lang_pred and score (0 to 1) of each row, from its text alone.
 
@@ -175,7 +182,12 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def keep_known(docs: DataFrame, model: Model, min_score: float = MIN_SCORE) -> DataFrame:
-    """docs without those whose language cannot be told: no letter, or a score under min_score."""
+    """docs without those whose language cannot be told: no letter, or a score under min_score.
+
+    A model that has learned no language rejects no text with a letter.
+    """
+    if not model.languages:
+        return docs.mapInArrow(_lettered, docs.schema)
     names = docs.columns
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     pred, score = fresh(docs, "lang_pred"), fresh(docs, "score")
