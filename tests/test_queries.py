@@ -5,7 +5,7 @@ import math
 import duckdb
 import pytest
 
-from conftest import DATA
+from testdata_folder import DATA
 from tracewright.plans.queries import ORACLES, QUERIES
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
