@@ -1,11 +1,8 @@
-import os
 import random
-import sys
 
 import pytest
 from pyspark.sql import types as T
 
-sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 SCHEMA = T.StructType([T.StructField(n, t) for n, t in (("doc_id", T.LongType()), ("text", T.StringType()), ("lang", T.StringType()), ("source", T.StringType()), ("n_chars", T.LongType()))])
 
