@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import shutil
 import tempfile
 import uuid
@@ -19,8 +20,8 @@ GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WORD_BYTES = bytes(
     c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256)
 )
-#: A side is broadcast only if its counted rows stay under this.
-BROADCAST_ROWS = 200_000
+#: A side is broadcast only if its bytes, as counted, are no more than this.
+BROADCAST_BYTES = 32 << 20
 
 _own: list[str] = []
 
@@ -42,11 +43,13 @@ def words(col: Column) -> Column:
 def shared_dir(spark: SparkSession, kind: str) -> str:
     """A new folder's URI below the folder that driver and executors share.
 
-    The cluster names it in spark.checkpoint.dir. Only where that is unset, as in tests, a temporary
-    folder of this machine takes its place and goes when the process ends.
+    The cluster names it in spark.checkpoint.dir, or setCheckpointDir() did. Only where neither is set and Spark runs
+    in one process, as in tests, a temporary folder of this machine takes its place and goes when the process ends.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         if not _own:
             _own.append(tempfile.mkdtemp(prefix="tracewright-"))
             atexit.register(shutil.rmtree, _own[0], True)
@@ -71,9 +74,36 @@ def cut(df: DataFrame, kind: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if it is counted to have at most limit rows, else df for a shuffled join."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+class Scratch:
+    """Tables in the shared folder that go as soon as no later step reads them."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.paths: dict[int, tuple[DataFrame, str]] = {}
+
+    def cut(self, df: DataFrame, kind: str) -> DataFrame:
+        """As cut(); the table stays until it is dropped."""
+        path = shared_dir(self.spark, kind)
+        df.write.parquet(path)
+        made = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[id(made)] = made, path
+        return made
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Delete tables that cut() returned, all of them if none is given. Nothing that still has to be computed may read them."""
+        hadoop = self.spark._jvm.org.apache.hadoop.fs.Path
+        for made in tables or [t for t, _ in self.paths.values()]:
+            path = hadoop(self.paths.pop(id(made))[1])
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def small(df: DataFrame, width: int | Column) -> DataFrame:
+    """df with a broadcast hint if its rows are counted to have at most BROADCAST_BYTES, else df for a shuffled join.
+
+    width: the bytes of a row; a Column where rows differ.
+    """
+    size = df.agg(F.sum(F.lit(width).cast("long"))).first()[0] or 0
+    return F.broadcast(df) if size <= BROADCAST_BYTES else df
 
 
 def fresh(df: DataFrame, name: str) -> str:
@@ -88,12 +118,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def with_rows(left: DataFrame, right: DataFrame, how: str, h: str = "h") -> DataFrame:
+def with_rows(left: DataFrame, right: DataFrame, how: str, h: str = "h", width: int | Column = 64) -> DataFrame:
     """left joined with right on the row's identity, doc_id and a hash of its text, either of which may be null.
 
-    doc_ids may repeat or be null, so a doc_id alone does not name a row. right is hinted to be broadcast only if it
-    is counted to be small. left's columns come first, then right's others.
+    doc_ids may repeat or be null, so a doc_id alone does not name a row. right is hinted to be broadcast only if its
+    bytes, width a row, are counted to be few. left's columns come first, then right's others.
     """
     names = [c for c in right.columns if c not in ("doc_id", "h")]
-    own = small(right.select(F.col("doc_id").alias("_right_id"), F.col("h").alias("_right_h"), *names))
+    own = small(right, width).select(F.col("doc_id").alias("_right_id"), F.col("h").alias("_right_h"), *names)
     return left.join(own, F.col("doc_id").eqNullSafe(F.col("_right_id")) & F.col(h).eqNullSafe(F.col("_right_h")), how).drop("_right_id", "_right_h")

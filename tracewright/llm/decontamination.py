@@ -49,18 +49,18 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Da
     items = cut(windows_of(items, window), "items")
     vocabulary = items.select(F.explode("iw").alias("word")).distinct()
     keyed = _key(docs)
-    rare = cut(keyed.select(F.explode("w").alias("word")).join(small(vocabulary), "word").groupBy("word").agg(F.count(F.lit(1)).alias("seen")), "rarity")
+    rare = cut(keyed.select(F.explode("w").alias("word")).join(small(vocabulary, F.octet_length("word") + 16), "word").groupBy("word").agg(F.count(F.lit(1)).alias("seen")), "rarity")
     anchors = cut(_anchors(items, rare), "anchors")
     places = keyed.select("doc_id", "h", F.size("w").alias("size_w"), F.posexplode("w").alias("at", "word"))
-    met = places.join(small(anchors), "word").withColumn("shift", F.col("at") - F.col("place"))
+    met = places.join(small(anchors, F.octet_length("word") + 40), "word").withColumn("shift", F.col("at") - F.col("place"))
     # The window of least words must fit: it has the anchor, so it begins at most window - 1 places before.
     least = F.least("size", F.lit(window))
     fits = (F.least(F.col("shift") + F.col("size"), F.col("size_w")) - F.greatest("shift", F.lit(0))) >= least
     aligned = cut(met.where(fits).select("doc_id", "h", "item", "shift").distinct(), "alignments")
     # Each text once, with all its alignments: those of one document, so at most its words times its items' places.
     wanted = aligned.groupBy("doc_id", "h").agg(F.collect_list(F.struct("item", "shift")).alias("alignments"))
-    own = with_rows(keyed, cut(wanted, "wanted"), "inner").dropDuplicates(["doc_id", "h"])
-    pairs = own.select("doc_id", "h", "w", F.inline("alignments")).join(small(items), "item")
+    own = with_rows(keyed, cut(wanted, "wanted"), "inner", width=32 + 24 * F.size("alignments")).dropDuplicates(["doc_id", "h"])
+    pairs = own.select("doc_id", "h", "w", F.inline("alignments")).join(small(items, F.octet_length(F.array_join("iw", "")) + 16 * F.size("iw") + 64), "item")
     # From which place of the item to which the document goes along.
     low, high = F.greatest(-F.col("shift"), F.lit(0)), F.least(F.size("iw"), F.size("w") - F.col("shift"))
     begins = F.filter(
@@ -78,7 +78,7 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Da
     found = found.select("doc_id", "h", F.aggregate(F.array_sort("spans"), start, add)["hit"].cast("long").alias("n_hit"), "ids")
     found = cut(found, "hits")
     sizes = keyed.select("doc_id", "h", F.size("w").cast("long").alias("n_words"))
-    joined = with_rows(sizes, found, "left").select("doc_id", "h", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("ids", F.array().cast("array<string>")).alias("ids"))
+    joined = with_rows(sizes, found, "left", width=48 + F.octet_length(F.array_join("ids", "        "))).select("doc_id", "h", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("ids", F.array().cast("array<string>")).alias("ids"))
     return joined.select(
         "doc_id", "h", "n_words", "n_hit", F.size("ids").cast("long").alias("n_items"), F.sha2(F.array_join("ids", ","), 256).alias("items_sha256"),
         ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"),
@@ -89,7 +89,7 @@ def keep_clean(docs: DataFrame, items: DataFrame) -> DataFrame:
     """docs (all columns) without contaminated ones."""
     bad = cut(contamination(docs, items).where("contaminated").select("doc_id", "h").distinct(), "contaminated")
     h = fresh(docs, "h")
-    return with_rows(docs.withColumn(h, F.xxhash64("text", F.length("text"))), bad, "left_anti", h).drop(h)
+    return with_rows(docs.withColumn(h, F.xxhash64("text", F.length("text"))), bad, "left_anti", h, 24).drop(h)
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -150,7 +150,7 @@ def learn(docs: DataFrame, per_language: int = ROWS_PER_LANGUAGE) -> Model:
     per_language = min(per_language, max(LEAST_ROWS, ROWS // len(counts)))
     shares = docs.sparkSession.createDataFrame([(r["lang"], min(1.0, per_language / r["count"])) for r in counts], "lang string, share double")
     chance = F.pmod(F.xxhash64("doc_id", F.lit("language sample")), F.lit(1 << 30)) / float(1 << 30)
-    sample = rows.join(small(shares), "lang").where(chance < F.col("share"))
+    sample = rows.join(small(shares, F.octet_length("lang") + 24), "lang").where(chance < F.col("share"))
     made = sample.select("lang", "text").mapInArrow(_features, "lang string, found array<int>, counts array<double>").toArrow()
     found = [(x, np.array(f.as_py(), np.int64), np.array(c.as_py())) for x, f, c in zip(made.column(0).to_pylist(), made.column(1), made.column(2))]
     # The order of arrival depends on the tasks; that of the fit must not.

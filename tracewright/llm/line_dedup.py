@@ -104,10 +104,10 @@ def repeats(docs: DataFrame, near_chars: int = NEAR_CHARS) -> DataFrame:
     shared = halves.groupBy("half").agg(F.min("line").alias("low"), F.max("line").alias("high")).where("low <> high").select("half")
     candidates = cut(halves.join(shared, "half", "left_semi").select("line").distinct(), "candidates")
     # A candidate's text is read where the line is first; a document's own candidates are no more than its lines.
-    places = first.groupBy("line").agg(F.min("first").alias("first")).join(small(candidates), "line", "left_semi")
+    places = first.groupBy("line").agg(F.min("first").alias("first")).join(small(candidates, 16), "line", "left_semi")
     row = [F.when(F.col("first.known"), F.col("first.doc_id")).alias("doc_id"), F.col("first.h").alias("h")]
     asked = cut(places.groupBy(*row).agg(F.collect_list(F.struct("line", "first")).alias("asked")), "asked")
-    found = with_rows(docs.select(*_row_key(), "text"), asked, "inner").select("asked", normal_lines(F.col("text")).alias("own"))
+    found = with_rows(docs.select(*_row_key(), "text"), asked, "inner", width=32 + 56 * F.size("asked")).select("asked", normal_lines(F.col("text")).alias("own"))
     texts = found.select(F.inline(F.transform("asked", lambda x: F.struct(x["line"].alias("line"), x["first"].alias("first"), F.get("own", x["first"]["line_no"]).alias("s"))))).dropDuplicates(["line"])
     texts = cut(texts, "texts")
     variants = cut(_deletions(texts.select("line", "s")).join(texts.select("line", "first"), "line"), "deletions")
@@ -122,7 +122,7 @@ def repeats(docs: DataFrame, near_chars: int = NEAR_CHARS) -> DataFrame:
     pairs = cut(changed.union(drop_long).union(drop_short).select("line", "other").distinct(), "pairs")
     a, b = texts.select("line", F.col("s").alias("a")), texts.select(F.col("line").alias("other"), F.col("s").alias("b"))
     near = cut(pairs.join(a, "line").join(b, "other").where(F.levenshtein("a", "b", 1).between(0, 1)).select("line").distinct().withColumn("near", F.lit(True)), "near")
-    known = cut(first.select("line", "more", "first").join(small(near), "line", "left"), "firsts")
+    known = cut(first.select("line", "more", "first").join(small(near, 16), "line", "left"), "firsts")
     lines = hashed.select("line", "more", "place").join(known, ["line", "more"]).where("place <> first or near").select("place", (F.col("place") == F.col("first")).alias("near"))
     return lines.select(F.when(F.col("place.known"), F.col("place.doc_id")).alias("doc_id"), F.col("place.h").alias("h"), F.col("place.line_no").alias("line_no"), "near")
 
@@ -138,7 +138,7 @@ def dedup(docs: DataFrame, near_chars: int = NEAR_CHARS) -> DataFrame:
     gone = repeats(docs.select("doc_id", "text"), near_chars).distinct()
     gone = gone.groupBy("doc_id", "h").agg(F.collect_set("line_no").alias("_gone"), F.count_if("near").alias("_near"))
     gone = cut(gone, "gone")
-    joined = with_rows(docs.withColumn(names["h"], F.xxhash64("text", F.length("text"))), gone, "left", names["h"])
+    joined = with_rows(docs.withColumn(names["h"], F.xxhash64("text", F.length("text"))), gone, "left", names["h"], 32 + 8 * F.size("_gone"))
     joined = joined.withColumn("_lines", _lines(F.col("text")))
     joined = joined.withColumn("_kept", F.when(F.col("_gone").isNotNull(), F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), "_gone")))
     joined = joined.withColumn("_left", F.transform("_kept", lambda i: F.get("_lines", i)))

@@ -2,24 +2,28 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tracewright.llm.common import cut, fresh, small, table, with_rows
+from tracewright.llm.common import Scratch, cut, fresh, small, table, with_rows
 from tracewright.llm.hashing import mix, shingle_hashes, word_hashes
 
 SHINGLE = 5
 SIMILARITY = 0.8
-BANDS, ROWS = 32, 4
+BANDS, ROWS = 32, 6
 #: Registers of a signature. With equal weights, as here, registers agree with the probability of the Jaccard similarity
-#: itself, each on its own, so a pair of similarity 0.8 shares no band with probability (1 - 0.8**4)**32, 5e-8.
+#: itself, each on its own, so a pair of similarity 0.8 shares no band with probability (1 - 0.8**6)**32, 6e-5.
 REGISTERS = BANDS * ROWS
-#: Rounds that compare each bucket's members with one of them, before the pairs that are left are taken as they are.
-ROUNDS = 3
-_CHUNK = 400_000
+#: Members of a bucket that are compared with its pivot in one run of rows; the pivot's set is sent once for each run.
+RUN = 256
+#: Members of a bucket that are compared with each other at first; in a larger one they are compared with one of them.
+PAIRED = 16
+_CHUNK = 200_000
+_NEAR_ZERO = 1e-9
 
 
 def shingle_set(text: str | None) -> np.ndarray:
@@ -73,30 +77,31 @@ def band_keys(signature: np.ndarray) -> np.ndarray:
 
 
 def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(node, text) to (node, n, bands); texts without words have no bands.
+    """(doc_id, node, text) to (doc_id, node, n, bands); texts without words have no bands.
 
     All shingles weigh the same, however often a text repeats them, as in the similarity that links are judged by.
     """
 
-    def flush(nodes: list, sets: list) -> pa.RecordBatch:
+    def flush(ids: list, nodes: list, sets: list) -> pa.RecordBatch:
         keys = band_keys(signatures(sets))
-        full = [len(h) > 0 for h, _ in sets]
-        return pa.RecordBatch.from_arrays(
-            [pa.array(nodes, pa.binary()), pa.array([len(h) for h, _ in sets], pa.int32()), pa.array([k if f else [] for k, f in zip(keys, full)], pa.list_(pa.int64()))], ["node", "n", "bands"]
-        )
+        sizes = np.array([len(h) for h, _ in sets])
+        offsets = np.concatenate([[0], np.cumsum(np.where(sizes > 0, BANDS, 0))]).astype(np.int32)
+        bands = pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys[sizes > 0].ravel()))
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(nodes, pa.binary()), pa.array(sizes, pa.int32()), bands], ["doc_id", "node", "n", "bands"])
 
-    nodes, sets, size = [], [], 0
+    ids, nodes, sets, size = [], [], [], 0
     for b in batches:
-        for node, text in zip(b.column(0).to_pylist(), b.column(1)):
+        for doc, node, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
             found = shingle_set(text.as_py())
             sets.append((found, np.ones(len(found))))
+            ids.append(doc)
             nodes.append(node)
-            size += len(sets[-1][0])
-            if size >= _CHUNK or len(sets) >= 2000:
-                yield flush(nodes, sets)
-                nodes, sets, size = [], [], 0
+            size += len(found)
+            if size >= _CHUNK or len(sets) >= 1000:
+                yield flush(ids, nodes, sets)
+                ids, nodes, sets, size = [], [], [], 0
     if sets:
-        yield flush(nodes, sets)
+        yield flush(ids, nodes, sets)
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -105,45 +110,69 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingle_set(t.as_py()).tobytes() for t in b.column(1)], pa.binary())], ["node", "shingles"])
 
 
-def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(a, b, set of a, set of b) to (a, b, alike, size, lacks, adds): whether the exact Jaccard similarity is high enough,
-    the size of b's set, what a lacks of it and what a has besides."""
-    for batch in batches:
-        rows = []
-        for x, y in zip(batch.column(2), batch.column(3)):
-            x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-            both = len(np.intersect1d(x, y, True))
-            rows.append((both >= SIMILARITY * (len(x) + len(y) - both), len(y), len(y) - both, len(x) - both))
-        columns = [pa.array(c, t) for c, t in zip(zip(*rows), (pa.bool_(), *3 * (pa.int32(),)))] if rows else [pa.array([], t) for t in (pa.bool_(), *3 * (pa.int32(),))]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["a", "b", "alike", "size", "lacks", "adds"])
+COMPARED = "node binary, via array<binary>, alike boolean, size int, size_u int, inside int, extras array<long>"
+
 
+def _with_pivots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (via, run, place, node, shingles), for each via and run first those of via's own sets, whose node is null, to COMPARED.
 
-def _extras(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(a, b, set of a, set of b) to (a, b, extras): the hashes that a has and b doesn't."""
+    alike: with the last of via. inside: how many of the size_u hashes that any of via has the node has too. extras: the
+    least of the hashes that it has and none of via does, as many as a pair needs that is alike and shares any.
+    """
+    pivot = seen = np.empty(0, np.uint64)
     for batch in batches:
-        made = [np.setdiff1d(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), True).view(np.int64) for x, y in zip(batch.column(2), batch.column(3))]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(made, pa.list_(pa.int64()))], ["a", "b", "extras"])
+        rows: tuple[list, ...] = ([], [], [], [], [], [], [])
+        for via, place, node, own in zip(batch.column(0), batch.column(2).to_pylist(), batch.column(3), batch.column(4)):
+            x = np.frombuffer(own.as_buffer(), np.uint64)
+            if not node.is_valid:
+                pivot = x.copy()
+                seen = np.union1d(seen, pivot) if place else pivot
+                continue
+            both = int((pivot[np.minimum(np.searchsorted(pivot, x), len(pivot) - 1)] == x).sum())
+            known = seen[np.minimum(np.searchsorted(seen, x), len(seen) - 1)] == x
+            alike = both >= SIMILARITY * (len(x) + len(pivot) - both) - _NEAR_ZERO
+            least = len(x) - math.ceil(SIMILARITY * len(x) - _NEAR_ZERO) + 1
+            for c, v in zip(rows, (node.as_py(), via.as_py(), alike, len(x), len(seen), int(known.sum()), x[~known][:least].view(np.int64))):
+                c.append(v)
+        kinds = (pa.binary(), pa.list_(pa.binary()), pa.bool_(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.int64()))
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, kinds)], ["node", "via", "alike", "size", "size_u", "inside", "extras"])
+
+
+def with_pivots(asked: DataFrame, sets: DataFrame) -> DataFrame:
+    """COMPARED for distinct (node, via) by the exact sets; via: nodes, of which the last is the one to compare with.
+
+    The nodes that go with one via are dealt to runs of about RUN rows, so that a pivot with very many is spread over
+    tasks; a run's rows are sorted behind the sets of via and streamed past them.
+    """
+    runs = asked.groupBy("via").agg(F.ceil(F.count(F.lit(1)) / RUN).cast("int").alias("runs"))
+    dealt = asked.join(runs, "via").select("via", F.pmod(F.xxhash64("node"), F.col("runs")).cast("int").alias("run"), F.lit(1 << 30).alias("place"), "node")
+    members = dealt.join(sets, "node").select("via", "run", "place", "node", "shingles")
+    pivots = runs.select("via", "runs", F.posexplode("via").alias("place", "node")).join(sets, "node")
+    pivots = pivots.select("via", F.explode(F.sequence(F.lit(0), F.col("runs") - 1)).alias("run"), "place", F.lit(None).cast("binary").alias("node"), "shingles")
+    return pivots.union(members).repartition("via", "run").sortWithinPartitions("via", "run", "place").mapInArrow(_with_pivots, COMPARED)
 
 
-def components(links: DataFrame, spark: SparkSession) -> DataFrame:
+def components(links: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, root): the smallest node that links (a, b) lead to, for every node that has a link.
 
     Each round a node takes the smallest root among its own, its neighbours' and that root's own root. A round's
     sums are made per task before they are shuffled, so a node with very many links is no burden; the roots are
     written to the shared folder each time, and only the number of changes comes to the driver.
     """
-    both = cut(links.union(links.select("b", "a")).where("a <> b").distinct(), "links")
-    roots = cut(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("root")).withColumnRenamed("a", "node"), "roots")
+    both = scratch.cut(links.union(links.select("b", "a")).where("a <> b").distinct(), "links")
+    roots = scratch.cut(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("root")).withColumnRenamed("a", "node"), "roots")
     while True:
         near = both.join(roots.withColumnRenamed("node", "b"), "b").select(F.col("a").alias("node"), "root")
         # What a root's members have seen, told to the root; and the root's own root, told to its members.
         told = near.join(roots.select("node", F.col("root").alias("own")), "node").select(F.col("own").alias("node"), "root").where("node > root")
         best = near.union(told).union(roots).groupBy("node").agg(F.min("root").alias("root"))
         up = best.join(roots.select(F.col("node").alias("root"), F.col("root").alias("higher")), "root", "left")
-        new = cut(up.select("node", F.least("root", F.coalesce("higher", "root")).alias("root")), "roots")
+        new = scratch.cut(up.select("node", F.least("root", F.coalesce("higher", "root")).alias("root")), "roots")
         changed = new.join(roots.withColumnRenamed("root", "old"), "node").where("root <> old").limit(1).count()
+        scratch.drop(roots)
         roots = new
         if not changed:
+            scratch.drop(both)
             return roots
 
 
@@ -152,6 +181,30 @@ def text_key(text: str = "text") -> F.Column:
     return F.unhex(F.md5(F.coalesce(F.col(text), F.lit(""))))
 
 
+def _split_by(compared: DataFrame) -> DataFrame:
+    """(band, node, via, bare, inside): the smaller buckets that the members of a bucket fall into once they are compared with its pivot.
+
+    Let U be all hashes of the pivots in via, e(x) what x has besides U, and a and b alike. If they share a hash that U
+    lacks, then at least 0.8 |a| - |U & a| of them, so among the least 0.2 |a| + 1 of e(a) and those of e(b) there is a
+    common one, as in any prefix-filtered join: a key for each of these.
+
+    If they share hashes of U only, then |a & b| <= |U & b| and |a | b| >= |U & a| + e(a) + e(b), and the same the other
+    way round, so short(b) <= net(a) and short(a) <= net(b), where short(x) = 0.8 (|U| + e(x)) - |U & x| and net(x) =
+    0.8 (|U| - |U & x| - e(x)). One of them, b, is not alike with the last pivot, or both would be of its class. So a
+    key, bare, for those whom the least short of such a b and the most net allow that, among those of sizes near enough.
+    """
+    extra = F.col("size") - F.col("inside")
+    known = compared.select(
+        "node", "via", "alike", "extras", "inside", F.floor(F.log("size") / math.log(1 / SIMILARITY)).alias("level"),
+        (SIMILARITY * (F.col("size_u") + extra) - F.col("inside")).alias("short"), (SIMILARITY * (F.col("size_u") - F.col("inside") - extra)).alias("net"),
+    )
+    shared = known.select("via", "node", "inside", F.explode("extras").alias("s")).select(F.xxhash64("via", "s").alias("band"), "node", "via", F.lit(False).alias("bare"), "inside")
+    levels = known.drop("extras").withColumn("level", F.explode(F.array("level", F.col("level") + 1)))
+    reach = levels.groupBy("via", "level").agg(F.max("net").alias("most"), F.min(F.when(~F.col("alike"), F.col("short"))).alias("least")).where(f"least <= most + {_NEAR_ZERO}")
+    bare = levels.join(reach, ["via", "level"]).where(f"(not alike and short <= most + {_NEAR_ZERO}) or net >= least - {_NEAR_ZERO}")
+    return shared.union(bare.select(F.xxhash64("via", F.lit("bare"), "level").alias("band"), "node", "via", F.lit(True), "inside"))
+
+
 def classes(docs: DataFrame) -> DataFrame:
     """(doc_id, node, class_id, root, worded) for each row of docs (doc_id, text), where node is the text's key, root the
     smallest node of its class and worded whether it has words.
@@ -162,81 +215,71 @@ def classes(docs: DataFrame) -> DataFrame:
     class_id is their own doc_id, also for several equal ones. Equal doc_ids are rows of their own; a class
     whose doc_ids are all null has a null class_id. No rows give no rows.
 
-    Equal texts are one node from the start. Signatures give each node 32 band keys; nodes that share one are a
-    bucket, and the buckets' members are the candidates. Each bucket's members are compared, exactly, with its pivot,
-    the member that meets most others over all buckets, so a bucket of n costs n comparisons; what that links is
-    joined into classes. Let a and b be left in one bucket, but in different classes, with pivot P, and b not linked
-    to it. If they share no shingle besides P's, then they can only be alike if .8 (|P| + |b - P|) - |P & b| is at
-    most .8 (|P - a| - |a - P|), as |a & b| <= |P| - max(|P - a|, |P - b|). So all candidates that are left share a
-    shingle that P lacks, or stand in that relation to P; these are smaller buckets, with which the same is done
-    again. After ROUNDS of it the pairs that are left are compared as they are, but for those that sizes rule out.
-    No link between candidates is lost.
+    Equal texts are one node from the start. Signatures give each node its band keys; nodes that share one are a bucket,
+    and a bucket's members are candidates for each other. First each node is compared, exactly, with one hub, the
+    member of its buckets that meets most others: n comparisons join most of what is alike. A bucket whose members
+    are all of one class by then is done. In one of up to PAIRED members those of different classes are compared with
+    each other, unless their sizes and what is known of them rule a link out; in a larger one all are compared with a
+    pivot, and what is left apart falls into smaller buckets (_split_by), with which the same is done again, with a
+    PAIRED four times as large, as far fewer are left each time. So a bucket of n costs a number of comparisons in
+    proportion to n a round, and no link between candidates is lost.
     """
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long"), "text").withColumn("node", text_key())
-    rows = docs.select("doc_id", "node")
-    # A text once, by its first row: the key, then the text through the shuffle only where it is needed.
-    nodes = cut(rows.groupBy("node").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("rows")), "nodes")
-    banded = cut(
-        docs.select("node", "text").mapInArrow(_bands, "node binary, n int, bands array<long>").groupBy("node").agg(F.first("n").alias("n"), F.first("bands").alias("bands")), "bands"
-    )
+    scratch = Scratch(spark)
+    keyed = docs.select(F.col("doc_id").cast("long"), text_key().alias("node"), "text")
+    signed = keyed.mapInArrow(_bands, "doc_id long, node binary, n int, bands array<long>")
+    banded = scratch.cut(signed.groupBy("node").agg(F.min("doc_id").alias("first"), F.first("n").alias("n"), F.first("bands").alias("bands")), "bands")
     each = banded.select("node", "n", F.explode("bands").alias("band"))
-    shared = each.groupBy("band").agg(F.count(F.lit(1)).alias("members")).where("members > 1").select("band")
-    buckets = cut(each.join(shared, "band").select("band", "node", "n"), "buckets")
-    wanted = cut(buckets.select("node").distinct(), "wanted")
-    texts = docs.select("node", "text").join(small(wanted), "node", "left_semi").dropDuplicates(["node"])
-    sets = cut(texts.mapInArrow(_sets, "node binary, shingles binary"), "sets")
-
-    def with_sets(pairs: DataFrame) -> DataFrame:
-        full = pairs.distinct().join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a")
-        return full.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b").select("a", "b", "x", "y")
-
-    def several(members: DataFrame) -> DataFrame:
-        """The (band, node, n, root, ...) whose band has members of several classes."""
-        split = members.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("band")
-        return members.join(split, "band")
-
-    members = buckets.select("band", "node", "n")
-    links = roots = None
-    for turn in range(ROUNDS):
-        sized = members.groupBy("band").agg(F.count(F.lit(1)).alias("members"))
-        met = members.join(sized, "band").groupBy("node").agg(F.sum("members").alias("met"))
-        pivot = members.join(met, "node").groupBy("band").agg(F.max(F.struct("met", "node")).alias("p")).select("band", F.col("p.node").alias("pivot"))
-        placed = cut(members.join(pivot, "band"), "placed")
-        pairs = placed.where("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b"))
-        compared = cut(with_sets(pairs).mapInArrow(_compare, "a binary, b binary, alike boolean, size int, lacks int, adds int"), "compared")
-        found = compared.where("alike").select("a", "b")
-        links = cut(links.union(found) if links is not None else found, "links")
-        roots = components(links, spark)
-        left = placed.where("node <> pivot").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        left = cut(several(left), "left")
-        if not left.limit(1).count():
-            break
-        if turn + 1 == ROUNDS:
-            a = left.select("band", F.col("node").alias("a"), F.col("root").alias("root_a"), F.col("n").alias("n_a"))
-            b = left.select("band", F.col("node").alias("b"), F.col("root").alias("root_b"), F.col("n").alias("n_b"))
-            alike = F.least("n_a", "n_b") >= SIMILARITY * F.greatest("n_a", "n_b")
-            rest = a.join(b, "band").where((F.col("root_a") != F.col("root_b")) & (F.col("a") < F.col("b")) & alike).select("a", "b")
-            more = with_sets(rest).mapInArrow(_compare, "a binary, b binary, alike boolean, size int, lacks int, adds int").where("alike").select("a", "b")
-            links = cut(links.union(more), "links")
-            roots = components(links, spark)
-            break
-        of = left.select(F.col("node").alias("a"), F.col("pivot").alias("b"), "n", "root").distinct()
-        extras = with_sets(of.select("a", "b")).mapInArrow(_extras, "a binary, b binary, extras array<long>")
-        shared_more = extras.select("a", "b", F.explode("extras").alias("s")).join(of, ["a", "b"]).select(F.xxhash64("b", "s").alias("band"), F.col("a").alias("node"), "n", "root")
-        known = of.join(compared, ["a", "b"]).withColumns(
-            {"short": F.when(~F.col("alike"), SIMILARITY * (F.col("size") + F.col("adds")) - (F.col("size") - F.col("lacks"))), "net": SIMILARITY * (F.col("lacks") - F.col("adds"))}
-        )
-        most = known.groupBy("b").agg(F.max("net").alias("most_net"), F.min("short").alias("least_short")).where("least_short <= most_net + 1e-9")
-        near = known.join(most, "b").where((F.col("short") <= F.col("most_net") + 1e-9) | ((F.col("net") > 0) & (F.col("net") >= F.col("least_short") - 1e-9)))
-        smaller = near.select(F.xxhash64("b", F.lit("shorter")).alias("band"), F.col("a").alias("node"), "n", "root")
-        members = cut(several(shared_more.union(smaller)).select("band", "node", "n"), "members")
-        if not members.limit(1).count():
-            break
-    linked = nodes.join(roots, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))
-    named = linked.groupBy("root").agg(F.min("first").alias("class_id"))
-    place = cut(linked.join(named, "root").join(banded.select("node", (F.col("n") > 0).alias("worded")), "node").select("node", "class_id", "root", "worded"), "classes")
-    return rows.join(place, "node").select("doc_id", "node", F.when(F.col("worded"), F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"), "root", "worded")
+    shared = each.groupBy("band").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
+    met = scratch.cut(each.join(shared, "band").select("band", "node", "n", "m"), "buckets")
+    nodes = scratch.cut(met.groupBy("node").agg(F.sum("m").alias("met"), F.first("n").alias("n")), "wanted")
+    texts = keyed.select("node", "text").join(small(nodes.select("node"), 16), "node", "left_semi").dropDuplicates(["node"])
+    sets = scratch.cut(texts.mapInArrow(_sets, "node binary, shingles binary"), "sets")
+
+    def of_pivots(members: DataFrame) -> DataFrame:
+        """members (band, node, ...) but for each band's pivot, with it, p (met, node)."""
+        pivots = members.join(nodes, "node").groupBy("band").agg(F.max(F.struct("met", "node")).alias("p"))
+        return members.join(pivots, "band").where("node <> p.node")
+
+    def apart(members: DataFrame, roots: DataFrame) -> DataFrame:
+        """The members whose band has several classes, with root and the band's number of members, m."""
+        placed = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        split = placed.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("m")).where("low <> high").select("band", "m")
+        return placed.join(split, "band")
+
+    hubs = scratch.cut(of_pivots(met.select("band", "node")).groupBy("node").agg(F.max("p").alias("p")).select("node", F.array("p.node").alias("via")), "hubs")
+    links = scratch.cut(with_pivots(hubs, sets).where("alike").select(F.col("node").alias("a"), F.element_at("via", -1).alias("b")), "hub-links")
+    roots = components(links, scratch)
+    left = scratch.cut(apart(met.select("band", "node", F.array().cast("array<binary>").alias("via"), F.lit(False).alias("bare"), F.lit(0).alias("inside")), roots), "left")
+    scratch.drop(hubs, links, met)
+    paired = PAIRED
+    while left.limit(1).count():
+        few = left.where(F.col("m") <= paired).join(nodes, "node").select("band", "node", "root", "n", "bare", "inside")
+        other = few.select("band", *[F.col(c).alias(f"{c}_b") for c in ("node", "root", "n", "inside")])
+        near = F.least("n", "n_b") >= SIMILARITY * F.greatest("n", "n_b") - _NEAR_ZERO
+        least = F.greatest("inside", "inside_b") + F.col("n") - F.col("inside") + F.col("n_b") - F.col("inside_b")
+        near &= ~F.col("bare") | (F.least("inside", "inside_b") >= SIMILARITY * least - _NEAR_ZERO)
+        pairs = few.join(other, "band").where((F.col("node") < F.col("node_b")) & (F.col("root") != F.col("root_b")) & near).select("node", F.array("node_b").alias("via"))
+        placed = scratch.cut(of_pivots(left.where(F.col("m") > paired).select("band", "node", "via")).select("band", "node", F.concat("via", F.array("p.node")).alias("via")), "placed")
+        paired *= 4
+        asked = scratch.cut(pairs.union(placed.select("node", "via")).distinct(), "asked")
+        compared = scratch.cut(with_pivots(asked, sets), "compared")
+        alike = compared.where("alike").select(F.col("node").alias("a"), F.element_at("via", -1).alias("b"))
+        for side in ("a", "b"):
+            alike = alike.join(roots.withColumnRenamed("node", side), side, "left").withColumn(side, F.coalesce("root", side)).drop("root")
+        higher = components(alike.where("a <> b"), scratch)
+        joined = roots.join(higher.select(F.col("node").alias("root"), F.col("root").alias("higher")), "root", "left").select("node", F.coalesce("higher", "root").alias("root"))
+        joined = joined.union(higher.join(roots, "node", "left_anti"))
+        old, roots = roots, scratch.cut(joined, "roots")
+        open_ = apart(placed, roots).select("node", "via").distinct()
+        rest = scratch.cut(_split_by(compared.join(open_, ["node", "via"])).distinct(), "split")
+        scratch.drop(old, higher, left, placed, asked, compared)
+        left = scratch.cut(apart(rest, roots), "left")
+        scratch.drop(rest)
+    linked = banded.select("node", "first", (F.col("n") > 0).alias("worded")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    place = cut(linked.join(linked.groupBy("root").agg(F.min("first").alias("class_id")), "root"), "classes")
+    scratch.drop()
+    return keyed.select("doc_id", "node").join(place, "node").select("doc_id", "node", F.when(F.col("worded"), F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"), "root", "worded")
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
@@ -245,15 +288,19 @@ def keep_first(docs: DataFrame) -> DataFrame:
     Rows without words all stay. A class whose doc_ids are all null keeps the row of the smallest text key. Classes are
     told apart by root: several may have the same class_id, or none, if doc_ids repeat or are null.
     """
-    found = cut(classes(docs.select("doc_id", "text")), "rows")
+    scratch = Scratch(docs.sparkSession)
+    found = scratch.cut(classes(docs.select("doc_id", "text")).where("worded").select("doc_id", "node", "root"), "rows")
     key, node = F.struct(F.col("doc_id").isNull(), "doc_id", "node"), fresh(docs, "node")
-    alone = F.length(F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]", "")) == 0
-    firsts = found.where("worded").groupBy("root").agg(F.min(key).alias("k")).select("k.doc_id", F.col("k.node").alias("h"))
-    own = docs.withColumn(node, text_key())
-    kept = with_rows(own.where(~alone), cut(firsts, "firsts"), "left_semi", node)
-    if found.groupBy("doc_id", "node").count().where("count > 1").limit(1).count():  # repeated rows
-        kept = kept.dropDuplicates(["doc_id", node])
-    return kept.unionByName(own.where(alone)).drop(node)
+    firsts = found.groupBy("root").agg(F.min(key).alias("k")).select("root", F.col("k.doc_id").alias("first_id"), F.col("k.node").alias("first_node"))
+    is_first = F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("node") == F.col("first_node"))
+    gone = cut(found.join(firsts, "root").where(~is_first).select("doc_id", F.col("node").alias("h")).distinct(), "copies")
+    repeated = cut(found.groupBy("doc_id", F.col("node").alias("h")).count().where("count > 1").select("doc_id", "h"), "repeated")
+    scratch.drop()
+    kept = with_rows(docs.withColumn(node, text_key()), gone, "left_anti", node, 24)
+    if repeated.limit(1).count():
+        once = with_rows(kept, repeated, "left_semi", node, 24).dropDuplicates(["doc_id", node])
+        kept = with_rows(kept, repeated, "left_anti", node, 24).unionByName(once)
+    return kept.drop(node)
 
 
 def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
