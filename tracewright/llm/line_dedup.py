@@ -14,9 +14,14 @@ def _lines(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n")
 
 
-def normal_lines(text: Column) -> Column:
-    """The lines of a text as they are compared: lower case, white space at the ends dropped, elsewhere one blank."""
-    return F.transform(_lines(F.regexp_replace(F.lower(text), r"[ \t\x0B\f\r]{2,}|[\t\x0B\f\r]", " ")), lambda x: F.trim(x))
+def normal(line: Column) -> Column:
+    """A line as it is compared: lower case, white space at the ends dropped, elsewhere one blank."""
+    line = F.lower(line)
+    odd = F.contains(line, F.lit("  "))
+    for c in "\t\x0b\f\r":
+        odd |= F.contains(line, F.lit(c))
+    # Most lines have only single blanks, and the search for these is far cheaper than the replacement.
+    return F.trim(F.when(odd, F.regexp_replace(line, r"[ \t\x0B\f\r]+", " ")).otherwise(line))
 
 
 def _row_key() -> list[Column]:
@@ -49,16 +54,22 @@ def _deletions(lines: DataFrame) -> DataFrame:
     A hash is the exclusive or of its words' hashes, each taken with the word's number. What stands before and
     behind a word is then known from running values, so a deletion costs its own word, however long the line is.
     """
-    each = lines.select("line", F.posexplode(F.split("s", " ")).alias("p", "w"), F.size(F.split("s", " ")).alias("n"))
-    up_to = Window.partitionBy("line").orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
-    behind = Window.partitionBy("line").orderBy("p").rowsBetween(1, Window.unboundedFollowing)
-    late = Window.partitionBy("line").orderBy("p").rowsBetween(2, Window.unboundedFollowing)
+    each = lines.select("line", F.posexplode(F.split("s", " ")).alias("p", "w"))
+    each = each.withColumns({"same": _at(F.col("w"), F.col("p")), "less": _at(F.col("w"), F.col("p") - 1)})
+    line = Window.partitionBy("line")
+    up_to, next_ = line.orderBy("p").rowsBetween(Window.unboundedPreceding, -1), line.orderBy("p")
     zero = F.lit(0).cast("long")
-    same, less = _at(F.col("w"), F.col("p")), _at(F.col("w"), F.col("p") - 1)
     each = each.withColumns(
         {
-            "before": F.coalesce(F.bit_xor(same).over(up_to), zero), "after": F.coalesce(F.bit_xor(same).over(behind), zero), "shifted": F.coalesce(F.bit_xor(less).over(late), zero),
-            "offset": F.coalesce(F.sum(F.length("w") + 1).over(up_to), zero), "next": F.lead("w").over(Window.partitionBy("line").orderBy("p")),
+            "before": F.coalesce(F.bit_xor("same").over(up_to), zero), "less_before": F.coalesce(F.bit_xor("less").over(up_to), zero), "offset": F.coalesce(F.sum(F.length("w") + 1).over(up_to), zero),
+            "next": F.lead("w").over(next_), "less_next": F.lead("less").over(next_), "all": F.bit_xor("same").over(line), "less_all": F.bit_xor("less").over(line),
+        }
+    )
+    # What stands behind a word is the whole without what stands before it and itself.
+    each = each.withColumns(
+        {
+            "after": F.col("all").bitwiseXOR(F.col("before")).bitwiseXOR(F.col("same")),
+            "shifted": F.col("less_all").bitwiseXOR(F.col("less_before")).bitwiseXOR(F.col("less")).bitwiseXOR(F.coalesce("less_next", zero)),
         }
     )
     w = F.col("w")
@@ -84,7 +95,7 @@ def _whole(s: Column) -> Column:
 def repeats(docs: DataFrame, near_chars: int = NEAR_CHARS) -> DataFrame:
     """(doc_id, h, line_no, near): the lines of docs (doc_id, text) that an earlier line makes superfluous.
 
-    Lines are compared as normal_lines() has them, in the order of doc_id (null first), hash of the text, line number. A
+    Lines are compared as normal() has them, in the order of doc_id (null first), hash of the text, line number. A
     line goes if an earlier one is equal to it, or if both have near_chars characters or more and an edit distance
     of 1: one character put in, left out or changed. What is compared with is every earlier line, be it kept or
     not. near tells that the line has no equal that comes earlier. Blank lines are never compared.
@@ -95,7 +106,7 @@ def repeats(docs: DataFrame, near_chars: int = NEAR_CHARS) -> DataFrame:
     which is enough, as all of a group are within one edit of each other; so a group of n gives n pairs. The pairs'
     edit distance is computed exactly.
     """
-    each = docs.select(*_row_key(), F.posexplode(normal_lines(F.col("text"))).alias("line_no", "s")).where("s <> ''")
+    each = docs.select(*_row_key(), F.posexplode(_lines(F.col("text"))).alias("line_no", "s")).withColumn("s", normal(F.col("s"))).where("s <> ''")
     order = F.struct(F.col("doc_id").isNotNull().alias("known"), F.coalesce("doc_id", F.lit(0)).alias("doc_id"), "h", "line_no")
     hashed = cut(each.select(F.xxhash64("s").alias("line"), F.hash("s", F.length("s")).alias("more"), order.alias("place"), F.when(F.length("s") >= near_chars, _half_keys(F.col("s"))).alias("halves")), "hashed")
     # Of equal lines the earliest; equal lines have equal halves.
@@ -107,8 +118,8 @@ def repeats(docs: DataFrame, near_chars: int = NEAR_CHARS) -> DataFrame:
     places = first.groupBy("line").agg(F.min("first").alias("first")).join(small(candidates, 16), "line", "left_semi")
     row = [F.when(F.col("first.known"), F.col("first.doc_id")).alias("doc_id"), F.col("first.h").alias("h")]
     asked = cut(places.groupBy(*row).agg(F.collect_list(F.struct("line", "first")).alias("asked")), "asked")
-    found = with_rows(docs.select(*_row_key(), "text"), asked, "inner", width=32 + 56 * F.size("asked")).select("asked", normal_lines(F.col("text")).alias("own"))
-    texts = found.select(F.inline(F.transform("asked", lambda x: F.struct(x["line"].alias("line"), x["first"].alias("first"), F.get("own", x["first"]["line_no"]).alias("s"))))).dropDuplicates(["line"])
+    found = with_rows(docs.select(*_row_key(), "text"), asked, "inner", width=32 + 56 * F.size("asked")).select("asked", _lines(F.col("text")).alias("own"))
+    texts = found.select(F.inline(F.transform("asked", lambda x: F.struct(x["line"].alias("line"), x["first"].alias("first"), F.get("own", x["first"]["line_no"]).alias("s"))))).withColumn("s", normal(F.col("s"))).dropDuplicates(["line"])
     texts = cut(texts, "texts")
     variants = cut(_deletions(texts.select("line", "s")).join(texts.select("line", "first"), "line"), "deletions")
     group = variants.groupBy("variant", "at").agg(F.min(F.struct("first", "line")).alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1").select("variant", "at", "head")
@@ -134,19 +145,23 @@ def dedup(docs: DataFrame, near_chars: int = NEAR_CHARS) -> DataFrame:
     lines that aren't blank go becomes empty. Of several equal rows (doc_id and text) none counts as earlier than
     the other, so both keep the same lines. Other columns stay.
     """
-    names = {x: fresh(docs, x) for x in ("n_lines", "n_kept", "n_near", "h")}
+    names = {x: fresh(docs, x) for x in ("n_lines", "n_kept", "n_near", "h", "gone", "near", "lines", "left")}
     gone = repeats(docs.select("doc_id", "text"), near_chars).distinct()
-    gone = gone.groupBy("doc_id", "h").agg(F.collect_set("line_no").alias("_gone"), F.count_if("near").alias("_near"))
+    gone = gone.groupBy("doc_id", "h").agg(F.collect_set("line_no").alias(names["gone"]), F.count_if("near").alias(names["near"]))
     gone = cut(gone, "gone")
-    joined = with_rows(docs.withColumn(names["h"], F.xxhash64("text", F.length("text"))), gone, "left", names["h"], 32 + 8 * F.size("_gone"))
-    joined = joined.withColumn("_lines", _lines(F.col("text")))
-    joined = joined.withColumn("_kept", F.when(F.col("_gone").isNotNull(), F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), "_gone")))
-    joined = joined.withColumn("_left", F.transform("_kept", lambda i: F.get("_lines", i)))
-    worded = F.exists("_left", lambda x: F.trim(F.regexp_replace(x, r"\s+", " ")) != "")
-    text = F.when(F.col("_gone").isNull(), F.col("text")).when(worded, F.array_join("_left", "\n")).otherwise("")
+    joined = with_rows(docs.withColumn(names["h"], F.xxhash64("text", F.length("text"))), gone, "left", names["h"], 32 + 8 * F.size(names["gone"]))
+    lines, gone, left = _lines(F.col("text")), F.col(names["gone"]), F.col(names["left"])
+    split = names["lines"]
+    joined = joined.withColumn(split, F.when(gone.isNotNull(), lines))
+    places = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), gone)
+    joined = joined.withColumn(names["left"], F.when(gone.isNotNull(), F.transform(places, lambda i: F.get(split, i))))
+    worded = F.exists(left, lambda x: F.trim(F.regexp_replace(x, r"\s+", " ")) != "")
+    text = F.when(gone.isNull(), F.col("text")).when(worded, F.array_join(left, "\n")).otherwise("")
+    breaks = F.coalesce(F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit(""))), F.lit(0))
+    n_lines = (breaks + 1).cast("long")
     return joined.select(
-        *[text.alias(c) if c == "text" else F.col(c) for c in docs.columns], F.size("_lines").cast("long").alias(names["n_lines"]),
-        F.coalesce(F.size("_kept"), F.size("_lines")).cast("long").alias(names["n_kept"]), F.coalesce("_near", F.lit(0)).cast("long").alias(names["n_near"]),
+        *[text.alias(c) if c == "text" else F.col(c) for c in docs.columns], n_lines.alias(names["n_lines"]),
+        F.when(gone.isNotNull(), F.size(left).cast("long")).otherwise(n_lines).alias(names["n_kept"]), F.coalesce(names["near"], F.lit(0)).cast("long").alias(names["n_near"]),
     )
 
 
