@@ -105,8 +105,10 @@ def pack(docs: DataFrame, tokenizer: str, spaced: bool = False, length: int = 20
     """
     groups = max(1, -(-docs.count() // group_docs))
     pieces = docs.select(F.col("doc_id").cast("long"), F.col("text")).mapInArrow(cut_pieces(tokenizer, spaced, length, end_id), PIECE)
-    # A group is a hash of the document, mixed with its checksum so that repeated or null ids spread too.
-    group = F.pmod(F.xxhash64("doc_id", F.when(F.col("doc_id").isNull(), F.col("ids_crc32")), F.floor(F.col("piece") / group_docs)), F.lit(groups))
+    # A group is a hash of the document, mixed with its pieces' lengths and checksums, so that rows of one id, or of none,
+    # are dealt to many groups; only equal rows stay together, and a salt by place in the partition spreads these.
+    salt = F.floor(F.monotonically_increasing_id() / group_docs)
+    group = F.pmod(F.xxhash64("doc_id", "ids_crc32", "length", salt), F.lit(groups))
     return (
         pieces.withColumn("_group", group)
         .groupBy("_group")

@@ -4,12 +4,23 @@ from __future__ import annotations
 
 import os
 import re
+import sys
+from array import array
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 
 #: Chunks whose ids a worker remembers; beyond it, ids are computed anew each time.
-REMEMBERED = 500_000
+REMEMBERED = 400_000
+#: Marks that a pre-tokenizer parts from the letters before them, whatever follows. No apostrophe: it begins contractions.
+_MARKS = ".,;:!?()[]{}<>*&%$#@=+/|~^-\""
+#: Letters below this, and all that lower case makes of them, are letters for the tokenizers' patterns too; but for one.
+_LATIN, _DOTTED = "\u0250", "\u0130"
+#: Byte-level tokenizers write each byte as a character: printable ones as they are, others from U+0100 on.
+_PLAIN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+_OTHERS = [c for c in range(256) if c not in _PLAIN]
+_BYTE_SIGNS = {c: c if c in _PLAIN else 256 + _OTHERS.index(c) for c in range(256)}
 #: Longer chunks are not remembered.
 CHUNK_CHARS = 64
 #: White space for Python but not for the tokenizers' patterns.
@@ -35,24 +46,50 @@ class Ids:
 
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
+        if array("I").itemsize != 4 or sys.byteorder != "little":
+            raise RuntimeError("ids are little-endian unsigned 32-bit")
         self.spaced = spaced
         self.memory: dict[str, bytes] = {}
 
     def _encode(self, chunks: list[str]) -> list[bytes]:
         done = self.library.encode_batch_fast(chunks, add_special_tokens=False)
-        return [np.asarray(e.ids, "<u4").tobytes() for e in done]
+        return [array("I", e.ids).tobytes() for e in done]
+
+    def _word(self, chunk: str) -> bytes | None:
+        """The ids of a chunk of Latin letters with marks behind them, which have ids of their own; None for any other.
+
+        The letters are one pre-token, so the library's model takes them without the steps before it, which cost more.
+        """
+        head = chunk.rstrip(_MARKS)
+        letters = head[1:] if self.spaced and head[:1] == " " else head
+        if not letters.isalpha() or max(letters) >= _LATIN or _DOTTED in letters:
+            return None
+        marks = chunk[len(head) :]
+        ids = self.memory.get(head) if marks else None
+        if ids is None:
+            signs = (head if self.spaced else letters.lower()).encode().decode("latin-1").translate(_BYTE_SIGNS)
+            ids = array("I", [t.id for t in self.library.model.tokenize(signs)]).tobytes()
+        if not marks:
+            return ids
+        if marks not in self.memory:
+            self.memory[marks] = self._encode([marks])[0]
+        return ids + self.memory[marks]
 
     def _learn(self, chunks: list[str]) -> dict[str, bytes]:
         """The ids of the chunks that are not in memory, and room made for them there."""
-        new = list({c for c in chunks if c not in self.memory})
-        out: dict[str, bytes] = {}
-        for i in range(0, len(new), 512):
-            out.update(zip(new[i : i + 512], self._encode(new[i : i + 512])))
-        for c, ids in out.items():
-            if len(self.memory) >= REMEMBERED:
-                break
-            if len(c) <= CHUNK_CHARS:
-                self.memory[c] = ids
+        memory, out, others = self.memory, {}, []
+        for c in chunks:
+            if c not in memory and c not in out:
+                if (ids := self._word(c)) is None:
+                    others.append(c)
+                else:
+                    out[c] = ids
+        others = list(dict.fromkeys(others))
+        for i in range(0, len(others), 512):
+            out.update(zip(others[i : i + 512], self._encode(others[i : i + 512])))
+        room = REMEMBERED - len(memory)
+        if room > 0:
+            memory.update((c, ids) for c, ids in islice(out.items(), room) if len(c) <= CHUNK_CHARS)
         return out
 
     def _chunks(self, text: str) -> list[str]:
