@@ -22,19 +22,28 @@ BUCKETS = 1 << BUCKETS_LOG2
 ROWS_PER_LANGUAGE, ROWS, LEAST_ROWS = 1200, 64 * 1200, 20
 #: The pipeline's stage rejects documents that get less than this, beside those without a letter.
 MIN_SCORE = 0.35
-_LETTERS = re.compile(r"[^\W\d_]+")
+_WORDS = re.compile(r"[^\W\d_]+")
 _CHUNK = 1 << 20
 
 
+def letter_runs(text: str | None) -> list[str]:
+    """The runs of letters (Unicode category L) of a text."""
+    runs = _WORDS.findall(text) if text else []
+    if all(map(str.isalpha, runs)):
+        return runs
+    # Fractions, raised digits and the like are word characters, but no letters.
+    return [part for run in runs for part in "".join(c if c.isalpha() else " " for c in run).split()]
+
+
 def grams(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """The buckets of a text's character n-grams and their counts; none if it has no letter.
 
     Lower case; anything but letters counts as one blank. Long texts are counted piece by piece.
     """
-    runs = _LETTERS.findall(text.lower()) if text else []
+    runs = letter_runs(text)
     if not runs:
         return np.empty(0, np.int64), np.empty(0)
-    points = np.frombuffer((" " + " ".join(runs) + " ").encode("utf-32-le", "surrogatepass"), "<u4")
+    points = np.frombuffer((" " + " ".join(runs).lower() + " ").encode("utf-32-le", "surrogatepass"), "<u4")
     total = np.zeros(BUCKETS, np.int64)
     for start in range(0, len(points), _CHUNK):
         part = points[start : start + _CHUNK + ORDER - 1].astype(np.uint32)
@@ -169,14 +178,14 @@ def _predictor(model: Model, kept: list[str], language: str = "lang_pred", score
 
 def _lettered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        yield b.filter(pa.array([bool(_LETTERS.search(t.as_py() or "")) for t in b.column("text")], pa.bool_()))
+        yield b.filter(pa.array([bool(letter_runs(t.as_py())) for t in b.column("text")], pa.bool_()))
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, lang_pred and score (0 to 1) of each row, from its text alone.
 
-    A null text or one without a letter gets und with score 1. Equal texts get equal answers; a repeated row is
-    answered again; no rows give no rows.
+    A null text or one without a letter gets und with score 1. Of languages that score the same the first by name is
+    taken. Equal texts get equal answers; a repeated row is answered again; no rows give no rows.
     """
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_predictor(model, ["doc_id"]), "doc_id long, lang_pred string, score double")
 
