@@ -145,7 +145,7 @@ def test_ids(spark):
     assert abs(fn.binomial_upper_95(0, 50) - (1 - 0.05 ** (1 / 50))) < 1e-9 and fn.binomial_upper_95(3, 3) == 1 and fn.binomial_upper_95(0, 0) == 1
     answers = ['{"attack_probability": 1.7, "reason": "high"}', 'say {"attack_probability": 0.25} ok', "about 0.4 I think", "none", '{"x": 1}', "", "99 reasons"]
     got = [r["p"] for r in spark.createDataFrame([(a,) for a in answers], "a string").select(fn.parse_probability(F.col("a")).alias("p")).collect()]
-    assert [g["probability"] for g in got] == [1.0, 0.25, 0.4, 0.5, 0.5, 0.5, 0.5] and got[0]["reason"] == "high" and got[1]["reason"] == "(no reason given)" and got[5]["reason"] == "(unparseable model output)"
+    assert [g["probability"] for g in got] == [1.0, 0.25, 0.4, 0.5, 0.5, 0.5, 0.5] and got[0]["reason"] == "high" and got[1]["reason"] == "no reason was stated" and got[5]["reason"] == "the answer was empty"
     e = spark.createDataFrame([("[Stage 1] Timing anomaly (unknown_ids): 1 unknown CAN ID(s), e.g. 7ff (10 frames)",), ("[Stage 2] Payload anomaly (frozen_break): ID 0D0 byte0: x",), ("nothing",)], "e string").select(fn.parse_evidence(F.col("e")).alias("p")).collect()
     assert [tuple(x["p"]) for x in e] == [("Stage 1", "7FF", "unknown_ids"), ("Stage 2", "0D0", "frozen_break"), (None, None, None)]
 
@@ -201,7 +201,7 @@ def test_stage1_and_stage2(spark, detector, tmp_path):
     base = [(r["t_us"] / S, r["can_id"], r["payload"]) for r in normal(spark, seconds=4, seed=3).collect()]
     foreign = frames(spark, sorted(base + [(1.1 + k * 0.05, "7FF", "FF") for k in range(10)]))
     got = {r["w"]: r for r in detector.score(foreign).collect()}
-    assert got[1]["decision"] == "ATTACK" and "7FF" in got[1]["evidence"] and got[1]["evidence"].startswith("[Stage 1] Timing anomaly (unknown_ids)")
+    assert got[1]["decision"] == "ATTACK" and "7FF" in got[1]["evidence"] and got[1]["evidence"].startswith("[Stage 1] unusual timing (unknown_ids)")
     assert got[1]["attack_score"] > max(got[0]["attack_score"], got[2]["attack_score"])
     wild = [(t, c, "FF" + p[2:] if c == "0D0" and 1 <= t < 2 else p) for t, c, p in base]
     one = {r["w"]: r["score_s1"] for r in model.score_stage1(frames(spark, wild), detector.stage1).collect()}
@@ -323,7 +323,7 @@ def test_egress_and_actions(spark):
     assert schema.violations(o, "outcomes").count() == 0
     assert {r["action"]: r["n"] for r in evaluate.action_counts(evaluate.actions(outputs(spark, SIX), "SIMULATED_ISOLATION")).collect()} == {"SIMULATED_ALERT": 0, "SIMULATED_FORWARD": 3, "SIMULATED_ISOLATION": 3}
     said = evaluate.actions(outputs(spark, SIX)).where("window_id = 'w0'").first()["message"]
-    assert said == "[SIMULATION ONLY] SIMULATED_ALERT for window w0 (score 0.90, threshold 0.50)"
+    assert said == "simulated, nothing was sent: SIMULATED_ALERT, window w0, score 0.90 against 0.50"
     assert evaluate.benchmark(spark.createDataFrame([], "latency_ms double")).first()["windows_per_s"] == 0.0
     show = spark.range(1).select(evaluate.display_outcome(F.lit("attack"), F.lit("ACCEPT")), evaluate.display_outcome(F.lit("normal"), F.lit("ATTACK")), evaluate.display_outcome(F.lit(None), F.lit("ATTACK"))).first()
     assert tuple(show) == ("missed", "false_alarm", None)
@@ -339,13 +339,13 @@ def test_attacks(spark):
     done = attacks.inject(placed, push.withColumns({"target_can_id": F.lit("0F4"), "byte_index": F.lit(0)}), S).orderBy("line_no").collect()
     assert [r["payload"] for r in done] == ["0100", "0200", "0100", "FF", "FF"]
     check = lambda s, **k: tuple(attacks.validate(placed, spine, s, S, **k).first()[c] for c in ("valid", "reason", "matching", "changed"))
-    assert check(freeze) == (True, "proposal changes traffic", 3, 1)
-    assert check(freeze, allowed=["0F4"])[1] == "CAN ID is not in the allowed list"
-    assert check(freeze.withColumn("target_can_id", F.lit("0F4"))) == (False, "freeze would change no payloads", 2, 0)
-    assert check(freeze.withColumn("target_can_id", F.lit("123")))[1] == "no frames with target CAN ID in interval"
-    assert check(freeze.withColumn("start_offset_ms", F.lit(1000.0)))[1] == "attack interval does not overlap window"
-    assert check(push.withColumn("byte_index", F.lit(7)))[1].startswith("offset would change no payloads")
-    assert check(freeze.withColumn("family", F.lit("other")))[1] == "unsupported attack family"
+    assert check(freeze) == (True, "it changes frames", 3, 1)
+    assert check(freeze, allowed=["0F4"])[1] == "this id may not be attacked"
+    assert check(freeze.withColumn("target_can_id", F.lit("0F4"))) == (False, "all these payloads are equal already", 2, 0)
+    assert check(freeze.withColumn("target_can_id", F.lit("123")))[1] == "no frame of the id in that time"
+    assert check(freeze.withColumn("start_offset_ms", F.lit(1000.0)))[1] == "it would lie outside the window"
+    assert check(push.withColumn("byte_index", F.lit(7)))[1].startswith("no byte there could move")
+    assert check(freeze.withColumn("family", F.lit("other")))[1] == "no such kind of attack"
     assert schema.violations(push.withColumns({"attack_id": F.lit("a"), "reasoning": F.lit("")}), "specs").count() == 0
     assert {r["payload"] for r in attacks.freeze_id(f, "0D0", "AA").where("can_id = '0D0'").collect()} == {"AA"}
     ev = spark.createDataFrame([("a", "w1", "freeze", "0D0", 0.0, 1.0, 0.1, "v", "development"), ("b", "w1", "offset", "0F4", 0.0, 1.0, 0.1, "v", "development")], schema.EVASIONS)

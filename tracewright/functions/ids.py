@@ -60,12 +60,9 @@ def bit_positions(start: int, width: int, intel: bool) -> list[int]:
     inside a byte, and go on at bit 7 of the next one.
     """
     if intel:
-        return list(range(start + width - 1, start - 1, -1))
-    found = [start]
-    for _ in range(width - 1):
-        at = found[-1]
-        found.append(at + 15 if at % 8 == 0 else at - 1)
-    return found
+        return [start + width - 1 - k for k in range(width)]
+    # Counted from the front, as a big-endian signal runs, bit n has place n ^ 7, and so the other way round.
+    return [((start ^ 7) + k) ^ 7 for k in range(width)]
 
 
 def decode_bits(payload: Column, bits: Column, signed: Column) -> Column:
@@ -90,16 +87,21 @@ def drive_clock(window: Column) -> Column:
     return F.format_string("%02d:%02d:%02d", F.floor(s / 3600), F.floor(s / 60) % 60, s % 60)
 
 
+def _first(text: Column, regex: str) -> Column:
+    """What the group of a regular expression matches first; NULL if nothing."""
+    found = F.regexp_extract(text, regex, 1)
+    return F.when(found != "", found)
+
+
 def parse_evidence(evidence: Column) -> Column:
-    """struct(stage, can_id, check) from a scorer's text; NULL where it names none."""
+    """struct(stage, can_id, check) from a scorer's text; NULL where it names none.
+
+    The stage stands in brackets in front, the check in parentheses; an id follows ID or, failing that, e.g.
+    """
     text = F.coalesce(evidence, F.lit(""))
-    none = F.lit(None).cast("string")
-    stage = F.regexp_extract(text, r"(?i)^\[(Stage [12])\]\s*", 1)
-    rest = F.regexp_replace(text, r"(?i)^\[(?:Stage 1|Stage 2)\]\s*", "")
-    named, shown = F.regexp_extract(rest, r"\bID\s+([0-9A-Fa-f]{2,3})\b", 1), F.regexp_extract(rest, r"\be\.g\.\s+([0-9A-Fa-f]{2,3})\b", 1)
-    check = F.regexp_extract(rest, r"\(([a-z_]+)\)", 1)
-    keep = lambda c: F.when(c != "", c).otherwise(none)
-    return F.struct(keep(stage).alias("stage"), F.upper(F.coalesce(keep(named), keep(shown))).alias("can_id"), keep(check).alias("check"))
+    stage = F.concat(F.lit("Stage "), _first(text, r"(?i)\A\[stage ([12])\]"))
+    can_id = F.coalesce(*[_first(text, rf"(?<!\w){word}\s+(\p{{XDigit}}{{2,3}})(?!\w)") for word in ("ID", r"e\.g\.")])
+    return F.struct(stage.alias("stage"), F.upper(can_id).alias("can_id"), _first(text, r"\(([_a-z]+)\)").alias("check"))
 
 
 def parse_probability(text: Column) -> Column:
@@ -108,25 +110,43 @@ def parse_probability(text: Column) -> Column:
     From the first {...} if it is JSON: attack_probability (0.5 without one) clamped to 0..1 and the reason. Else the
     first number in the text, or 0.5 if there is none or it is beyond 1, and the text's first 200 characters.
     """
-    body = F.regexp_extract(text, r"(?s)\{.*?\}", 0)
+    begin = F.instr(text, "{")
+    end = F.call_function("locate", F.lit("}"), text, begin)
+    body = F.when((begin > 0) & (end > 0), F.substring(text, begin, end - begin + 1)).otherwise("")
     parsed = F.from_json(body, "attack_probability string, reason string, _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
     given = F.coalesce(parsed["attack_probability"], F.lit("0.5")).try_cast("double")
-    usable = (body != "") & parsed["_bad"].isNull() & given.isNotNull()
     reason = F.trim(F.coalesce(parsed["reason"], F.lit("")))
-    number = F.regexp_extract(text, r"(\d*\.\d+|\d+)", 1).try_cast("double")
-    flat = F.substring(F.replace(F.trim(text), F.lit("\n"), F.lit(" ")), 1, 200)
-    fallback = F.struct(F.when(number.between(0, 1), number).otherwise(0.5).alias("probability"), F.when(flat == "", "(unparseable model output)").otherwise(flat).alias("reason"))
-    clamped = F.greatest(F.lit(0.0), F.least(F.lit(1.0), given))
-    return F.when(usable, F.struct(clamped.alias("probability"), F.when(reason == "", "(no reason given)").otherwise(reason).alias("reason"))).otherwise(fallback)
+    answered = F.struct(F.greatest(F.lit(0.0), F.least(F.lit(1.0), given)).alias("probability"), F.when(reason == "", "no reason was stated").otherwise(reason).alias("reason"))
+    number = _first(text, r"([0-9]*\.?[0-9]+)").try_cast("double")
+    shown = F.left(F.translate(F.trim(text), "\n", " "), F.lit(200))
+    guessed = F.struct(F.when(number <= 1, number).otherwise(0.5).alias("probability"), F.when(shown == "", "the answer was empty").otherwise(shown).alias("reason"))
+    return F.when((body != "") & parsed["_bad"].isNull() & given.isNotNull(), answered).otherwise(guessed)
 
 
 def binomial_upper_95(k: int, n: int) -> float:
-    """The exact one-sided 95 % upper bound (Clopper-Pearson) of a rate of which k of n were seen; 1 if it can't be told."""
+    """The exact one-sided 95 % upper bound (Clopper-Pearson) of a rate of which k of n were seen; 1 if it can't be told.
+
+    It is the p at which at most k of n have a chance of 5 %. The logarithm of that chance is concave in p and falls, so
+    Newton's steps from beyond the root come down to it without passing it.
+    """
     if n <= 0 or k >= n:
         return 1.0
-    low, high = k / n, 1.0
-    for _ in range(100):
-        p = (low + high) / 2
-        logs = [math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(p) + (n - i) * math.log1p(-p) for i in range(k + 1)] if 0 < p < 1 else [-math.inf]
-        low, high = (p, high) if math.fsum(math.exp(x) for x in logs) > 0.05 else (low, p)
-    return (low + high) / 2
+    ways = math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1)
+
+    def excess(p: float) -> tuple[float, float]:
+        """log(chance / 0.05) and its slope."""
+        odds, term, total = (1 - p) / p, 1.0, 1.0
+        for i in range(k, 0, -1):  # each term from the one above it
+            term *= i / (n - i + 1) * odds
+            total += term
+        return ways + k * math.log(p) + (n - k) * math.log1p(-p) + math.log(total * 20), -(n - k) / (1 - p) / total
+
+    p = (k + 1) / (n + 1)
+    while excess(p)[0] > 0:
+        p = (1 + p) / 2
+    for _ in range(200):
+        value, slope = excess(p)
+        if value / slope <= p * 1e-13:
+            break
+        p -= value / slope
+    return p

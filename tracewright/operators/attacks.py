@@ -74,14 +74,14 @@ def validate(placed: DataFrame, spine: DataFrame, specs: DataFrame, us: int, all
     change = F.when(F.col("family") == "freeze", F.col("payload") != F.col("first_payload")).otherwise(_pushed() != F.col("payload"))
     counts = hit.withColumn("first_payload", first).groupBy("capture_id", "w", "family").agg(F.count(F.lit(1)).alias("matching"), F.count_if(change).alias("changed"))
     both = own.join(counts, ["capture_id", "w", "family"], "left").fillna(0, ["matching", "changed"])
-    reason = F.when(~F.col("family").isin("freeze", "offset"), "unsupported attack family")
+    reason = F.when(~F.col("family").isin("freeze", "offset"), "no such kind of attack")
     if allowed is not None:
-        reason = reason.when(~F.upper("target_can_id").isin([a.upper() for a in allowed]), "CAN ID is not in the allowed list")
-    reason = reason.when((F.col("start_offset_ms") * 1000 >= us) | (F.col("start_offset_ms") + F.col("duration_ms") <= 0), "attack interval does not overlap window")
-    reason = reason.when(F.col("matching") == 0, "no frames with target CAN ID in interval").when((F.col("changed") == 0) & (F.col("family") == "freeze"), "freeze would change no payloads")
-    reason = reason.when(F.col("changed") == 0, "offset would change no payloads (too short, or already clamped)").otherwise("proposal changes traffic")
-    told = reason.isin("unsupported attack family", "CAN ID is not in the allowed list", "attack interval does not overlap window")
-    return both.select("window_id", "family", "target_can_id", (reason == "proposal changes traffic").alias("valid"), reason.alias("reason"), F.when(told, 0).otherwise(F.col("matching")).alias("matching"), F.when(told, 0).otherwise(F.col("changed")).alias("changed"))
+        reason = reason.when(~F.upper("target_can_id").isin([a.upper() for a in allowed]), "this id may not be attacked")
+    reason = reason.when((F.col("start_offset_ms") * 1000 >= us) | (F.col("start_offset_ms") + F.col("duration_ms") <= 0), "it would lie outside the window")
+    reason = reason.when(F.col("matching") == 0, "no frame of the id in that time").when((F.col("changed") == 0) & (F.col("family") == "freeze"), "all these payloads are equal already")
+    reason = reason.when(F.col("changed") == 0, "no byte there could move").otherwise("it changes frames")
+    told = reason.isin("no such kind of attack", "this id may not be attacked", "it would lie outside the window")
+    return both.select("window_id", "family", "target_can_id", (reason == "it changes frames").alias("valid"), reason.alias("reason"), F.when(told, 0).otherwise(F.col("matching")).alias("matching"), F.when(told, 0).otherwise(F.col("changed")).alias("changed"))
 
 
 def evasions(specs: DataFrame, results: DataFrame, split: str = "development") -> DataFrame:

@@ -91,8 +91,8 @@ def escalations(outputs: DataFrame, half_width: float) -> DataFrame:
         raise ValueError("a band's half width is 0 to 0.5")
     low, high = F.greatest(F.lit(0.0), F.col("threshold") - half_width), F.least(F.lit(1.0), F.col("threshold") + half_width)
     own = outputs.withColumns({"band_low": low, "band_high": high, "escalate": F.col("attack_score").between(low, high)})
-    inside = F.format_string("score %.3f is inside the uncertainty band [%.3f, %.3f] around threshold %.3f", "attack_score", "band_low", "band_high", "threshold")
-    outside = F.format_string("score %.3f is outside the uncertainty band [%.3f, %.3f]; local decision is confident, no escalation needed", "attack_score", "band_low", "band_high")
+    inside = F.format_string("%.3f lies in the band %.3f to %.3f about the threshold %.3f: ask", "attack_score", "band_low", "band_high", "threshold")
+    outside = F.format_string("%.3f lies beyond the band %.3f to %.3f: decided here", "attack_score", "band_low", "band_high")
     return own.withColumn("reason", F.when(F.col("escalate"), inside).otherwise(outside))
 
 
@@ -108,7 +108,7 @@ def second_opinion(bundle: DataFrame, other_threshold: float = 0.6) -> DataFrame
     """A simulated second opinion by a fixed threshold of its own: confirm, override_to_attack or override_to_accept."""
     attack = F.col("attack_score") >= other_threshold
     advice = F.when(attack == (F.col("decision") == "ATTACK"), "confirm").when(attack, "override_to_attack").otherwise("override_to_accept")
-    return bundle.select("window_id", advice.alias("advice"), F.format_string("simulated second opinion (score %.3f)", "attack_score").alias("note"))
+    return bundle.select("window_id", advice.alias("advice"), F.format_string("opinion of the stand-in on a score of %.3f", "attack_score").alias("note"))
 
 
 ACTIONS = ("SIMULATED_ALERT", "SIMULATED_FORWARD", "SIMULATED_ISOLATION")
@@ -117,7 +117,7 @@ ACTIONS = ("SIMULATED_ALERT", "SIMULATED_FORWARD", "SIMULATED_ISOLATION")
 def actions(outputs: DataFrame, on_attack: str = "SIMULATED_ALERT") -> DataFrame:
     """The simulated response to each output."""
     action = F.when(F.col("decision") == "ATTACK", on_attack).otherwise("SIMULATED_FORWARD")
-    message = F.format_string("[SIMULATION ONLY] %s for window %s (score %.2f, threshold %.2f)", action, "window_id", "attack_score", "threshold")
+    message = F.format_string("simulated, nothing was sent: %s, window %s, score %.2f against %.2f", action, "window_id", "attack_score", "threshold")
     return outputs.select("window_id", "attack_score", "decision", action.alias("action"), message.alias("message"))
 
 

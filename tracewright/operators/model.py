@@ -117,7 +117,7 @@ def ranked(checks: DataFrame, reference: DataFrame, names: tuple[str, ...], n: i
     kind = "timing" if stage == 1 else "payload"
     own = own.withColumns({f"score_s{stage}": score, f"top_s{stage}": top})
     told = (F.col(f"score_s{stage}") > n / (n + 1)) & said.isNotNull()
-    text = F.when(told, F.concat(F.lit(f"{kind.capitalize()} anomaly ("), F.col(f"top_s{stage}"), F.lit("): "), said)).otherwise(f"No {kind} anomaly beyond normal training range")
+    text = F.when(told, F.concat(F.lit(f"unusual {kind} ("), F.col(f"top_s{stage}"), F.lit("): "), said)).otherwise(f"{kind} as in training")
     return own.withColumn(f"evidence_s{stage}", text)
 
 
@@ -125,9 +125,9 @@ def score_stage1(frames: DataFrame, m: Stage1) -> DataFrame:
     us = m.window_us
     checks = features.timing(features.per_id(windows.assign(frames, us)), windows.spine(frames, us), m.ids, us / 1e6)
     said = (
-        F.when(F.col("top_s1") == "unknown_ids", F.when(F.col("unknown_kinds") > 0, F.format_string("%d unknown CAN ID(s), e.g. %s (%d frames)", "unknown_kinds", "unknown_id", "unknown_n")))
-        .when(F.col("top_s1") == "rate_excess", F.when(F.col("rate_id").isNotNull(), F.format_string("ID %s: %.1fx normal frame rate", "rate_id", "rate_excess")))
-        .otherwise(F.when(F.col("gap_id").isNotNull(), F.format_string("ID %s: gaps %.1fx shorter than normal", "gap_id", "short_gaps")))
+        F.when(F.col("top_s1") == "unknown_ids", F.when(F.col("unknown_kinds") > 0, F.format_string("ids never seen in training: %d, e.g. %s with %d frames", "unknown_kinds", "unknown_id", "unknown_n")))
+        .when(F.col("top_s1") == "rate_excess", F.when(F.col("rate_id").isNotNull(), F.format_string("ID %s sends %.1f times as often as it did", "rate_id", "rate_excess")))
+        .otherwise(F.when(F.col("gap_id").isNotNull(), F.format_string("ID %s leaves gaps %.1f times as short", "gap_id", "short_gaps")))
     )
     return ranked(checks, m.reference, TIMING, m.n, 1, said)
 
