@@ -159,7 +159,7 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
     sums are made per task before they are shuffled, so a node with very many links is no burden; the roots are
     written to the shared folder each time, and only the number of changes comes to the driver.
     """
-    both = scratch.cut(links.union(links.select("b", "a")).where("a <> b").distinct(), "links")
+    both = scratch.cut(links.select("a", "b").union(links.select("b", "a")).where("a <> b").distinct(), "links")
     roots = scratch.cut(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("root")).withColumnRenamed("a", "node"), "roots")
     while True:
         near = both.join(roots.withColumnRenamed("node", "b"), "b").select(F.col("a").alias("node"), "root")
