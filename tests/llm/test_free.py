@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.parquet
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -89,12 +90,38 @@ def test_packing(spark, both, nothing):
 
 def test_id_coder():
     r = np.random.default_rng(2)
-    blocks = [r.integers(0, 50000, n).astype("<u4") for n in (0, 1, 5, 700)] + [np.full(30000, 7, "<u4"), np.tile(np.arange(50, dtype="<u4"), 160), np.array([id_coder.ID_LIMIT - 1, 0] * 9, "<u4"), (r.zipf(1.3, 5000) % 50000).astype("<u4")]
+    blocks = [r.integers(0, 50000, n).astype("<u4") for n in (0, 1, 5, 700)] + [np.full(id_coder.BLOCK, 7, "<u4"), np.tile(np.arange(50, dtype="<u4"), 160), np.array([id_coder.ID_LIMIT - 1, 0] * 90, "<u4"), (r.zipf(1.3, 5000) % 50000).astype("<u4")]
     coded = id_coder.encode(blocks)
     assert all((a == b).all() and len(a) == len(b) for a, b in zip(blocks, id_coder.decode(coded, [len(b) for b in blocks])))
-    assert len(coded[4]) < 300 and len(coded[5]) < 400
-    with pytest.raises(ValueError):
-        id_coder.encode([np.array([id_coder.ID_LIMIT], "<u4")])
+    assert len(coded[4]) < 100 and len(coded[5]) < 150
+    assert id_coder.encode([]) == [] == id_coder.decode([], [])
+    # A block is coded on its own: the same words beside other blocks or alone.
+    assert (id_coder.encode([blocks[7]])[0] == coded[7]).all()
+    for wrong in (np.array([id_coder.ID_LIMIT], "<u4"), np.zeros(id_coder.BLOCK + 1, "<u4")):
+        with pytest.raises(ValueError):
+            id_coder.encode([wrong])
+
+
+def test_id_coder_beats_a_general_compressor():
+    mine = Ids(BYTE_BPE, True)
+    texts = pa.parquet.read_table(f"{DATA}/documents.parquet", columns=["text"]).column(0).to_pylist()
+    ids = np.concatenate([np.frombuffer(mine.encode(t), "<u4") for t in texts])
+    blocks = [ids[i : i + id_coder.BLOCK] for i in range(0, len(ids), id_coder.BLOCK)]
+    bits = 32 * sum(map(len, id_coder.encode(blocks))) / len(ids)
+    general = 8 * sum(len(zlib.compress(b.astype("<u2").tobytes(), 9)) for b in blocks) / len(ids)
+    assert bits < 0.95 * general
+
+
+def test_ranks_are_those_of_the_ids_before():
+    r = np.random.default_rng(4)
+    ids = (r.zipf(1.2, 3000) % 5000).astype("<u4")
+    steps, want = id_coder._rankings(), []
+    for i, x in enumerate(ids.tolist()):
+        begin = max((n for n in steps if n <= i), default=0)
+        counts = Counter(ids[:begin].tolist())
+        ranks = {v: n for n, v in enumerate(sorted(counts, key=lambda v: (-counts[v], v)))}
+        want.append(ranks.get(x, id_coder.RANKED + x) + 1)
+    assert id_coder._names(ids).tolist() == want
 
 
 def test_token_files(spark, both, nothing):

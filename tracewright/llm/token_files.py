@@ -14,11 +14,11 @@ from tracewright.llm import id_coder
 from tracewright.llm.common import cut, shared_dir, table
 from tracewright.llm.tokens import ids_of
 
-MAGIC = b"TWID1\0\0\0"
+MAGIC = b"TWID2\0\0\0"
 #: Blocks of a segment at most, but for a longer document, which is never split over segments.
-SEGMENT_BLOCKS = 64
+SEGMENT_BLOCKS = 16
 #: Blocks coded in step.
-LANES = 1600
+LANES = 400
 FILE = "file int, segment long, doc_ids array<long>, record binary"
 
 
