@@ -90,7 +90,7 @@ def test_packing(spark, both, nothing):
 
 def test_id_coder():
     r = np.random.default_rng(2)
-    blocks = [r.integers(0, 50000, n).astype("<u4") for n in (0, 1, 5, 700)] + [np.full(id_coder.BLOCK, 7, "<u4"), np.tile(np.arange(50, dtype="<u4"), 160), np.array([id_coder.ID_LIMIT - 1, 0] * 90, "<u4"), (r.zipf(1.3, 5000) % 50000).astype("<u4")]
+    blocks = [r.integers(0, 50000, n).astype("<u4") for n in (0, 1, 5, 700)] + [np.full(id_coder.BLOCK, 7, "<u4"), np.tile(np.arange(50, dtype="<u4"), 80), np.array([id_coder.ID_LIMIT - 1, 0] * 90, "<u4"), (r.zipf(1.3, 4000) % 50000).astype("<u4")]
     coded = id_coder.encode(blocks)
     assert all((a == b).all() and len(a) == len(b) for a, b in zip(blocks, id_coder.decode(coded, [len(b) for b in blocks])))
     assert len(coded[4]) < 100 and len(coded[5]) < 150

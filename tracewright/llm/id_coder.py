@@ -19,13 +19,13 @@ from __future__ import annotations
 
 import numpy as np
 
-BLOCK = 16384
+BLOCK = 4096
 #: Names below this are ranks; a block cannot have more different ids.
 RANKED = BLOCK
 #: Ids must be below this.
 ID_LIMIT = (1 << 18) - 1 - RANKED
 SYMBOLS = 20
-_SLOT_BITS = 13
+_SLOT_BITS = 12
 #: Ids are ranked anew when their number has grown from _FIRST by a quarter, again and again.
 _FIRST = 64
 #: A row's weight moves by 1/32 of the way, within bounds; it is used in parts of 16.

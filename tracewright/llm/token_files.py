@@ -16,9 +16,9 @@ from tracewright.llm.tokens import ids_of
 
 MAGIC = b"TWID2\0\0\0"
 #: Blocks of a segment at most, but for a longer document, which is never split over segments.
-SEGMENT_BLOCKS = 16
+SEGMENT_BLOCKS = 64
 #: Blocks coded in step.
-LANES = 400
+LANES = 1200
 FILE = "file int, segment long, doc_ids array<long>, record binary"
 
 
