@@ -12,6 +12,7 @@ from tracewright.llm.near_duplicates import op4_near_duplicates
 from tracewright.llm.packing import op1_packing
 from tracewright.llm.personal_data import op7_personal_data
 from tracewright.llm.token_files import op2_token_files
+from tracewright.llm.url_filters import op13_url_filters
 
 QUERIES = {
     "op1_packing": op1_packing,
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_language_id": op8_language_id,
     "op9_decontamination": op9_decontamination,
     "op10_fingerprints": op10_fingerprints,
+    "op13_url_filters": op13_url_filters,
 }
 
 _WORDS = "list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '')"
