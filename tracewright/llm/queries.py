@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from tracewright.llm.decontamination import op9_decontamination
+from tracewright.llm.divergence import op11_divergence
 from tracewright.llm.fingerprints import op10_fingerprints
 from tracewright.llm.language_id import op8_language_id
 from tracewright.llm.language_model import op5_language_model
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_language_id": op8_language_id,
     "op9_decontamination": op9_decontamination,
     "op10_fingerprints": op10_fingerprints,
+    "op11_divergence": op11_divergence,
     "op13_url_filters": op13_url_filters,
 }
 
@@ -50,4 +52,15 @@ ORACLES = {
     ids AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids FROM (SELECT DISTINCT doc_id, item_id FROM hits) GROUP BY doc_id)
     SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
     FROM docs LEFT JOIN hit USING (doc_id) LEFT JOIN ids USING (doc_id)""",
+    "op11_divergence": r"""WITH d AS (SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, row_number() OVER () AS id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+    t AS (SELECT lang, source, id, unnest(w) AS term FROM d),
+    kept AS (SELECT lang, term, count(*) AS ln FROM t GROUP BY ALL HAVING count(DISTINCT id) >= 3),
+    c AS (SELECT lang, source, term, count(*) AS n FROM t SEMI JOIN kept USING (lang, term) GROUP BY ALL),
+    g AS (SELECT lang, source, coalesce(v, 0) AS v, coalesce(n, 0) + coalesce(v, 0) AS total, coalesce(nl, 0) + coalesce(v, 0) AS lang_total FROM (SELECT DISTINCT lang, source FROM d)
+        LEFT JOIN (SELECT lang, count(*) AS v, sum(ln) AS nl FROM kept GROUP BY lang) USING (lang) LEFT JOIN (SELECT lang, source, sum(n) AS n FROM c GROUP BY ALL) USING (lang, source)),
+    p AS (SELECT lang, source, term, coalesce(c.n, 0) AS n, 1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 1)) // total AS p, 1 + (1000000000::HUGEINT * (ln + 1)) // lang_total AS q FROM g JOIN kept USING (lang) LEFT JOIN c USING (lang, source, term)),
+    pairs AS (SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // b.p) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+    every AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0)::BIGINT AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN pairs x ON x.lang = a.lang AND x.source = a.source AND x.item = b.source
+        UNION ALL SELECT lang, source, 'term', term, (((p - q) * (p - q)) // q)::BIGINT FROM p WHERE n > 0 AND p > q)
+    SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INT AS rank FROM every QUALIFY part = 'pair' OR rank <= 200""",
 }
