@@ -23,8 +23,11 @@ def texts(batch: pa.RecordBatch, name: str = "text") -> Iterator[bytes]:
         yield x.as_py() or b""
 
 
-def word_counts(docs: DataFrame, keys: list[str], split: Callable[[bytes], list[bytes]]) -> DataFrame:
-    """keys, term, n (occurrences), docs (rows with the term), in parts that have to be summed. keys are text without null."""
+def word_counts(docs: DataFrame, keys: list[str], split: Callable[[bytes], list[bytes]], by_row: bool = True) -> DataFrame:
+    """keys, term, n (occurrences), docs (rows with the term; 0 unless by_row), in parts that have to be summed.
+
+    keys are text without null.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple, tuple[Counter, Counter]] = {}
@@ -46,7 +49,8 @@ def word_counts(docs: DataFrame, keys: list[str], split: Callable[[bytes], list[
                 n, rows = held.setdefault(tuple(key), (Counter(), Counter()))
                 size -= len(n)
                 n.update(words)
-                rows.update(set(words))
+                if by_row:
+                    rows.update(set(words))
                 size += len(n)
                 if size > HELD:
                     yield from out()

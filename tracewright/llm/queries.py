@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from tracewright.llm.collocations import op12_collocations
 from tracewright.llm.decontamination import op9_decontamination
 from tracewright.llm.divergence import op11_divergence
 from tracewright.llm.fingerprints import op10_fingerprints
@@ -27,6 +28,7 @@ QUERIES = {
     "op9_decontamination": op9_decontamination,
     "op10_fingerprints": op10_fingerprints,
     "op11_divergence": op11_divergence,
+    "op12_collocations": op12_collocations,
     "op13_url_filters": op13_url_filters,
 }
 
@@ -63,4 +65,17 @@ ORACLES = {
     every AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0)::BIGINT AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN pairs x ON x.lang = a.lang AND x.source = a.source AND x.item = b.source
         UNION ALL SELECT lang, source, 'term', term, (((p - q) * (p - q)) // q)::BIGINT FROM p WHERE n > 0 AND p > q)
     SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INT AS rank FROM every QUALIFY part = 'pair' OR rank <= 200""",
+    "op12_collocations": r"""WITH d AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+    p AS MATERIALIZED (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM d),
+    g AS MATERIALIZED (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM p, (VALUES (1), (2), (3), (4)) s(k) WHERE len(w) >= k)),
+    f AS MATERIALIZED (SELECT lang, k, phrase, count(*) AS a FROM g GROUP BY ALL),
+    c AS MATERIALIZED (SELECT lang, k, phrase, a, string_split(phrase, ' ') AS w FROM f WHERE k > 1 AND a >= 30),
+    parts AS MATERIALIZED (SELECT lang, phrase, a, j, array_to_string(w[1:j], ' ') AS head, array_to_string(w[j + 1:], ' ') AS tail FROM (SELECT *, unnest(range(1, k)) AS j FROM c)),
+    heads AS MATERIALIZED (SELECT x.*, h.a AS l FROM parts x JOIN f h ON h.lang = x.lang AND h.phrase = x.head),
+    cuts AS MATERIALIZED (SELECT x.lang, x.phrase, x.a, j, l, t.a AS r, (2000000::HUGEINT * x.a) // (l + t.a) AS score FROM heads x JOIN f t ON t.lang = x.lang AND t.phrase = x.tail),
+    best AS MATERIALIZED (SELECT lang, phrase, a, min({'score': score, 'j': j, 'l': l, 'r': r}) AS b FROM cuts GROUP BY ALL),
+    runs AS (SELECT lang, a, array_to_string(w[i:i + j - 1], ' ') AS phrase FROM (SELECT *, unnest(range(1, k - j + 2)) AS i FROM (SELECT *, unnest(range(2, k)) AS j FROM c))),
+    longer AS MATERIALIZED (SELECT lang, phrase, max(a) AS m FROM runs GROUP BY ALL)
+    SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY b.score DESC, a DESC, phrase) AS rank, phrase, a, b.l AS l, b.r AS r, n, b.score::BIGINT AS score FROM best LEFT JOIN longer USING (lang, phrase) JOIN (SELECT lang, sum(a)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang) USING (lang)
+    WHERE m IS NULL OR 100 * m < 80 * a QUALIFY rank <= 2000""",
 }
