@@ -20,7 +20,7 @@ def odd_rows():
     texts = [
         None, "", "   ", "...!?", "one", "Two words", base, base, " ".join(almost), base + " more", long, line + "\n" + sentence(12), sentence(9) + "\n" + line, line.replace("several", "severa"),
         "All Rights Reserved. Licensed under the Apache License, Version 2.0.\nGeneral  public, license cc-by CC BY", "mail a.b@c.example.org or +1 (415) 555-0100 at 10.0.0.256 10.0.0.25 card 4111 1111 1111 1111 x 4111111111111112",
-        'token = "11acdfb36bb72224148e6160f674b4be45601bff"', "üñí çödé 中文 👍🏽 text\r\nwith odd\x00 signs \x1c and\ttabs", "x" * 3000, "1 2 3 4 " * 50,
+        'token = "11acdfb36bb72224148e6160f674b4be45601bff"', "üñí çödé 中文 👍🏽 text\r\nwith odd\x00 signs \x1c and\ttabs", "x" * 3000, "1 2 3 4 " * 50, "some <|endoftext|> text <|startoftext|>", "<|endoftext|>",
     ]
     rows = [(i * 3 + 1, t, r.choice(["en", "de", None]), r.choice(["a", "b", None]), len(t or "")) for i, t in enumerate(texts)]
     rows += [rows[6], rows[6], (None, base, None, None, None), (None, None, None, None, None), (7, "another text of the same id", "en", "a", 1)]

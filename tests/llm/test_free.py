@@ -32,21 +32,31 @@ def both(spark, odd):
 
 def plain_ids(path, text):
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
     return t.encode(text or "", add_special_tokens=False).ids
 
 
 @pytest.mark.parametrize("path,spaced", [(WORD_BPE, False), (BYTE_BPE, True)])
 def test_ids_are_the_librarys(path, spaced):
     r, library = random.Random(3), Tokenizer.from_file(path)
-    library.encode_special_tokens = True
-    parts = ["a", "b ", "  ", " ", "\n", " \n", "\t", "'s", "'S", "É", "ß", "1", "²", "…", ",", "don't", " ", "\x1c", "́", "İ", "Σ", "ας", "中文", "👍🏽", "\r\n", "<|endoftext|>", "\x85", "\x00", "-", " .", "word", " "]
+    parts = ["a", "b ", "  ", " ", "\n", " \n", "\t", "'s", "'S", "É", "ß", "1", "²", "…", ",", "don't", " ", "\x1c", "́", "İ", "Σ", "ας", "中文", "👍🏽", "\r\n", "<|endoftext|>", "<|startoftext|>", "<|endof", "\x85", "\x00", "-", " .", "word", " "]
     mine = Ids(path, spaced)
     for _ in range(1500):
         text = "".join(r.choice(parts) for _ in range(r.randint(0, 30)))
         assert np.frombuffer(mine.encode(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+@pytest.mark.parametrize("path,spaced", [(WORD_BPE, False), (BYTE_BPE, True)])
+def test_every_added_token_keeps_its_id(path, spaced):
+    library, mine = Tokenizer.from_file(path), Ids(path, spaced)
+    added = library.get_added_tokens_decoder()
+    assert added
+    for number, token in added.items():
+        for text in (token.content, f"some {token.content} text", f"a{token.content}{token.content}b ", f" {token.content.upper()} {token.content[:-1]}", f"e\u0301{token.content}\u0301"):
+            ids = np.frombuffer(mine.encode(text), "<u4").tolist()
+            assert ids == library.encode(text, add_special_tokens=False).ids
+            assert (number in ids) == (token.content in text)
+
+
 def test_best_fit_is_best_fit():
     r = np.random.default_rng(1)
     for n in (0, 1, 60, 700):

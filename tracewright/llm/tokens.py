@@ -45,7 +45,9 @@ class Ids:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
+        # The library finds these before all else, exactly as they are written, and treats what stands between on its own.
+        self.added = {t.content: array("I", [i]).tobytes() for i, t in self.library.get_added_tokens_decoder().items()}
+        self.at_added = re.compile(f"({'|'.join(map(re.escape, sorted(self.added, key=len, reverse=True)))})") if self.added else None
         if array("I").itemsize != 4 or sys.byteorder != "little":
             raise RuntimeError("ids are little-endian unsigned 32-bit")
         self.spaced = spaced
@@ -101,6 +103,12 @@ class Ids:
         return [first, *[" " + c for c in rest]] if first else []
 
     def encode(self, text: str | None) -> bytes:
+        if text and any(t in text for t in self.added):
+            return b"".join([self.added[x] if x in self.added else self._plain(x) for x in self.at_added.split(text)])
+        return self._plain(text)
+
+    def _plain(self, text: str | None) -> bytes:
+        """The ids of a text without added tokens."""
         if not text:
             return b""
         if any(c in text for c in _ODD) or (self.spaced and text.endswith(" ")):
