@@ -1,24 +1,68 @@
-"""Where a regular expression matches in a text, in DataFrame expressions."""
+"""Where a regular expression matches in a text, in DataFrame expressions whose cost is linear in the text."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F
 
+_BLOCK = 256
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value computed once however often body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _indexes(n: Column) -> Column:
+    """0 to n - 1 as an array, empty for 0."""
+    return F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+
+
+def _sum(a: Column) -> Column:
+    return F.aggregate(a, F.lit(0), lambda x, y: x + y)
+
+
+def _blocks(a: Column, n: Column) -> Column:
+    return F.transform(_indexes(F.ceil(n / _BLOCK).cast("int")), lambda b: F.slice(a, b * _BLOCK + 1, F.lit(_BLOCK)))
+
+
+def sums_before(a: Column, levels: int = 3) -> Column:
+    """For each place of an array of int the sum of all before it.
+
+    Sums go by blocks of 256, and over blocks of blocks, so each place adds a bounded number of values at each level.
+    """
+
+    def within(block: Column, start: Column) -> Column:
+        return F.transform(block, lambda x, i: start + _sum(F.slice(block, F.lit(1), i)))
+
+    if levels == 1:
+        return within(a, F.lit(0))
+
+    def by_blocks(parts: Column) -> Column:
+        starts = sums_before(F.transform(parts, _sum), levels - 1)
+        return F.flatten(F.zip_with(parts, starts, within))
+
+    return _let(_blocks(a, F.size(a)), by_blocks)
+
 
 def matches(text: Column, regex: Column) -> Column:
-    """The matches in a text from left to right, as structs: first, last (code points, last exclusive), value.
+    """The matches in a text from left to right, as structs: first, last (code points, last exclusive), value, before and
+    after (what lies between the match and its neighbours, or the text's ends).
 
     The lengths of what lies between the matches, and of the matches, tell where each one is.
     """
-    hits = F.regexp_extract_all(text, regex, F.lit(0))
-    gaps = F.transform(F.split(text, regex, -1), F.length)
-    steps = F.arrays_zip(F.slice(gaps, 1, F.size(hits)).alias("gap"), hits.alias("hit"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<first:int,last:int,value:string>>").alias("spans"))
-
-    def add(acc: Column, x: Column) -> Column:
-        first = acc["at"] + x["gap"]
-        last = first + F.length(x["hit"])
-        one = F.struct(first.alias("first"), last.alias("last"), x["hit"].alias("value"))
-        return F.struct(last.alias("at"), F.concat(acc["spans"], F.array(one)).alias("spans"))
-
-    return F.aggregate(steps, start, add)["spans"]
+    both = F.struct(F.regexp_extract_all(text, regex, F.lit(0)).alias("hits"), F.split(text, regex, -1).alias("gaps"))
+
+    def placed(s: Column) -> Column:
+        steps = F.transform(s["hits"], lambda h, i: F.length(h) + F.length(F.get(s["gaps"], i)))
+        ends = F.arrays_zip(sums_before(steps).alias("at"), s["hits"].alias("hit"))
+
+        def one(x: Column, i: Column) -> Column:
+            gap = F.get(s["gaps"], i)
+            first = x["at"] + F.length(gap)
+            return F.struct(first.alias("first"), (first + F.length(x["hit"])).alias("last"), x["hit"].alias("value"), gap.alias("before"), F.get(s["gaps"], i + 1).alias("after"))
+
+        return F.transform(ends, one)
+
+    return _let(both, placed)
