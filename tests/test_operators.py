@@ -356,19 +356,6 @@ def test_attacks(spark):
     assert {(r["target_can_id"], r["coverage_gap"]) for r in attacks.diagnose(ev, ["0d0"]).collect()} == {("0D0", 0), ("0F4", 1)}
 
 
-def test_leave_one_out_matches_single_fits(spark):
-    f = normal(spark, "cap01", 8, 1).union(normal(spark, "cap02", 7, 2)).union(normal(spark, "cap03", 9, 3))
-    placed, spine = windows.assign(f, S), windows.spine(f, S)
-    folds = crossval.leave_out(spine)
-    assert folds.where("inner is null").count() == 6 and folds.where("inner is not null").count() == 6
-    models = crossval.timing_models(placed, spine, folds, S).where("outer = 'cap01' and inner is null")
-    alone = model.fit_stage1(f.where("capture_id <> 'cap01'"), S).ids
-    a = {r["can_id"]: (round(r["rate"], 9), round(r["median_gap"], 9)) for r in models.collect()}
-    assert a == {r["can_id"]: (round(r["rate"], 9), round(r["median_gap"], 9)) for r in alone.collect()}
-    got = crossval.leave_one_out(f, S, 0.1).collect()
-    assert {r["outer"]: r["windows"] for r in got} == {"cap01": 7, "cap02": 6, "cap03": 8}
-
-
 def test_comparison_models(spark):
     import numpy as np
 

@@ -44,10 +44,19 @@ def _pushed() -> Column:
     return F.when(fits & (moved != byte), F.upper(F.overlay("payload", F.format_string("%02X", moved.cast("long")), at, F.lit(2)))).otherwise(F.col("payload"))
 
 
+def guarded(specs: DataFrame, us: int) -> DataFrame:
+    """specs, whose use fails if an attack's interval does not reach into its window."""
+    fits = (F.col("duration_ms") > 0) & (F.col("start_offset_ms") >= 0) & (F.col("start_offset_ms") * 1000 < us)
+    told = F.format_string("the attack on %s, window %d, does not overlap its window", "capture_id", "w")
+    return specs.withColumn("family", F.when(fits, F.col("family")).otherwise(F.raise_error(told).cast("string")))
+
+
 def inject(placed: DataFrame, specs: DataFrame, us: int, variant: int = 1) -> DataFrame:
     """The frames of each attacked window, with its changes: freeze repeats the target's first payload in the interval,
     offset moves a byte. Adds attacked_window_id, changed and the old payload; specs: capture_id, w and a proposal."""
-    own = placed.join(specs, ["capture_id", "w"]).withColumn("aimed", _aimed(us))
+    if "decoded_signals" in placed.columns:
+        raise ValueError("attacks are injected into raw frames, before signals are decoded")
+    own = placed.join(guarded(specs, us), ["capture_id", "w"]).withColumn("aimed", _aimed(us))
     order = Window.partitionBy("capture_id", "w", "family").orderBy(~F.col("aimed"), "t_us", "line_no")
     own = own.withColumn("frozen", F.first("payload").over(order))
     new = F.when(F.col("aimed") & (F.col("family") == "freeze"), F.col("frozen")).when(F.col("aimed") & (F.col("family") == "offset"), _pushed()).otherwise(F.col("payload"))

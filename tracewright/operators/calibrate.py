@@ -7,20 +7,58 @@ import math
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tracewright.functions.ids import binomial_upper_95
+from tracewright.operators import ranks
+from tracewright.operators.store import written
+
+#: Parts that one round of a selection counts.
+BINS = 1024
 
 
 def band_counts(scores: DataFrame, threshold: float) -> DataFrame:
     """(width, m): each candidate half width and the normal scores (attack_score) inside its band.
 
-    Candidates are 0, 0.5 and each score's distance, 0.5 at most. A band is closed and ends at 0 and 1. Equal scores are
-    counted once and each candidate's band directly, since arithmetic on its edges isn't exact.
+    Candidates are 0, 0.5 and each score's distance, 0.5 at most. A band is closed and ends at 0 and 1. Scores and the edges
+    of all bands are merged in order, and a band holds what is up to its upper edge without what is below its lower one;
+    edges are compared as they are computed, so a score on an edge is inside, as in a direct count.
     """
-    counted = scores.groupBy("attack_score").agg(F.count(F.lit(1)).alias("n"))
+    counted = written(scores.groupBy(F.col("attack_score").alias("value")).agg(F.count(F.lit(1)).alias("m")), "scores")
     spark = scores.sparkSession
-    widths = counted.select(F.least(F.lit(0.5), F.abs(F.col("attack_score") - threshold)).alias("width")).union(spark.createDataFrame([(0.0,), (0.5,)], "width double")).distinct()
+    widths = counted.select(F.least(F.lit(0.5), F.abs(F.col("value") - threshold)).alias("width")).union(spark.createDataFrame([(0.0,), (0.5,)], "width double")).distinct()
     low, high = F.greatest(F.lit(0.0), threshold - F.col("width")), F.least(F.lit(1.0), threshold + F.col("width"))
-    # A validation set has thousands of scores, not a corpus: the smaller side of this range join is broadcast if it is small.
-    return widths.join(counted, F.col("attack_score").between(low, high), "left").groupBy("width").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("m"))
+    bands = written(widths.select("width", low.alias("low"), high.alias("high")), "bands")
+    one = F.lit("all").alias("set")
+    at = ranks.below(bands.select(one, F.explode(F.array("low", "high")).alias("value")).distinct(), counted.select(one, "value", "m"), ["set"])
+    under = at.select(F.col("value").alias("low"), F.col("below").alias("under"))
+    upto = at.join(counted, "value", "left").select(F.col("value").alias("high"), (F.col("below") + F.coalesce("m", F.lit(0))).alias("upto"))
+    return bands.join(under, "low", "left").join(upto, "high", "left").select("width", F.coalesce(F.col("upto") - F.col("under"), F.lit(0)).alias("m"))
+
+
+def selected(scores: DataFrame, k: int) -> float:
+    """The k-th highest attack_score, k at least 1 and at most their number.
+
+    Each round counts the scores between two bounds in BINS equal parts, on the driver as so many rows, and goes on with
+    the part that holds the k-th; the parts' own extremes are the next bounds, so they close in on one value.
+    """
+    own = scores.select(F.col("attack_score").alias("x"))
+    low, high = own.agg(F.min("x"), F.max("x")).first()
+    while low < high:
+        part = F.floor((F.col("x") - F.lit(low)) / F.lit(high - low) * BINS).alias("part")
+        inside = own.where(F.col("x").between(low, high))
+        for r in inside.groupBy(part).agg(F.count(F.lit(1)).alias("m"), F.min("x").alias("low"), F.max("x").alias("high")).orderBy(F.desc("part")).collect():
+            if k <= r["m"]:
+                low, high = r["low"], r["high"]
+                break
+            k -= r["m"]
+    return high
+
+
+def boundary(scores: DataFrame, far: float) -> float | None:
+    """The (floor(far n) + 1)-th highest attack_score, above which floor(far n) scores at most may alarm; None if all may."""
+    n = scores.count()
+    if not n:
+        raise ValueError("no normal scores")
+    allowed = math.floor(far * n)
+    return None if allowed >= n else selected(scores, allowed + 1)
 
 
 def band_half_width(scores: DataFrame, threshold: float, max_rate: float) -> float:

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from tracewright.operators.store import small
 from tracewright.sources.logs import MAX_REMOVED
 
 KEY = ["capture_id", "t_us", "can_id", "payload"]
 FILLER = "FFF"
+#: Lines of a capture that one task checks at once.
+BLOCK_LINES = 1 << 20
 
 
 def dedup(frames: DataFrame) -> DataFrame:
@@ -18,10 +21,18 @@ def dedup(frames: DataFrame) -> DataFrame:
     return frames.groupBy(*KEY).agg(F.min("line_no").alias("line_no")).select("capture_id", "line_no", "t_us", "can_id", "payload")
 
 
-def order_violations(frames: DataFrame) -> DataFrame:
-    """Frames whose time is before that of the line above: capture_id, line_no, t_us, previous_us."""
-    above = F.lag("t_us").over(Window.partitionBy("capture_id").orderBy("line_no"))
-    return frames.select("capture_id", "line_no", "t_us", above.alias("previous_us")).where("t_us < previous_us")
+def order_violations(frames: DataFrame, block_lines: int = BLOCK_LINES) -> DataFrame:
+    """Frames whose time is before that of the line above: capture_id, line_no, t_us, previous_us.
+
+    Lines are checked block by block, so a long capture is many tasks' work; a block's first line is held against the last
+    one of the block before, of which there is a row each.
+    """
+    own = frames.select("capture_id", "line_no", "t_us", F.floor(F.col("line_no") / block_lines).alias("block"))
+    edges = own.groupBy("capture_id", "block").agg(F.max_by("t_us", "line_no").alias("last_us"))
+    carried = edges.select("capture_id", "block", F.lag("last_us").over(Window.partitionBy("capture_id").orderBy("block")).alias("carried"))
+    above = F.lag("t_us").over(Window.partitionBy("capture_id", "block").orderBy("line_no"))
+    every = own.withColumn("above", above).join(small(carried), ["capture_id", "block"])
+    return every.select("capture_id", "line_no", "t_us", F.coalesce("above", "carried").alias("previous_us")).where("t_us < previous_us")
 
 
 def report(frames: DataFrame, kept: DataFrame, skipped: DataFrame | None = None) -> DataFrame:

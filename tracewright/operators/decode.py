@@ -45,3 +45,16 @@ def check_csv(decoded: DataFrame, expected: DataFrame, most: int = 200_000) -> D
     both = want.join(decoded.select("line_no", "signal", "value"), ["line_no", "signal"])
     wrong = (F.col("want") != F.col("value")) | F.isnan("value")
     return both.groupBy("signal").agg(F.count(F.lit(1)).alias("compared"), F.count_if(wrong).alias("unequal"), F.min(F.when(wrong, F.col("i"))).alias("first_row"))
+
+
+def preprocess(placed: DataFrame, spine: DataFrame, signals: DataFrame | None = None) -> DataFrame:
+    """spine with decoded_signals, a map from each signal to its values in frame order; empty without signals.
+
+    Frames are taken as they are, so attacks are injected before this. A window's values are as many as its frames.
+    """
+    none = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<array<double>>"))
+    if signals is None:
+        return spine.withColumn("decoded_signals", none)
+    own = decode(placed, signals).groupBy("capture_id", "w", "signal").agg(F.array_sort(F.collect_list(F.struct("t_us", "line_no", "value"))).alias("v"))
+    maps = own.groupBy("capture_id", "w").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("signal", F.transform("v", lambda x: x["value"]).alias("values"))))).alias("m"))
+    return spine.join(maps, ["capture_id", "w"], "left").withColumn("decoded_signals", F.coalesce("m", none)).drop("m")

@@ -188,10 +188,40 @@ def unmatched(a: DataFrame, b: DataFrame, key: str = "window_id") -> DataFrame:
     return left.union(b.select(key).distinct().join(a, key, "left_anti").withColumn("side", F.lit("right")))
 
 
-def fingerprint(df: DataFrame, by: list[str], order: str) -> DataFrame:
-    """(by, n, sha256) over each group's rows as JSON in order; a row's own hash is what is gathered."""
-    one = F.struct(F.col(order).alias("o"), F.sha2(F.to_json(F.struct(*[c for c in df.columns])), 256).alias("h"))
-    return df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(one)), lambda x: x["h"]), ""), 256).alias("sha256"))
+#: Leaves that one node of a fingerprint tree covers.
+FAN = 1024
+
+
+def fingerprint_leaves(df: DataFrame, by: list[str], leaf: Column, order: str) -> DataFrame:
+    """(by, leaf, n, sha256): a hash of the rows of each leaf, as JSON, in order. leaf numbers parts of a bounded size in which
+    a group's order goes on, such as windows."""
+    # Text sorts as its order does, so a leaf is one array of fixed-length texts and numbers.
+    one = F.struct(F.col(order).alias("o"), F.sha2(F.to_json(F.struct(*df.columns)), 256).alias("h"))
+    return df.groupBy(*by, leaf.cast("long").alias("leaf")).agg(F.count(F.lit(1)).alias("n"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(one)), lambda x: x["h"]), ""), 256).alias("sha256"))
+
+
+def fingerprint_tree(leaves: DataFrame, by: list[str]) -> DataFrame:
+    """(by, level, node, n, sha256): leaves at level 0, and above them nodes that hash FAN nodes each, up to one a group.
+
+    A node's hash covers its children's numbers and hashes in order; no group is gathered in one row.
+    """
+    level, every = 0, leaves.select(*by, F.lit(0).alias("level"), F.col("leaf").alias("node"), "n", "sha256")
+    below = every
+    most = leaves.agg(F.max("leaf")).first()[0] or 0
+    while most > 0 or level == 0:
+        level, most = level + 1, most // FAN
+        child = F.struct("node", F.concat(F.col("node").cast("string"), F.lit(":"), "sha256", F.lit(";")).alias("h"))
+        below = below.groupBy(*by, F.floor(F.col("node") / FAN).alias("parent")).agg(F.sum("n").alias("n"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(child)), lambda x: x["h"]), ""), 256).alias("sha256"))
+        below = below.select(*by, F.lit(level).alias("level"), F.col("parent").alias("node"), "n", "sha256")
+        every = every.union(below)
+    return every
+
+
+def fingerprint(df: DataFrame, by: list[str], order: str, leaf: Column | None = None) -> DataFrame:
+    """(by, n, sha256): the top of each group's tree. Leaves are runs of FAN numbers of order, or as leaf says."""
+    tree = fingerprint_tree(fingerprint_leaves(df, by, F.floor(F.col(order) / FAN) if leaf is None else leaf, order), by)
+    top = tree.agg(F.max("level")).first()[0]
+    return tree.where(F.col("level") == (top if top is not None else 0)).select(*by, "n", "sha256")
 
 
 def fingerprint_changes(a: DataFrame, b: DataFrame, key: str = "capture_id") -> DataFrame:
@@ -200,6 +230,21 @@ def fingerprint_changes(a: DataFrame, b: DataFrame, key: str = "capture_id") ->
     return both.where(~F.col("was").eqNullSafe(F.col("is")))
 
 
+def tree_changes(a: DataFrame, b: DataFrame, by: list[str]) -> DataFrame:
+    """(by, leaf) of the leaves that differ between two written trees. From the top down, only the children of nodes that
+    differ are looked at. Trees of different heights are compared from the lower one's top."""
+    tops = [x.agg(F.max("level")).first()[0] for x in (a, b)]
+    if None in tops:
+        return a.union(b).where("level = 0").select(*by, F.col("node").alias("leaf"))
+    at: DataFrame | None = None
+    for level in range(min(tops), -1, -1):
+        mine, other = (x.where(F.col("level") == level).select(*by, "node", F.col("sha256").alias(n)) for x, n in ((a, "was"), (b, "is")))
+        if at is not None:
+            mine, other = (x.withColumn("parent", F.floor(F.col("node") / FAN)).join(at, [*by, "parent"], "left_semi").drop("parent") for x in (mine, other))
+        at = mine.join(other, [*by, "node"], "full").where(~F.col("was").eqNullSafe(F.col("is"))).select(*by, F.col("node").alias("parent"))
+    return at.withColumnRenamed("parent", "leaf")
+
+
 def running(outputs: DataFrame) -> DataFrame:
     """outputs with running totals of a capture so far: windows, attacks, mean and peak score, new alarms (ACCEPT to ATTACK),
     and the mean score of the last 60 windows."""

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tracewright.functions.ids import hex_value
+from tracewright.operators import sums
 
 TIMING = ("unknown_ids", "rate_excess", "short_gaps")
 PAYLOAD = ("out_of_range", "frozen_break", "large_jump")
@@ -18,9 +19,28 @@ def per_id(placed: DataFrame) -> DataFrame:
 
 
 def gaps(placed: DataFrame) -> DataFrame:
-    """(capture_id, w, can_id, gap_us): times between frames of an id, inside windows only."""
+    """(capture_id, line_no, w, can_id, gap_us): times between frames of an id, inside windows only."""
     gap = F.col("t_us") - F.lag("t_us").over(Window.partitionBy("capture_id", "w", "can_id").orderBy("t_us", "line_no"))
-    return placed.select("capture_id", "w", "can_id", gap.alias("gap_us")).where("gap_us is not null")
+    return placed.select("capture_id", "line_no", "w", "can_id", gap.alias("gap_us")).where("gap_us is not null")
+
+
+def timing_scores(window_s: float) -> tuple[Column, Column, Column]:
+    """Of a window's id joined with a model: whether the model lacks it, its rate against the normal one, and the normal
+    median gap against its shortest gap (NULL where there is none)."""
+    foreign, excess = F.col("rate").isNull(), F.col("n") / F.lit(window_s) / F.col("rate")
+    short = F.col("median_gap") / (F.greatest("min_gap_us", F.lit(MIN_GAP_US)) / 1e6)
+    return foreign, excess, F.when(F.col("median_gap").isNotNull() & (F.col("n") >= 2), short)
+
+
+def payload_scores(mode: str) -> tuple[Column, Column, Column]:
+    """Of a window's field (v_low, v_high, jump, n) joined with a model: how far it leaves the bounds, how remarkable it is
+    that it holds still, and its step against the largest normal one; NULL or 0 where there is nothing."""
+    over = F.greatest(F.col("bound_low") - F.col("v_low"), F.col("v_high") - F.col("bound_high"), F.lit(0)).cast("double")
+    width = (F.col("bound_high") - F.col("bound_low")).cast("double")
+    still = (F.col("n") >= 2) & (F.col("v_low") == F.col("v_high"))
+    held = (F.col("high") - F.col("low")).cast("double") if mode == "width" else -F.log((F.col("constant") + 1) / (F.col("seen") + 2))
+    jump = F.when(F.col("jump") > F.col("max_jump"), F.when(F.col("max_jump") > 0, F.col("jump") / F.col("max_jump")).otherwise(F.col("jump").cast("double")))
+    return over / F.when(width > 0, width).otherwise(1.0), F.when(still, held), jump
 
 
 def timing(ids: DataFrame, spine: DataFrame, model: DataFrame, window_s: float) -> DataFrame:
@@ -31,13 +51,11 @@ def timing(ids: DataFrame, spine: DataFrame, model: DataFrame, window_s: float)
     """
     known = ids.join(model, "can_id", "left")
     order = F.struct((-F.col("first.t_us")).alias("t"), (-F.col("first.line_no")).alias("l"))
-    foreign = F.col("rate").isNull()
-    excess = F.col("n") / F.lit(window_s) / F.col("rate")
-    short = F.col("median_gap") / (F.greatest("min_gap_us", F.lit(MIN_GAP_US)) / 1e6)
+    foreign, excess, short = timing_scores(window_s)
     top = lambda score, when: F.max(F.when(when & (score > 0), F.struct(score.alias("v"), order.alias("o"), F.col("can_id").alias("id"))))
     own = known.groupBy("capture_id", "w").agg(
         F.sum(F.when(foreign, F.col("n")).otherwise(0)).cast("double").alias("unknown_ids"), F.count_if(foreign).alias("unknown_kinds"), top(F.col("n"), foreign).alias("u"), top(excess, ~foreign).alias("r"),
-        top(short, ~foreign & F.col("median_gap").isNotNull() & (F.col("n") >= 2)).alias("s"),
+        top(short, ~foreign).alias("s"),
     )
     every = spine.join(own, ["capture_id", "w"], "left")
     return every.select(
@@ -76,23 +94,14 @@ def watched(frames: DataFrame, ids: list[str] | None) -> DataFrame:
 
 def per_field(placed: DataFrame) -> DataFrame:
     """For each window, id and field: n, low, high, jump (largest step between neighbours), first, the first value's place,
-    and id_first, that of the id."""
-    f = fields(placed)
-    step = F.abs(F.col("value") - F.lag("value").over(Window.partitionBy("capture_id", "w", "can_id", "field").orderBy("t_us", "line_no")))
-    found = f.withColumn("step", step).groupBy("capture_id", "w", "can_id", "field").agg(
-        F.count(F.lit(1)).alias("n"), F.min("value").alias("low"), F.max("value").alias("high"), F.max("step").alias("jump"), F.min(F.struct("t_us", "line_no", "field_no")).alias("first")
-    )
-    return found.withColumn("id_first", F.min("first").over(Window.partitionBy("capture_id", "w", "can_id")))
+    id_t and id_line, that of the id, and the opening and closing value; from one sort of the frames."""
+    return sums.per_field(sums.summed(placed))
 
 
-def ranges(frames: DataFrame) -> DataFrame:
+def ranges(frames: DataFrame, us: int = 1_000_000) -> DataFrame:
     """For each capture, id and field over all its frames: low, high, jump. Steps don't cross captures; a frame too short
-    for a field is passed over. Frames that repeat their id's last payload change nothing and go before the fields are made."""
-    last = F.lag("payload").over(Window.partitionBy("capture_id", "can_id").orderBy("t_us", "line_no"))
-    turned = frames.withColumn("last", last).where("last is null or last <> payload").drop("last")
-    step = F.abs(F.col("value") - F.lag("value").over(Window.partitionBy("capture_id", "can_id", "field").orderBy("t_us", "line_no")))
-    stepped = fields(turned).withColumn("step", step)
-    return stepped.groupBy("capture_id", "can_id", "field").agg(F.min("value").alias("low"), F.max("value").alias("high"), F.coalesce(F.max("step"), F.lit(0)).alias("jump"))
+    for a field is passed over. us only cuts the work into parts: captures are summed by windows, then joined up."""
+    return sums.ranges(sums.of_frames(frames, us))
 
 
 def turns(frames: DataFrame) -> DataFrame:
@@ -119,14 +128,8 @@ def payload(window_fields: DataFrame, spine: DataFrame, model: DataFrame, mode:
     normal width, or by rate the surprise. large_jump: steps beyond the normal largest, against it.
     """
     known = window_fields.withColumnsRenamed({"low": "v_low", "high": "v_high"}).join(model, ["can_id", "field"])
-    over = F.greatest(F.col("bound_low") - F.col("v_low"), F.col("v_high") - F.col("bound_high"), F.lit(0)).cast("double")
-    width = (F.col("bound_high") - F.col("bound_low")).cast("double")
-    out = over / F.when(width > 0, width).otherwise(1.0)
-    still = (F.col("n") >= 2) & (F.col("v_low") == F.col("v_high"))
-    held = (F.col("high") - F.col("low")).cast("double") if mode == "width" else -F.log((F.col("constant") + 1) / (F.col("seen") + 2))
-    frozen_ = F.when(still, held)
-    jump = F.when(F.col("jump") > F.col("max_jump"), F.when(F.col("max_jump") > 0, F.col("jump") / F.col("max_jump")).otherwise(F.col("jump").cast("double")))
-    order = F.struct(*[(-F.col(f"{p}.{c}")).alias(f"{p}_{c}") for p in ("id_first", "first") for c in ("t_us", "line_no", "field_no")])
+    out, frozen_, jump = payload_scores(mode)
+    order = F.struct(*[(-F.col(c)).alias(c) for c in ("id_t", "id_line", "first")])
     top = lambda score: F.max(F.when(score > 0, F.struct(score.alias("v"), order.alias("o"), F.concat_ws(" ", "can_id", "field").alias("at"))))
     own = known.groupBy("capture_id", "w").agg(top(out).alias("o"), top(frozen_).alias("f"), top(jump).alias("j"))
     every = spine.join(own, ["capture_id", "w"], "left")

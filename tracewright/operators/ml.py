@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -49,6 +50,86 @@ def logistic(features: DataFrame, model, names: tuple[str, ...] = FEATURES) -> D
     return features.withColumns({"attack_score": 1.0 / (1.0 + F.exp(-total)), "evidence": F.concat(F.lit("largest contribution: "), top)})
 
 
+def fit_folds(rows: DataFrame, c: float = 1.0, names: tuple[str, ...] = FEATURES, rounds: int = 60, tolerance: float = 1e-9) -> dict[str, np.ndarray]:
+    """The logistic regressions of all models together: weights by model, the last one the bias.
+
+    rows: model, is_attack and the features, a table. Each round sums every model's gradient and Hessian in one job, of which
+    some 40 numbers a model come to the driver for Newton's step, halved where the loss has risen. Features are as they
+    are; classes weigh alike; the penalty is half the squared weights against c times the summed loss, the bias is free.
+    """
+    sizes = {r["model"]: (r["n"], r["a"]) for r in rows.groupBy("model").agg(F.count(F.lit(1)).alias("n"), F.count_if("is_attack").alias("a")).collect()}
+    if bad := [m for m, (n, a) in sizes.items() if not 0 < a < n]:
+        raise ValueError(f"both classes are needed: {sorted(bad)}")
+    k = len(names) + 1
+    x = [*[F.col(n).cast("double") for n in names], F.lit(1.0)]
+    at = {m: np.zeros(k) for m in sizes}
+    step = {m: np.zeros(k) for m in sizes}
+    best, done = dict.fromkeys(sizes, math.inf), set()
+    penalty = np.array([1.0] * len(names) + [0.0])
+    schema = "model string, beta array<double>, up double, down double"
+    for _ in range(rounds):
+        trial = {m: at[m] + step[m] for m in sizes if m not in done}
+        if not trial:
+            break
+        now = rows.sparkSession.createDataFrame([(m, b.tolist(), sizes[m][0] / (2 * sizes[m][1]), sizes[m][0] / (2 * (sizes[m][0] - sizes[m][1]))) for m, b in trial.items()], schema)
+        z = sum((x[i] * F.get("beta", F.lit(i)) for i in range(k)), F.lit(0.0))
+        own = rows.join(F.broadcast(now), "model").withColumn("z", z)  # a row a model
+        y, weight = F.col("is_attack").cast("double"), F.when(F.col("is_attack"), F.col("up")).otherwise(F.col("down"))
+        p = 1.0 / (1.0 + F.exp(-F.col("z")))
+        loss = F.greatest("z", F.lit(0.0)) - F.col("z") * y + F.log1p(F.exp(-F.abs("z")))
+        parts = [F.sum(weight * loss).alias("loss"), *[F.sum(weight * (p - y) * x[i]).alias(f"g{i}") for i in range(k)], *[F.sum(weight * p * (1 - p) * x[i] * x[j]).alias(f"h{i}_{j}") for i in range(k) for j in range(i + 1)]]
+        for r in own.groupBy("model").agg(*parts).collect():
+            m, b = r["model"], trial[r["model"]]
+            value = c * r["loss"] + (penalty * b * b).sum() / 2
+            if value > best[m]:
+                step[m] = step[m] / 2
+                if np.abs(step[m]).max() < tolerance:
+                    done.add(m)
+                continue
+            at[m], best[m] = b, value
+            slope = c * np.array([r[f"g{i}"] for i in range(k)]) + penalty * b
+            curve = np.array([[c * r[f"h{max(i, j)}_{min(i, j)}"] for j in range(k)] for i in range(k)]) + np.diag(penalty)
+            scale = 1 / np.sqrt(np.maximum(np.diag(curve), 1e-300))  # features differ by many powers of ten
+            step[m] = -scale * np.linalg.lstsq(curve * np.outer(scale, scale), scale * slope, rcond=None)[0]
+            if np.abs(step[m] / scale).max() < tolerance * max(1.0, np.abs(b / scale).max()):
+                done.add(m)
+    return at
+
+
+def fold_scores(rows: DataFrame, weights: dict[str, np.ndarray], names: tuple[str, ...] = FEATURES) -> DataFrame:
+    """rows with attack_score by the weights of their model."""
+    now = rows.sparkSession.createDataFrame([(m, w.tolist()) for m, w in weights.items()], "model string, beta array<double>")
+    z = sum((F.col(n).cast("double") * F.get("beta", F.lit(i)) for i, n in enumerate(names)), F.get("beta", F.lit(len(names))))
+    return rows.join(F.broadcast(now), "model").withColumn("attack_score", 1.0 / (1.0 + F.exp(-z))).drop("beta")  # a row a model
+
+
+def logistic_cv(vectors_: DataFrame, labels: DataFrame, captures: DataFrame, far: float) -> DataFrame:
+    """Logistic regression over the folds of the development captures: (fold, boundary, capture_id, family, condition,
+    attacked, detected, normal, false_alarms).
+
+    Each fold's model learns from the train captures, all of them normal, and the other folds' labelled windows; its
+    threshold comes from the validation captures. A masquerade recording's normal windows are its twin's and are left out.
+    captures: capture_id, group, fold, family, kind. An error with fewer than two folds, or if a normal drive has an attack.
+    """
+    from tracewright.operators import calibrate, crossval
+    from tracewright.operators.store import written
+
+    own = vectors_.join(labels.select("window_id", "capture_id", "is_attack"), "window_id").join(captures.select("capture_id", "group", "fold", "kind", F.col("family").alias("recording_family")), "capture_id")
+    own = written(own.where(~((F.col("group") == "development") & (F.col("kind") == "masquerade") & ~F.col("is_attack"))), "logistic")
+    names = own.where("`group` = 'development'").select(F.col("fold").alias("model_fold")).distinct().withColumn("model", F.col("model_fold").cast("string"))
+    if names.count() < 2:
+        raise ValueError("cross-validation needs two folds or more")
+    if own.where("`group` <> 'development' and is_attack").limit(1).count():
+        raise ValueError("train and validation captures must be normal")
+    every = own.join(F.broadcast(names))  # folds, of which there are a few
+    train = every.where((F.col("group") == "train") | ((F.col("group") == "development") & (F.col("fold") != F.col("model_fold"))))
+    weights = fit_folds(written(train.select("model", "is_attack", *FEATURES), "logistic-train"))
+    scored = written(fold_scores(every.where((F.col("group") == "validation") | ((F.col("group") == "development") & (F.col("fold") == F.col("model_fold")))), weights), "logistic-scores")
+    boundary = calibrate.thresholds(scored.where("`group` = 'validation'"), ["model"], far)
+    held = scored.where("`group` = 'development'").join(boundary, "model").withColumn("alarm", crossval.alarm())
+    return crossval.attack_folds(held, "boundary")
+
+
 def convolve(x: np.ndarray, weight: np.ndarray, bias: np.ndarray) -> np.ndarray:
     """(windows, channels, bins) through a symmetric zero-padded convolution and a rectifier."""
     pad = weight.shape[2] // 2

@@ -8,13 +8,14 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tracewright.operators import features, windows
+from tracewright.operators import calibrate, features, ranks, sums
 from tracewright.operators.features import PAYLOAD, TIMING
+from tracewright.operators.store import written
 
 
 @dataclass
 class Stage1:
-    """ids: can_id, rate, median_gap. reference: one row (check, values ascending) for each timing check."""
+    """ids: can_id, rate, median_gap. reference: check, value, m, the training windows' values and how many have them."""
 
     ids: DataFrame
     reference: DataFrame
@@ -34,29 +35,39 @@ class Stage2:
     watch: list[str] | None = None
 
 
-def normal_ids(placed: DataFrame, n_windows: Column | int, window_us: int) -> DataFrame:
-    """can_id, rate (frames a second of all windows, not only of those it is in), median_gap (seconds; NULL without one)."""
-    ids = features.per_id(placed).groupBy("can_id").agg(F.sum("n").alias("frames"))
-    gap = features.gaps(placed).groupBy("can_id").agg(F.percentile("gap_us", 0.5).alias("gap"))
+def normal_ids(table: DataFrame, n_windows: Column | int, window_us: int) -> DataFrame:
+    """can_id, rate (frames a second of all windows, not only of those it is in), median_gap (seconds; NULL without one),
+    from the sums of complete windows."""
+    ids = sums.per_id(table).groupBy("can_id").agg(F.sum("n").alias("frames"))
+    gap = sums.gaps(table).groupBy("can_id").agg(F.percentile("gap_us", 0.5, F.col("n")).alias("gap"))
     seconds = (F.lit(n_windows) if isinstance(n_windows, int) else n_windows) * F.lit(window_us / 1e6)
     return ids.join(gap, "can_id", "left").select("can_id", (F.col("frames") / seconds).alias("rate"), F.greatest(F.col("gap") / 1e6, F.when(F.col("gap").isNotNull(), F.lit(1e-6))).alias("median_gap"))
 
 
-def _reference(checks: DataFrame, names: tuple[str, ...]) -> DataFrame:
-    """(check, values): the training windows' values, one number a window, ascending."""
-    rows = checks.select(F.explode(F.array(*[F.struct(F.lit(c).alias("check"), F.col(c).alias("value")) for c in names])).alias("x")).select("x.*")
-    return rows.groupBy("check").agg(F.sort_array(F.collect_list("value")).alias("values"))
+def reference(checks: DataFrame, names: tuple[str, ...], by: list[str] | None = None) -> DataFrame:
+    """(by, check, value, m): how many training windows have each value."""
+    keys = by or []
+    rows = checks.select(*keys, F.inline(F.array(*[F.struct(F.lit(c).alias("check"), F.col(c).alias("value")) for c in names])))
+    return ranks.counted(rows, [*keys, "check"])
 
 
-def fit_stage1(frames: DataFrame, us: int, every: int = 1) -> Stage1:
-    spine, placed = windows.spine(frames, us, every), windows.assign(frames, us, every).persist()
+def _training(frames: DataFrame, us: int, every: int, table: DataFrame | None) -> tuple[DataFrame, DataFrame, DataFrame, int]:
+    """All sums, those of the windows that train, their spine, and its length."""
+    table = written(sums.of_frames(frames, us), "sums") if table is None else table
+    spine = sums.spine(table, us, every)
     n = spine.count()
     if n < 2:
         raise ValueError("training needs two windows or more")
-    # A model is small and every scoring reads it, so it is kept rather than fitted again each time.
-    ids = normal_ids(placed, n, us).persist()
-    checks = features.timing(features.per_id(placed), spine, ids, us / 1e6)
-    return Stage1(ids, _reference(checks, TIMING).persist(), n, us)
+    return table, sums.complete(table, every), spine, n
+
+
+def fit_stage1(frames: DataFrame, us: int, every: int = 1, table: DataFrame | None = None) -> Stage1:
+    """table: sums.of_frames() of the frames, if they are there already."""
+    _, own, spine, n = _training(frames.drop("payload").withColumn("payload", F.lit("")) if table is None else frames, us, every, table)
+    # A model is small and every scoring reads it, so it is written rather than fitted again each time.
+    ids = written(normal_ids(own, n, us), "stage1")
+    checks = features.timing(sums.per_id(own), spine, ids, us / 1e6)
+    return Stage1(ids, written(reference(checks, TIMING), "reference1"), n, us)
 
 
 def field_model(stats: DataFrame, window_fields: DataFrame, percent: float | None = None, raw: DataFrame | None = None) -> DataFrame:
@@ -74,45 +85,28 @@ def field_model(stats: DataFrame, window_fields: DataFrame, percent: float | Non
     return table.join(bounds, ["can_id", "field"], "left").withColumns({"bound_low": F.coalesce("bound_low", F.col("low").cast("double")), "bound_high": F.coalesce("bound_high", F.col("high").cast("double"))})
 
 
-def fit_stage2(frames: DataFrame, us: int, watch: list[str] | None = None, mode: str = "width", percent: float | None = None, every: int = 1, stats: DataFrame | None = None) -> Stage2:
-    """stats: ranges of whole captures (features.ranges), if they are there already; else they come from frames."""
+def fit_stage2(frames: DataFrame, us: int, watch: list[str] | None = None, mode: str = "width", percent: float | None = None, every: int = 1, stats: DataFrame | None = None, table: DataFrame | None = None) -> Stage2:
+    """stats: ranges of whole captures (features.ranges), and table: sums.of_frames() of the frames, if they are there
+    already. All frames decide which window is the last, so windows are cut before the watch-list."""
     if mode not in ("width", "rate"):
         raise ValueError(f"unknown frozen mode {mode}")
-    own = features.watched(frames, watch)
-    spine = windows.spine(frames, us, every)
-    n = spine.count()
-    if n < 2:
-        raise ValueError("training needs two windows or more")
-    # All frames decide which window is the last, so windows are cut before the watch-list.
-    placed = features.watched(windows.assign(frames, us, every), watch)
-    window_fields = features.per_field(placed).persist()
+    whole, own, spine, n = _training(frames, us, every, table)
+    window_fields = sums.per_field(features.watched(own, watch))
     raw = None
     if percent is not None:
-        raw = features.turns(own).select("can_id", "field", "value").union(features.fields(placed).select("can_id", "field", "value"))
-    table = field_model(stats if stats is not None else features.ranges(own), window_fields, percent, raw).persist()
-    checks = features.payload(window_fields, spine, table, mode)
-    return Stage2(table, _reference(checks, PAYLOAD).persist(), n, us, mode, watch)
-
+        values = features.turns(features.watched(frames, watch)).select("can_id", "field", "value")
+        inside = frames.withColumn("w", F.expr(f"t_us div {us}")).join(spine.select("capture_id", "w"), ["capture_id", "w"], "left_semi")
+        raw = values.union(features.fields(features.watched(inside, watch)).select("can_id", "field", "value"))
+    model = written(field_model(stats if stats is not None else sums.ranges(features.watched(whole, watch)), window_fields, percent, raw), "stage2")
+    checks = features.payload(window_fields, spine, model, mode)
+    return Stage2(model, written(reference(checks, PAYLOAD), "reference2"), n, us, mode, watch)
 
-def unusualness(value: Column, values: Column) -> Column:
-    """Where a value stands among n reference values, in 0..1.
 
-    Up to the largest, M: the share of values below it, of n + 1. Beyond: (n + 1 - 1 / (1 + (value - M) / s)) / (n + 1)
-    with s = M, or 1 if that is 0.
-    """
-    n, most = F.size(values).cast("double"), F.element_at(values, -1)
-    scale = F.when(most > 0, most).otherwise(1.0)
-    below = F.size(F.filter(values, lambda x: x < value)).cast("double")
-    return F.when(value <= most, below / (n + 1)).otherwise((n + 1 - 1 / (1 + (value - most) / scale)) / (n + 1))
-
-
-def ranked(checks: DataFrame, reference: DataFrame, names: tuple[str, ...], n: int, stage: int, said: Column) -> DataFrame:
+def ranked(checks: DataFrame, reference_: DataFrame, names: tuple[str, ...], n: int, stage: int, said: Column) -> DataFrame:
     """checks with a score for each check, score_s<stage> (the largest), top_s<stage> (its check; of equal ones the first
     in order) and evidence_s<stage>, said if the score is beyond all training windows'."""
-    wide = reference.groupBy().agg(*[F.first(F.when(F.col("check") == c, F.col("values")), True).alias(f"ref_{c}") for c in names])
-    own = checks.crossJoin(F.broadcast(wide))  # one row
-    own = own.withColumns({f"{c}_score": unusualness(F.col(c), F.col(f"ref_{c}")) for c in names}).drop(*[f"ref_{c}" for c in names])
-    score = F.greatest(*[F.col(f"{c}_score") for c in names])
+    own = ranks.scores(written(checks, "checks"), reference_, names, [])
+    score = F.array_max(F.array(*[F.col(f"{c}_score") for c in names]))
     top = F.coalesce(*[F.when(F.col(f"{c}_score") == score, F.lit(c)) for c in names])
     kind = "timing" if stage == 1 else "payload"
     own = own.withColumns({f"score_s{stage}": score, f"top_s{stage}": top})
@@ -121,9 +115,12 @@ def ranked(checks: DataFrame, reference: DataFrame, names: tuple[str, ...], n: i
     return own.withColumn(f"evidence_s{stage}", text)
 
 
-def score_stage1(frames: DataFrame, m: Stage1) -> DataFrame:
+def score_stage1(frames: DataFrame, m: Stage1, table: DataFrame | None = None) -> DataFrame:
+    """Every complete window of frames. table: sums.of_frames() of the frames, if they are there already."""
     us = m.window_us
-    checks = features.timing(features.per_id(windows.assign(frames, us)), windows.spine(frames, us), m.ids, us / 1e6)
+    table = written(sums.of_frames(frames.drop("payload").withColumn("payload", F.lit("")), us), "sums") if table is None else table
+    own = sums.complete(table)
+    checks = features.timing(sums.per_id(own), sums.spine(table, us), m.ids, us / 1e6)
     said = (
         F.when(F.col("top_s1") == "unknown_ids", F.when(F.col("unknown_kinds") > 0, F.format_string("ids never seen in training: %d, e.g. %s with %d frames", "unknown_kinds", "unknown_id", "unknown_n")))
         .when(F.col("top_s1") == "rate_excess", F.when(F.col("rate_id").isNotNull(), F.format_string("ID %s sends %.1f times as often as it did", "rate_id", "rate_excess")))
@@ -132,10 +129,12 @@ def score_stage1(frames: DataFrame, m: Stage1) -> DataFrame:
     return ranked(checks, m.reference, TIMING, m.n, 1, said)
 
 
-def score_stage2(frames: DataFrame, m: Stage2) -> DataFrame:
+def score_stage2(frames: DataFrame, m: Stage2, table: DataFrame | None = None) -> DataFrame:
+    """Every complete window of frames. table: sums.of_frames() of the frames, if they are there already."""
     us = m.window_us
-    placed = features.watched(windows.assign(frames, us), m.watch)
-    checks = features.payload(features.per_field(placed), windows.spine(frames, us), m.fields, m.mode)
+    table = written(sums.of_frames(frames, us), "sums") if table is None else table
+    own = features.watched(sums.complete(table), m.watch)
+    checks = features.payload(sums.per_field(own), sums.spine(table, us), m.fields, m.mode)
     at = F.when(F.col("top_s2") == "out_of_range", F.col("range_at")).when(F.col("top_s2") == "frozen_break", F.col("frozen_at")).otherwise(F.col("jump_at"))
     what = F.when(F.col("top_s2") == "out_of_range", "value out of normal range").when(F.col("top_s2") == "frozen_break", "frozen for the whole window").otherwise("jump beyond the normal largest")
     return ranked(checks, m.reference, PAYLOAD, m.n, 2, F.when(at.isNotNull(), F.concat(F.lit("ID "), at, F.lit(": "), what)))
@@ -170,10 +169,12 @@ class Detector:
     stage2: Stage2 | None = None
 
     def raw(self, frames: DataFrame) -> DataFrame:
-        one = score_stage1(frames, self.stage1)
         if self.stage2 is None:
-            return fuse(one)
-        two = score_stage2(frames, self.stage2)
+            return fuse(score_stage1(frames, self.stage1))
+        if self.stage2.window_us != self.stage1.window_us:
+            raise ValueError("the stages were fitted on windows of different lengths")
+        table = written(sums.of_frames(frames, self.stage1.window_us), "sums")
+        one, two = score_stage1(frames, self.stage1, table), score_stage2(frames, self.stage2, table)
         return fuse(one.join(two.drop("window_id", "start_us", "end_us"), ["capture_id", "w"]))
 
     def score(self, frames: DataFrame) -> DataFrame:
@@ -216,24 +217,12 @@ def fused_or(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def threshold_of(scores: DataFrame, far: float) -> float:
-    """The lowest threshold at which at most floor(far n) of the normal scores (attack_score) raise an alarm.
-
-    The boundary is the (floor(far n) + 1)-th highest score, and the threshold the next double above it.
-    """
-    n = scores.count()
-    if n == 0:
-        raise ValueError("no normal scores")
-    a = math.floor(far * n)
-    if a >= n:
+    """The lowest threshold at which at most floor(far n) of the normal scores (attack_score) raise an alarm: the next double
+    above calibrate.boundary(); 0 if all may. An error if that is above 1."""
+    boundary = calibrate.boundary(scores, far)
+    if boundary is None:
         return 0.0
-    counted = scores.groupBy("attack_score").agg(F.count(F.lit(1)).alias("m")).orderBy(F.desc("attack_score"))
-    boundary = counted.limit(a + 1).collect()
-    left = a + 1
-    for r in boundary:
-        left -= r["m"]
-        if left <= 0:
-            t = math.nextafter(r["attack_score"], math.inf)
-            if t > 1:
-                raise ValueError("every threshold in 0..1 raises more alarms than allowed")
-            return t
-    raise AssertionError
+    t = math.nextafter(boundary, math.inf)
+    if t > 1:
+        raise ValueError("every threshold in 0..1 raises more alarms than allowed")
+    return t

@@ -65,3 +65,43 @@ def bins(frames: DataFrame, us: int, watch: list[str], n: int = BINS) -> DataFra
 def wrong_length(windows: DataFrame, us: int) -> DataFrame:
     """Windows that are not as long as a model's."""
     return windows.where(F.col("end_us") - F.col("start_us") != us)
+
+
+def quota(frames: DataFrame, us: int, captures: list[str], most: int | None = None) -> dict[str, int]:
+    """How many windows of each capture to take, in the order given, so that most are taken in all. Captures are measured
+    one, two, four at a time, and no further once the quota is filled; None takes all of all."""
+    taken: dict[str, int] = {}
+    left, at, size = most, 0, 1
+    while at < len(captures) and (left is None or left > 0):
+        some = captures[at : at + size]
+        last = {r["capture_id"]: r["n"] for r in frames.where(F.col("capture_id").isin(some)).groupBy("capture_id").agg(F.max(F.expr(f"t_us div {us}")).alias("n")).collect()}
+        for c in some:
+            n = last.get(c, 0) if left is None else min(last.get(c, 0), left)
+            if n:
+                taken[c] = n
+            left = None if left is None else left - n
+        at, size = at + size, size * 2
+    return taken
+
+
+def real(frames: DataFrame, us: int, captures: list[str], most: int | None = None) -> DataFrame:
+    """The first windows of captures, in the order given, most at the most: window_id, capture_id, w, place, n_frames, n_ids.
+
+    Frames of captures beyond the quota are not read. An error if there are no captures, or no windows in them.
+    """
+    if not captures:
+        raise ValueError("no captures to read")
+    taken = quota(frames, us, captures, most)
+    if not taken:
+        raise ValueError(f"captures {captures} hold no window")
+    spark = frames.sparkSession
+    starts, rows = 0, []
+    for c, n in taken.items():
+        rows.append((c, n, starts))
+        starts += n
+    limits = spark.createDataFrame(rows, "capture_id string, take long, start long")
+    own = frames.where(F.col("capture_id").isin(list(taken))).withColumn("w", F.expr(f"t_us div {us}"))
+    sums_ = own.join(F.broadcast(limits), "capture_id").where("w < take").groupBy("capture_id", "w").agg(F.count(F.lit(1)).alias("n_frames"), F.countDistinct("can_id").alias("n_ids"))
+    every = limits.select("capture_id", "start", F.explode(F.sequence(F.lit(0).cast("long"), F.col("take") - 1)).alias("w"))
+    full = every.join(sums_, ["capture_id", "w"], "left").fillna(0, ["n_frames", "n_ids"])
+    return full.select(window_id(F.col("capture_id"), F.col("w")).alias("window_id"), "capture_id", "w", (F.col("start") + F.col("w")).alias("place"), "n_frames", "n_ids")

@@ -10,10 +10,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from tracewright import schema
 from tracewright.functions import ids as fn, quantiles
-from tracewright.operators import attacks, calibrate, clean, crossval, decode, evaluate, features, labels, ml, model, windows
-from tracewright.plans.oracle import US, sql
+from tracewright.operators import attacks, calibrate, clean, crossval, decode, evaluate, features, labels, ml, model, ranks, sums, windows
+from tracewright.operators.store import written
+from tracewright.plans import runs
+from tracewright.plans.oracle import ATTACK_CV, DETECTOR, LOCO, US, sql
 from tracewright.sources import logs
-from tracewright.sources.tables import EVENT_WINDOW_US, event_captures, event_frames, mock_frames
+from tracewright.sources.tables import EVENT_WINDOW_US, event_captures, event_frames, event_roles, mock_frames
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -35,38 +37,45 @@ class Tables:
     def captures(self) -> DataFrame:
         return event_captures(self.frames)
 
+    @cached_property
+    def sums(self) -> DataFrame:
+        """Every window's sums, from one sort of the frames, written once; all checks read them."""
+        return written(sums.of_frames(self.frames, US), "sums")
+
     @cached_property
     def spine(self) -> DataFrame:
         return windows.spine(self.frames, US)
 
+    @cached_property
+    def all_windows(self) -> DataFrame:
+        return sums.spine(self.sums, US)
+
     @cached_property
     def placed(self) -> DataFrame:
         return windows.assign(self.frames, US)
 
     def of(self, df: DataFrame, where: str) -> DataFrame:
-        return df.join(self.captures.where(where).select("capture_id"), "capture_id", "left_semi")
+        """The rows of the captures with a role. Roles follow from a capture's number, so no frame is read for them."""
+        roles = {k: c for k, c in event_roles(F.col("capture_id")).items() if k not in df.columns}
+        return df.withColumns(roles).where(where).drop(*roles)
 
     @cached_property
     def normal(self) -> DataFrame:
         """The timing model of the train captures without one id, so that scoring meets an unknown one."""
-        spine = self.of(self.spine, "`group` = 'train'")
-        n = spine.agg(F.count(F.lit(1)).alias("n"))
-        placed = self.of(self.placed, "`group` = 'train'").where("can_id <> '0A0'").crossJoin(F.broadcast(n))  # one row
-        rate = features.per_id(placed).groupBy("can_id").agg(F.sum("n").alias("frames")).crossJoin(F.broadcast(n))
-        gap = features.gaps(placed).groupBy("can_id").agg(F.percentile("gap_us", 0.5).alias("gap"))
-        return rate.join(gap, "can_id", "left").select("can_id", (F.col("frames") / (F.col("n") * (US / 1e6))).alias("rate"), F.greatest(F.col("gap") / 1e6, F.lit(1e-6)).alias("median_gap"))
+        n = self.of(self.all_windows, "`group` = 'train'").count()
+        return model.normal_ids(self.of(sums.complete(self.sums), "`group` = 'train'").where("can_id <> '0A0'"), n, US)
 
     @cached_property
     def timing(self) -> DataFrame:
-        return features.timing(features.per_id(self.placed), self.spine, self.normal, US / 1e6)
+        return features.timing(sums.per_id(sums.complete(self.sums)), self.all_windows, self.normal, US / 1e6)
 
     @cached_property
     def fields2(self) -> DataFrame:
-        some = "`group` = 'train' and fold = 1"
-        return model.field_model(features.ranges(self.of(self.frames, some)), features.per_field(self.of(self.placed, some)))
+        some = self.of(self.sums, "`group` = 'train' and fold = 1")
+        return model.field_model(sums.ranges(some), sums.per_field(sums.complete(some)))
 
     def payload(self, mode: str) -> DataFrame:
-        return features.payload(features.per_field(self.placed), self.spine, self.fields2, mode)
+        return features.payload(sums.per_field(sums.complete(self.sums)), self.all_windows, self.fields2, mode)
 
     @cached_property
     def labels(self) -> DataFrame:
@@ -242,8 +251,7 @@ def a8_short_gaps(t):
 
 @query("SELECT capture_id, line_no, t_us - lag(t_us) OVER (PARTITION BY capture_id, w, can_id ORDER BY t_us, line_no) AS gap_us FROM placed QUALIFY gap_us IS NOT NULL", "placed")
 def n1_gaps(t):
-    gap = F.col("t_us") - F.lag("t_us").over(Window.partitionBy("capture_id", "w", "can_id").orderBy("t_us", "line_no"))
-    return t.placed.select("capture_id", "line_no", gap.alias("gap_us")).where("gap_us is not null")
+    return features.gaps(t.placed).select("capture_id", "line_no", "gap_us")
 
 
 @query("SELECT window_id, arg_max(can_id, (n / rate, -(first[1]), -(first[2]))) AS rate_id FROM spine s JOIN perid p USING (capture_id, w) JOIN normal USING (can_id) GROUP BY ALL", "spine", "perid", "normal")
@@ -251,15 +259,12 @@ def n8_top_id(t):
     return t.timing.where("rate_id is not null").select("window_id", "rate_id")
 
 
-def _stage1_reference(t: Tables) -> DataFrame:
-    return model._reference(t.of(t.timing, "`group` = 'train'"), features.TIMING)
-
-
 @query("""SELECT window_id, round(CASE WHEN v <= m THEN below / (n + 1) ELSE (n + 1 - 1 / (1 + (v - m) / CASE WHEN m > 0 THEN m ELSE 1 END)) / (n + 1) END, 9) AS score FROM (
     SELECT t.window_id, t.rate_excess AS v, (SELECT count(*) FROM reference r WHERE r.v < t.rate_excess) AS below, (SELECT max(v) FROM reference) AS m, (SELECT count(*) FROM reference)::DOUBLE AS n FROM timing t)""", "timing", "reference")
 def m3_reference_rank(t):
-    reference = _stage1_reference(t).where("check = 'rate_excess'")
-    return t.timing.crossJoin(F.broadcast(reference)).select("window_id", F.round(model.unusualness(F.col("rate_excess"), F.col("values")), 9).alias("score"))  # one row
+    rows = written(t.timing, "timing")
+    reference = model.reference(t.of(rows, "`group` = 'train'"), ("rate_excess",))
+    return ranks.scores(rows, reference, ("rate_excess",), []).select("window_id", F.round("rate_excess_score", 9).alias("score"))
 
 
 # --- payload features and stage 2 ---
@@ -287,8 +292,9 @@ def a11_field_model(t):
 
 @query("SELECT can_id, field, round(quantile_cont(value, 0.05), 6) AS bound_low, round(quantile_cont(value, 0.95), 6) AS bound_high FROM fields GROUP BY ALL", "fields")
 def a12_percentile_bounds(t):
-    values = features.fields(t.placed)
-    return values.groupBy("can_id", "field").agg(F.round(quantiles.interpolated(F.col("value"), 0.05), 6).alias("bound_low"), F.round(quantiles.interpolated(F.col("value"), 0.95), 6).alias("bound_high"))
+    own = sums.complete(t.sums)
+    got = model.field_model(sums.ranges(own), sums.per_field(own), 5.0, features.fields(t.placed).select("can_id", "field", "value"))
+    return got.select("can_id", "field", r("bound_low", 6), r("bound_high", 6))
 
 
 @query("SELECT can_id, field, count(*) FILTER (low = high) AS constant, count(*) AS seen FROM perfield WHERE n >= 2 GROUP BY ALL", "perfield")
@@ -341,15 +347,16 @@ def m7_detector(t):
 
 @query("SELECT count(*) AS n, count(*) FILTER (attack_score > b) AS alarms FROM outputs, (SELECT attack_score AS b FROM outputs ORDER BY attack_score DESC LIMIT 1 OFFSET (SELECT floor(0.05::DOUBLE * count(*))::BIGINT FROM outputs))", "outputs")
 def m8_threshold_check(t):
-    limit = model.threshold_of(t.outputs, 0.05)
-    return t.outputs.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("attack_score") >= limit).alias("alarms"))
+    outputs = written(t.outputs.select("attack_score"), "outputs")
+    limit = calibrate.boundary(outputs, 0.05)
+    return outputs.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("attack_score") > limit).alias("alarms"))
 
 
 @query("""SELECT max(width) AS width FROM (SELECT width, bool_and(m <= (SELECT floor(0.3::DOUBLE * count(*)) FROM outputs)) OVER (ORDER BY width) AS ok FROM (
     SELECT width, (SELECT count(*) FROM outputs o WHERE o.attack_score BETWEEN greatest(0.0, 0.25::DOUBLE - width) AND least(1.0, 0.25::DOUBLE + width)) AS m
     FROM (SELECT DISTINCT least(0.5, abs(attack_score - 0.25::DOUBLE)) AS width FROM outputs UNION SELECT 0.0 UNION SELECT 0.5))) WHERE ok""", "outputs")
 def m9_band_width(t):
-    width = calibrate.band_half_width(t.outputs, 0.25, 0.3)
+    width = calibrate.band_half_width(written(t.outputs.select("attack_score"), "outputs"), 0.25, 0.3)
     return t.spark.range(1).select(F.lit(width).alias("width"))
 
 
@@ -404,7 +411,7 @@ def u3_symmetric_difference(t):
 
 @query("SELECT window_id FROM spine WHERE w % 6 = 0", "spine")
 def j4_overlap(t):
-    return t.spine.where("w % 2 = 0").select("window_id").intersect(t.spine.where("w % 3 = 0").select("window_id"))
+    return runs.overlap(t.spine.where("w % 2 = 0"), t.spine.where("w % 3 = 0"))
 
 
 _RATES = "count(*) FILTER (outcome = 'TP') AS tp, count(*) FILTER (outcome = 'FP') AS fp, count(*) FILTER (outcome = 'TN') AS tn, count(*) FILTER (outcome = 'FN') AS fn"
@@ -531,7 +538,7 @@ def o3_top_evidence(t):
 
 @query("SELECT capture_id, fold FROM captures WHERE grp = 'development'", "captures")
 def p2_capture_selection(t):
-    return t.captures.where("`group` = 'development'").select("capture_id", "fold")
+    return logs.allowed(t.captures, ["development"]).select("capture_id", "fold")
 
 
 @query("SELECT fold, string_agg(DISTINCT target, ',') AS watch FROM (SELECT a.fold, b.target FROM captures a JOIN captures b ON a.fold <> b.fold) GROUP BY fold", "captures")
@@ -539,11 +546,50 @@ def m12_fold_watch(t):
     return crossval.fold_watch(t.captures).select("fold", F.array_join("watch", ",").alias("watch"))
 
 
-@query()
+@query(LOCO)
 def m11_leave_one_out(t):
-    """Nested leave-one-capture-out of the rate check over the train captures, all folds in one plan."""
-    got = crossval.leave_one_out(t.of(t.frames, "`group` = 'train'"), US, 0.05)
-    return got.select("outer", r("boundary"), "alarms", "windows")
+    """Nested leave-one-capture-out of both detectors over the train captures, all folds in one plan."""
+    got = crossval.leave_one_out(t.frames, US, 0.05, table=t.of(t.sums, "`group` = 'train'"))
+    return got.select("outer", "version", r("boundary"), "alarms", "windows")
+
+
+@query(f"SELECT version, sum(alarms)::BIGINT AS alarms, sum(windows)::BIGINT AS windows, round(sum(alarms) / sum(windows), 6) AS rate, round((sum(windows) * 6.0)::DOUBLE, 4) AS hours, round(sum(alarms) / (sum(windows) * 6.0), 3) AS per_hour, count(*) FILTER (alarms / windows > 0.05) AS captures_over_target FROM ({LOCO}) GROUP BY version")
+def a21_false_alarms(t):
+    """The false alarms of m11_leave_one_out in all; their exact upper bound is tested against the binomial distribution."""
+    rows = crossval.leave_one_out(t.frames, US, 0.05, table=t.of(t.sums, "`group` = 'train'"))
+    got = crossval.false_alarms(rows, 0.05, US)
+    return t.spark.createDataFrame([(v, x["alarms"], x["windows"], x["rate"], x["hours"], x["per_hour"], x["captures_over_target"]) for v, x in got.items()], "version string, alarms long, windows long, rate double, hours double, per_hour double, captures_over_target long")
+
+
+def _attack_rows(t: Tables) -> DataFrame:
+    """Folds whose recordings have targets of their own, so that each fold's second stage watches another id."""
+    captures = t.captures.withColumn("target", F.when(F.col("fold") == 1, "0E0").otherwise("0B0"))
+    marked = labels.window_labels(t.frames, captures, US)
+    own = captures.withColumn("kind", F.when(F.substring("capture_id", 4, 2) < "10", "fabrication").otherwise("masquerade"))
+    return crossval.attack_cv(t.sums, own, marked, US, 0.05)
+
+
+@query(f"SELECT * REPLACE (round(boundary, 9) AS boundary) FROM ({ATTACK_CV})")
+def m12_attack_cv(t):
+    """Both stages fitted for each fold of the development recordings, with thresholds from validation."""
+    return _attack_rows(t).withColumn("boundary", F.round("boundary", 9))
+
+
+@query(f"SELECT version, condition, count(*) AS families, round(avg(recall), 4) AS macro_recall FROM (SELECT version, coalesce(condition, 'all') AS condition, family, round(sum(detected) / sum(attacked), 4) AS recall FROM ({ATTACK_CV}) GROUP BY GROUPING SETS ((version, condition, family), (version, family)) HAVING sum(attacked) > 0) GROUP BY ALL")
+def m12_macro_recall(t):
+    rows = written(_attack_rows(t), "attack-folds")
+    by = [evaluate.macro_recall(rows.where(F.col("version") == v)).select(F.lit(v).alias("version"), "condition", "families", "macro_recall") for v in ("v1", "v2")]
+    return by[0].union(by[1])
+
+
+@query(DETECTOR)
+def m7_scores(t):
+    """The detector of m7_detector, its scores and decisions."""
+    train = t.of(t.frames, "`group` = 'train'")
+    table = t.of(t.sums, "`group` = 'train'")
+    detector = model.Detector(model.fit_stage1(train, US, table=table), 1.0, "v2", model.fit_stage2(train, US, mode="rate", table=table))
+    detector.threshold = model.threshold_of(written(detector.raw(t.of(t.frames, "`group` = 'validation'")).select("attack_score"), "scores"), 0.05)
+    return detector.score(t.of(t.frames, "`group` = 'development'")).select("window_id", F.round("attack_score", 9).alias("attack_score"), "decision")
 
 
 @query()
@@ -684,7 +730,73 @@ def o1_top_lines(t):
     return own.orderBy(F.desc("l_extendedprice"), "l_orderkey", "l_linenumber").limit(20).select("l_orderkey", "l_linenumber", F.round("l_extendedprice", 2).alias("price"))
 
 
-@query("SELECT capture_id, count(*) AS n, sha256(string_agg(sha256(printf('%d|%s|%s', t_us, can_id, payload)), '' ORDER BY line_no)) AS sha256 FROM frames GROUP BY capture_id", "frames")
+def _leaves(frames: str) -> str:
+    return """SELECT capture_id, t_us // 21600000000 AS leaf, count(*) AS n, sha256(string_agg(sha256(printf('{"capture_id":"%s","line_no":%d,"t_us":%d,"can_id":"%s","payload":"%s"}', capture_id, line_no, t_us, can_id, payload)), '' ORDER BY line_no)) AS h FROM """ + frames + " GROUP BY ALL"
+
+
+_CHANGED = "(SELECT capture_id, line_no, t_us, can_id, CASE WHEN line_no % 977 = 5 THEN '000000' ELSE payload END AS payload FROM frames)"
+
+
+@query(f"SELECT capture_id, sum(n)::BIGINT AS n, sha256(string_agg(leaf || ':' || h || ';', '' ORDER BY leaf)) AS sha256 FROM ({_leaves('frames')}) GROUP BY capture_id", "frames")
 def a20_fingerprint(t):
-    own = F.struct("line_no", F.sha2(F.format_string("%d|%s|%s", "t_us", "can_id", "payload"), 256).alias("h"))
-    return t.frames.groupBy("capture_id").agg(F.count(F.lit(1)).alias("n"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(own)), lambda x: x["h"]), ""), 256).alias("sha256"))
+    """A hash of every window, and of these one of every capture."""
+    return evaluate.fingerprint(t.frames, ["capture_id"], "line_no", F.expr(f"t_us div {US}"))
+
+
+@query(f"SELECT capture_id, leaf FROM ({_leaves('frames')}) a JOIN ({_leaves(_CHANGED)}) b USING (capture_id, leaf) WHERE a.h <> b.h", "frames")
+def a20_changed_windows(t):
+    """Which windows differ once some payloads are changed, found from the top of two trees."""
+    changed = t.frames.withColumn("payload", F.when(F.col("line_no") % 977 == 5, "000000").otherwise(F.col("payload")))
+    trees = [written(evaluate.fingerprint_tree(evaluate.fingerprint_leaves(x, ["capture_id"], F.expr(f"t_us div {US}"), "line_no"), ["capture_id"]), "tree") for x in (t.frames, changed)]
+    return evaluate.tree_changes(*trees, ["capture_id"])
+
+
+@query("SELECT model_version, capture_id, count(*) FILTER (is_attack) AS attacked, count(*) FILTER (is_attack AND attack_score >= t) AS detected, count(*) FILTER (NOT is_attack) AS normal, count(*) FILTER (NOT is_attack AND attack_score >= t) AS false_alarms FROM results, (VALUES ('plain', 0.25), ('wide', 0.1)) m(model_version, t) GROUP BY ROLLUP (model_version, capture_id)", "results")
+def a30_dev_totals(t):
+    wide = model.decide(t.outputs.select("window_id", "capture_id", "w", "attack_score", "evidence"), 0.1, "wide")
+    return runs.development_totals(t.outputs.select(*wide.columns).unionByName(wide), t.labels)
+
+
+@query("""SELECT 'rate_excess' AS "check", 'unusual timing (rate_excess): ' || rate_id AS evidence, count(*) AS count FROM (SELECT window_id, arg_max(can_id, (n / rate, -(first[1]), -(first[2]))) AS rate_id, max(n / 21600.0 / rate) AS v FROM spine s JOIN perid p USING (capture_id, w) JOIN normal USING (can_id) GROUP BY window_id)
+    WHERE v > (SELECT max(rate_excess) FROM timing JOIN captures USING (capture_id) WHERE grp = 'train' AND fold = 1) GROUP BY ALL ORDER BY count DESC, evidence DESC LIMIT 5""", "spine", "perid", "normal", "timing", "captures")
+def a31_firing(t):
+    """Which senders set the rates beyond all of one fold's train captures."""
+    rows = written(t.timing, "timing")
+    train = t.of(rows, "`group` = 'train' and fold = 1")
+    n = train.count()
+    scored = model.ranked(rows, model.reference(train, ("rate_excess",)), ("rate_excess",), n, 1, F.col("rate_id"))
+    return runs.firing(scored, 1, n)
+
+
+@query("""SELECT window_id, place, n_frames, n_ids FROM (SELECT s.capture_id, w, window_id, row_number() OVER (ORDER BY s.capture_id, w) - 1 AS place, count(p.line_no) AS n_frames, count(DISTINCT p.can_id) AS n_ids FROM spine s JOIN captures c USING (capture_id) LEFT JOIN placed p USING (capture_id, w) WHERE grp = 'development' GROUP BY s.capture_id, w, window_id) WHERE place < 300""", "spine", "captures", "placed")
+def s13_real_windows(t):
+    """The first 300 windows of the development captures; captures beyond them are not read."""
+    names = [r["capture_id"] for r in logs.allowed(t.captures, ["development"]).collect()]  # a row a capture
+    return windows.real(t.frames, US, names, 300).select("window_id", "place", "n_frames", "n_ids")
+
+
+@query("""SELECT capture_id, grp AS "group", kind, family, target, lo_us / 1e6 AS from_s, hi_us / 1e6 AS to_s, (f.b - f.a) / 1e6 AS duration_s, f.first AS first_raw_timestamp FROM captures JOIN (SELECT capture_id, arg_min(t_us, line_no) AS a, arg_max(t_us, line_no) AS b, arg_min(t_us::VARCHAR, line_no) AS first FROM frames GROUP BY capture_id) f USING (capture_id)""", "captures", "frames")
+def a35_capture_metadata(t):
+    lines = t.frames.select(F.col("capture_id").alias("capture"), "line_no", F.col("t_us").cast("string").alias("ts_text"), F.col("t_us").alias("abs_us"))
+    got = logs.capture_metadata(lines, t.captures, t.captures)
+    return got.select("capture_id", "group", "kind", "family", "target", F.get("injection_interval", F.lit(0)).alias("from_s"), F.get("injection_interval", F.lit(1)).alias("to_s"), "duration_s", "first_raw_timestamp")
+
+
+@query("""SELECT s.window_id, p.can_id || ':amount' AS signal, count(*) AS n, arg_max(v, (t_us, line_no)) AS last FROM (SELECT p.*, CAST('0x' || substr(CASE WHEN p.can_id = s.target THEN first_value(payload) OVER (PARTITION BY p.capture_id, p.w, p.can_id ORDER BY t_us, line_no) ELSE payload END, 1, 4) AS BIGINT)::DOUBLE AS v FROM placed p JOIN (
+    SELECT capture_id, w, arg_min(can_id, (-changes, v)) AS target FROM (SELECT capture_id, w, can_id, CAST('0x' || can_id AS BIGINT) AS v, count(*) FILTER (payload <> fp) AS changes FROM (
+    SELECT *, first_value(payload) OVER (PARTITION BY capture_id, w, can_id ORDER BY t_us, line_no) AS fp FROM placed) GROUP BY ALL) WHERE changes > 0 GROUP BY ALL) s USING (capture_id, w)) p JOIN spine s USING (capture_id, w) GROUP BY ALL""", "placed", "spine")
+def w10_preprocess(t):
+    """Signals of the windows that a frozen sender was injected into, decoded afterwards."""
+    ids = t.spark.createDataFrame([(i, "amount", 7, 16, False, False) for i in ("0C1", "0E0", "0B0", "0A0", "0F4")], logs.SIGNALS)
+    hit = attacks.inject(t.placed, attacks.propose_freeze(t.placed, US), US)
+    got = decode.preprocess(hit.select("capture_id", "w", "line_no", "t_us", "can_id", "payload"), t.spine, logs.with_bits(ids))
+    each = got.select("window_id", F.explode("decoded_signals").alias("signal", "values"))
+    return each.select("window_id", "signal", F.size("values").cast("long").alias("n"), F.element_at("values", -1).alias("last"))
+
+
+@query()
+def m17_logistic_cv(t):
+    """Logistic regression on the six features over the development recordings' folds, fitted together."""
+    captures = t.captures.withColumn("kind", F.when(F.substring("capture_id", 4, 2) < "10", "fabrication").otherwise("masquerade"))
+    own = t.of(t.labels.select("window_id", "capture_id", "is_attack"), "`group` = 'development'").unionByName(t.of(t.labels.select("window_id", "capture_id", F.lit(False).alias("is_attack")), "`group` <> 'development'"))
+    return ml.logistic_cv(ml.vectors(t.timing, t.payload("width")), own, captures, 0.05).withColumn("boundary", F.round("boundary", 9))

@@ -126,8 +126,13 @@ def check_development(frames: DataFrame, rules: DataFrame, detectors: list[model
     for d in detectors:
         one = d.score(frames)
         every = one if every is None else every.unionByName(one)
+    return development_totals(every, marks)
+
+
+def development_totals(outputs: DataFrame, marks: DataFrame) -> DataFrame:
+    """The counts of check_development() from outputs of any versions and labels (window_id, is_attack)."""
     alarm, attack = F.col("decision") == "ATTACK", F.col("is_attack")
-    return every.join(marks, "window_id").rollup("model_version", "capture_id").agg(F.count_if(attack).alias("attacked"), F.count_if(attack & alarm).alias("detected"), F.count_if(~attack).alias("normal"), F.count_if(~attack & alarm).alias("false_alarms"))
+    return outputs.join(marks.select("window_id", "is_attack"), "window_id").rollup("model_version", "capture_id").agg(F.count_if(attack).alias("attacked"), F.count_if(attack & alarm).alias("detected"), F.count_if(~attack).alias("normal"), F.count_if(~attack & alarm).alias("false_alarms"))
 
 
 def firing(scored: DataFrame, stage: int, n: int, most: int = 5) -> DataFrame:

@@ -183,6 +183,24 @@ def allowed(captures: DataFrame, groups: list[str] | None = None, folder: str |
     return found.orderBy("capture_id")
 
 
+def entry(captures: DataFrame, name: str) -> DataFrame:
+    """The one capture of a name; an error if there is none."""
+    found = captures.where(F.col("name") == name)
+    if not found.limit(1).count():
+        raise KeyError(f"no capture is called {name}")
+    return found
+
+
+def capture_metadata(parsed: DataFrame, captures: DataFrame, rules_: DataFrame) -> DataFrame:
+    """One row a capture: what the manifest and its injection rule say, duration_s, and its first timestamp as text.
+
+    parsed: lines by capture, as spans() takes them; a capture without frames has neither duration nor timestamp.
+    """
+    rule = rules_.select("capture_id", "target", F.when(F.col("lo_us").isNotNull(), F.array(F.col("lo_us") / 1e6, F.col("hi_us") / 1e6)).alias("injection_interval"))
+    own = spans(parsed).select(F.col("capture").alias("capture_id"), (F.col("span_us") / 1e6).alias("duration_s"), "first_raw_timestamp")
+    return captures.select("capture_id", "group", "kind", "family").join(rule, "capture_id", "left").join(own, "capture_id", "left")
+
+
 def folds(captures: DataFrame) -> DataFrame:
     """(fold, names) of the development captures, names in order."""
     return captures.where("fold is not null").groupBy("fold").agg(F.array_sort(F.collect_list("name")).alias("names")).orderBy("fold")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: Six hours, the window of the event table.
 EVENT_WINDOW_US = 21_600_000_000
@@ -31,14 +31,20 @@ def event_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raw.join(F.broadcast(zero), "capture_id").select("capture_id", "line_no", (F.col("abs_us") - F.col("zero")).alias("t_us"), "can_id", "payload")  # at most CAPTURES rows
 
 
+def event_roles(capture_id: Column) -> dict[str, Column]:
+    """group, family and fold of those captures, which follow from the number in a capture's id: 0 to 2 modulo 5 train, 3
+    validation, 4 development."""
+    number = F.substring(capture_id, 4, 2).cast("int")
+    return {"group": F.when(number % 5 == 3, "validation").when(number % 5 == 4, "development").otherwise("train"), "family": F.concat(F.lit("f"), (number % 3).cast("string")), "fold": number % 2 + 1}
+
+
 def event_captures(frames: DataFrame) -> DataFrame:
-    """Roles for those captures: numbers 0 to 2 modulo 5 train, 3 validation, 4 development; errors in the middle third are injected."""
-    number = F.substring("capture_id", 4, 2).cast("int")
+    """A row for each of those captures with its role; errors in the middle third are injected."""
+    roles = event_roles(F.col("capture_id"))
     last = frames.groupBy("capture_id").agg(F.max("t_us").alias("last_us"))
-    group = F.when(number % 5 == 3, "validation").when(number % 5 == 4, "development").otherwise("train")
     return last.select(
-        "capture_id", group.alias("group"), F.lit("masquerade").alias("kind"), F.concat(F.lit("f"), (number % 3).cast("string")).alias("family"), F.lit("0E0").alias("target"), F.expr("last_us div 3").alias("lo_us"),
-        F.expr("2 * last_us div 3").alias("hi_us"), F.lit(None).cast("string").alias("mask"), (number % 2 + 1).alias("fold"),
+        "capture_id", roles["group"].alias("group"), F.lit("masquerade").alias("kind"), roles["family"].alias("family"), F.lit("0E0").alias("target"), F.expr("last_us div 3").alias("lo_us"),
+        F.expr("2 * last_us div 3").alias("hi_us"), F.lit(None).cast("string").alias("mask"), roles["fold"].alias("fold"),
     )
 
 

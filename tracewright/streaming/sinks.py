@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tracewright.operators.model import Detector
+from tracewright.operators.store import written
 
 
 def events(outputs: DataFrame, every: int = 10) -> DataFrame:
@@ -23,16 +25,28 @@ def events(outputs: DataFrame, every: int = 10) -> DataFrame:
     return meta.unionByName(rows).unionByName(done).unionByName(end)
 
 
+def error_event(frames: DataFrame, message: str) -> DataFrame:
+    """The line that takes the place of done where scoring failed."""
+    return frames.sparkSession.createDataFrame([(json.dumps({"type": "error", "message": message}),)], "value string")
+
+
 def score_uploads(frames: DataFrame, detector: Detector, path: str, checkpoint: str) -> StreamingQuery:
     """Scores each batch of whole captures that arrives and writes its events as JSON lines below path.
 
     frames: a stream of (capture_id, line_no, t_us, can_id, payload). A batch is one micro-batch's files; a batch that is
-    run again after a failure replaces its own output.
+    run again after a failure replaces its own output. A batch that can't be scored, or has no complete window, leaves one
+    error event in its place, and the stream goes on.
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        made = events(detector.score(batch))
-        made.repartitionByRange("place").sortWithinPartitions("place").select("value").write.mode("overwrite").text(f"{path}/batch={number}")
+        to = f"{path}/batch={number}"
+        try:
+            outputs = written(detector.score(batch), "upload")
+            if outputs.isEmpty():
+                raise ValueError("no complete window was uploaded")
+            events(outputs).repartitionByRange("place").sortWithinPartitions("place").select("value").write.mode("overwrite").text(to)
+        except Exception as e:  # of any kind: the sender is told, whatever it is
+            error_event(batch, str(e).splitlines()[0] if str(e) else type(e).__name__).write.mode("overwrite").text(to)
 
     return frames.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
