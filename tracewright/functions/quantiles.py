@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 
 def interpolated(x: Column, p: float) -> Column:
@@ -13,12 +13,17 @@ def interpolated(x: Column, p: float) -> Column:
 def _at_rank(df: DataFrame, by: list[str], value: str, rank: Column, name: str) -> DataFrame:
     """For each group the value whose place in ascending order, from 0, is rank, an expression of the group's n.
 
-    Values are counted first, so ties don't grow the sort, and a group is sorted with spilling, never held as a list.
+    Values are counted first, so ties cost nothing; distinct ones are merged in ranges, so neither a group nor all rows
+    together are one task's work.
     """
-    counted = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_m"))
-    w = Window.partitionBy(*by)
-    placed = counted.withColumns({"_upto": F.sum("_m").over(w.orderBy(value)), "n": F.sum("_m").over(w)})
-    return placed.where((F.col("_upto") > rank) & (F.col("_upto") - F.col("_m") <= rank)).select(*by, F.col(value).cast("double").alias(name))
+    from tracewright.operators import ranks
+    from tracewright.operators.store import written
+
+    keys = by or ["every"]
+    own = df.where(F.col(value).isNotNull()).select(*[F.lit(0).alias("every")] * (not by), *by, F.col(value).cast("double").alias("value"))
+    counted = written(ranks.counted(own, keys), "quantile")
+    at = ranks.below(counted.select(*keys, "value"), counted, keys).join(counted, [*keys, "value"])
+    return at.where((F.col("below") <= rank) & (rank < F.col("below") + F.col("m"))).select(*by, F.col("value").alias(name))
 
 
 def nearest_rank_p95(df: DataFrame, by: list[str], value: str, name: str = "p95") -> DataFrame:

@@ -37,9 +37,10 @@ def check_csv(decoded: DataFrame, expected: DataFrame, most: int = 200_000) -> D
     decoded is of one capture. Frames of ids without signals fall out before; then the i-th frame meets the i-th row, up
     to the shorter one's end and most rows. Another id in a pair is an error; empty expected values are passed over.
     """
-    frames_ = decoded.select("line_no", "can_id").distinct()
-    numbered = frames_.withColumn("i", F.row_number().over(Window.orderBy("line_no"))).where(F.col("i") <= most)
-    rows = expected.withColumn("i", F.row_number().over(Window.orderBy("row"))).where(F.col("i") <= most).select("i", F.col("can_id").alias("other"), "values")
+    # Only the first most of either side are numbered, and each task finds its own first ones.
+    frames_ = decoded.select("line_no", "can_id").distinct().orderBy("line_no").limit(most)
+    numbered = frames_.withColumn("i", F.row_number().over(Window.orderBy("line_no")))
+    rows = expected.orderBy("row").limit(most).withColumn("i", F.row_number().over(Window.orderBy("row"))).select("i", F.col("can_id").alias("other"), "values")
     pairs = numbered.join(rows, "i").withColumn("same", F.when(F.col("can_id") == F.col("other"), True).otherwise(F.raise_error(F.format_string("row %d is of %s, not %s", "i", "other", "can_id")).cast("boolean"))).where("same")
     want = pairs.select("i", "line_no", "can_id", F.inline("values")).select("i", "line_no", F.concat_ws(":", "can_id", "name").alias("signal"), F.col("value").alias("want"))
     both = want.join(decoded.select("line_no", "signal", "value"), ["line_no", "signal"])
