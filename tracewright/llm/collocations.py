@@ -7,6 +7,7 @@ candidates; Aho-Corasick automata of these count their occurrences exactly.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import uuid
 from collections import Counter
 from collections.abc import Iterator
@@ -26,10 +27,10 @@ LEAST, MOST_WORDS, INSIDE, RANKS, SCALE = 30, 4, 80, 2000, 2_000_000
 _PIECES = byte_table(b"\x20\x09", b".,;:!?\x0a\x0b\x0c\x0d")
 _WORDS = byte_table(b"\x20\x09.,;:!?\x0a\x0b\x0c\x0d")
 #: Bytes of text hashed at once, and cells that a task holds before it passes their counts on.
-CHUNK, CELLS = 1 << 20, 3_000_000
-#: Heavy cells that workers hold at once, and bytes of phrases in one automaton (some 30 times that in memory). Where there
+CHUNK, CELLS = 1 << 19, 2_000_000
+#: Heavy cells that workers hold at once, and bytes of phrases in one automaton (some 15 times that in memory). Where there
 #: are more, they are dealt to several passes over the texts, each with as many at most.
-HEAVY, PHRASES = 4 << 20, 6 << 20
+HEAVY, PHRASES = 4 << 20, 3 << 20
 #: Bits of the workers' first look-up of a cell.
 _FOLD = 27
 
@@ -186,7 +187,7 @@ def candidates(docs: DataFrame, bits: int, heavy: DataFrame) -> DataFrame:
                                 seen.add(h)
                                 langs.append(lang)
                                 names.append(b" ".join(data[begin[i] : end[i + k - 1]].split()))
-                if len(seen) > 1_000_000:  # what a task forgets it names again
+                if len(seen) > 300_000:  # what a task forgets it names again
                     seen.clear()
                 yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(names, pa.binary()).cast(pa.string())], ["lang", "phrase"])
 
@@ -194,27 +195,38 @@ def candidates(docs: DataFrame, bits: int, heavy: DataFrame) -> DataFrame:
     return out.distinct() if passes > 1 else out
 
 
-_automata: dict[str, tuple[object, list[str], set[bytes]]] = {}
+_automata: dict[str, tuple[object, dict[bytes, str]]] = {}
+#: Letters of word numbers; few, since an automaton's step looks through them one by one.
+_LETTERS = [chr(48 + i) for i in range(64)]
 
 
-def _automaton(key: str, phrases: list[str]) -> tuple[object, list[str], set[bytes]]:
-    """The automaton of phrases between blanks, kept by a worker for as long as its tasks ask for the same ones."""
+def _automaton(key: str, phrases: list[str]) -> tuple[object, dict[bytes, str]]:
+    """The automaton of phrases whose words are written as numbers of equal length between blanks, and each word's number.
+
+    Numbers are shorter than words, so the automaton is smaller and texts pass it faster. A worker keeps it for as long as
+    its tasks ask for the same ones.
+    """
     if key not in _automata:
         for old in [k for k in _automata if k.split("|")[0] != key.split("|")[0]]:
             del _automata[old]
+        words = sorted({w for p in phrases for w in p.split(" ")})
+        width = 1
+        while len(_LETTERS) ** width < len(words):
+            width += 1
+        number = {w: "".join(x) for w, x in zip(words, itertools.product(_LETTERS, repeat=width))}
         made = ahocorasick.Automaton(ahocorasick.STORE_INTS)
         for i, phrase in enumerate(phrases):
-            made.add_word(f" {phrase} ", i)
+            made.add_word(f" {' '.join([number[w] for w in phrase.split(' ')])} ", i)
         made.make_automaton()
-        _automata[key] = made, phrases, {w.encode() for p in phrases for w in p.split(" ")}
+        _automata[key] = made, {w.encode(): n for w, n in number.items()}
     return _automata[key]
 
 
 def counted(docs: DataFrame, phrases: DataFrame) -> DataFrame:
     """(lang, phrase, a): how often each candidate occurs inside pieces of its language's texts, overlaps included.
 
-    Phrases stand between blanks, which neighbours share, and pieces are parted by line feeds, so a match is whole words of
-    one piece. The candidates are dealt to automata of a bounded size; texts pass by those of their language.
+    Words stand between blanks, which neighbours share, and a line feed takes the place of words that are in no candidate and
+    of what parts pieces, so a match is whole words of one piece. The candidates are dealt to automata of a bounded size; texts pass by those of their language.
     """
     spark = docs.sparkSession
     sizes = phrases.groupBy("lang").agg(F.sum(F.octet_length("phrase")).alias("size")).orderBy("lang").collect()  # a row a language
@@ -240,11 +252,10 @@ def counted(docs: DataFrame, phrases: DataFrame) -> DataFrame:
             hits: dict[str, np.ndarray] = {}
             for batch in batches:
                 for lang, text in zip(batch.column("lang").to_pylist(), texts(batch)):
-                    made, names, known = _automaton(f"{name}|{lang}", sent.value[lang])
-                    pieces = text.translate(_PIECES).split(b"\n")
-                    hay = " \n ".join([b" ".join([w if w in known else b"\n" for w in p.split()]).decode() for p in pieces])
+                    made, numbers = _automaton(f"{name}|{lang}", sent.value[lang])
+                    hay = " \n ".join([" ".join([numbers.get(w, "\n") for w in p.split()]) for p in text.translate(_PIECES).split(b"\n")])
                     if lang not in hits:
-                        hits[lang] = np.zeros(len(names), np.int64)
+                        hits[lang] = np.zeros(len(sent.value[lang]), np.int64)
                     found = Counter([v for _, v in made.iter(f" {hay} ")])
                     if found:
                         hits[lang][np.fromiter(found, np.int64, len(found))] += np.fromiter(found.values(), np.int64, len(found))
