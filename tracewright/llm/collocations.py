@@ -157,9 +157,28 @@ def heavy_cells(docs: DataFrame, bits: int, least: int) -> DataFrame:
     return parts.repartition("block").sortWithinPartitions("block").mapInArrow(add, "block long, n long, cells binary").where("n > 0")
 
 
+def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The different phrases of one bucket after the other; buckets come in order."""
+    at, held = None, set()
+
+    def out() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([at[0]] * len(held), pa.string()), pa.array(list(held), pa.binary()).cast(pa.string())], ["lang", "phrase"])
+
+    for batch in batches:
+        for lang, bucket, names in zip(*(c.to_pylist() for c in batch.columns)):
+            if (lang, bucket) != at and held:
+                yield out()
+                held = set()
+            at = lang, bucket
+            held.update(names.split(b"\n"))
+    if held:
+        yield out()
+
+
 def candidates(docs: DataFrame, bits: int, heavy: DataFrame) -> DataFrame:
-    """(lang, phrase): the phrases in heavy cells, some more than once."""
+    """(lang, phrase): the phrases in heavy cells, each once. Tasks pass on what they have met in buckets by hash, a line each."""
     spark = docs.sparkSession
+    buckets = 64 - max(4, bits - 21)  # as many as leave some hundreds of candidates in each
     passes = -(-(heavy.agg(F.sum("n")).first()[0] or 0) // HEAVY)
     out = spark.createDataFrame([], "lang string, phrase string")
     for turn in range(passes):
@@ -173,7 +192,7 @@ def candidates(docs: DataFrame, bits: int, heavy: DataFrame) -> DataFrame:
             np.bitwise_or.at(fold, (own & mask) >> np.uint64(3), np.left_shift(1, (own & np.uint64(7)).astype(np.uint8)).astype(np.uint8))
             seen: set[int] = set()
             for batch in batches:
-                langs, names = [], []
+                names: dict[tuple[str, int], list[bytes]] = {}
                 for lang, data in _together(batch):
                     begin, end, found = _phrases(lang, data)
                     for k, first, hashes in found:
@@ -185,14 +204,14 @@ def candidates(docs: DataFrame, bits: int, heavy: DataFrame) -> DataFrame:
                         for h, i in zip(hashes.tolist(), first[at[which]].tolist()):
                             if h not in seen:
                                 seen.add(h)
-                                langs.append(lang)
-                                names.append(b" ".join(data[begin[i] : end[i + k - 1]].split()))
+                                names.setdefault((lang, h >> buckets), []).append(b" ".join(data[begin[i] : end[i + k - 1]].split()))
                 if len(seen) > 300_000:  # what a task forgets it names again
                     seen.clear()
-                yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(names, pa.binary()).cast(pa.string())], ["lang", "phrase"])
+                yield pa.RecordBatch.from_arrays([pa.array([lang for lang, _ in names], pa.string()), pa.array([b for _, b in names], pa.int64()), pa.array([b"\n".join(x) for x in names.values()], pa.binary())], ["lang", "bucket", "names"])
 
-        out = out.union(cut(docs.mapInArrow(name, "lang string, phrase string").distinct(), "phrases"))
-    return out.distinct() if passes > 1 else out
+        parts = docs.mapInArrow(name, "lang string, bucket long, names binary").repartition("lang", "bucket").sortWithinPartitions("lang", "bucket")
+        out = out.union(cut(parts.mapInArrow(_distinct, "lang string, phrase string"), "phrases"))
+    return out
 
 
 _automata: dict[str, tuple[object, dict[bytes, str]]] = {}
