@@ -218,6 +218,10 @@ def test_stage1_and_stage2(spark, detector, tmp_path):
         model.load(spark, str(tmp_path / "m"), "v1")
     with pytest.raises(Exception, match="exists"):
         detector.save(str(tmp_path / "m"))
+    broken = model.Detector(detector.stage1, 0.1, "v9", model.Stage2(detector.stage2.fields.withColumn("low", F.raise_error(F.lit("lost")).cast("long")), detector.stage2.reference, 2, S))
+    with pytest.raises(Exception, match="lost"):
+        broken.save(str(tmp_path / "m"), overwrite=True)
+    assert model.load(spark, str(tmp_path / "m")).version == "v2"  # a save that breaks off leaves the former model
     empty = {r["w"]: r["attack_score"] for r in detector.score(at(spark, 0.5, 2.5, 3.5)).collect()}
     assert set(empty) == {0, 1, 2}
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import math
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -182,17 +183,24 @@ class Detector:
         return decide(self.raw(frames), self.threshold, self.version)
 
     def save(self, path: str, overwrite: bool = False) -> None:
-        """The model's tables below a folder; an error if there are any, unless they may be replaced."""
-        mode = "overwrite" if overwrite else "errorifexists"
+        """The model's tables below a folder; an error if there is a model, unless it may be replaced.
+
+        The tables go to a folder of their own, and the one small file that names it is written last, so a save that breaks
+        off leaves no half of a model, and the former one as it was.
+        """
         spark = self.stage1.ids.sparkSession
-        meta = {"version": self.version, "threshold": self.threshold, "n": self.stage1.n, "window_us": self.stage1.window_us}
+        meta_path = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/meta/_SUCCESS")
+        if not overwrite and meta_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(meta_path):
+            raise FileExistsError(f"a model exists in {path}")
+        at = f"tables-{uuid.uuid4().hex}"
+        meta = {"version": self.version, "threshold": self.threshold, "n": self.stage1.n, "window_us": self.stage1.window_us, "at": at}
         tables = {"ids": self.stage1.ids, "reference1": self.stage1.reference}
         if self.stage2 is not None:
             meta |= {"mode": self.stage2.mode, "watch": self.stage2.watch, "n2": self.stage2.n}
             tables |= {"fields": self.stage2.fields, "reference2": self.stage2.reference}
         for name, df in tables.items():
-            df.coalesce(1).write.mode(mode).parquet(f"{path}/{name}")  # a model is small: a row an id or a field
-        spark.createDataFrame([(json.dumps(meta),)], "value string").write.mode(mode).text(f"{path}/meta")
+            df.write.parquet(f"{path}/{at}/{name}")
+        spark.createDataFrame([(json.dumps(meta),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/meta")
 
 
 def load(spark: SparkSession, path: str, version: str | None = None) -> Detector:
@@ -200,7 +208,7 @@ def load(spark: SparkSession, path: str, version: str | None = None) -> Detector
     meta = json.loads(spark.read.text(f"{path}/meta").first()[0])
     if version is not None and meta["version"] != version:
         raise ValueError(f"{path} holds {meta['version']}, not {version}")
-    read = lambda name: spark.read.parquet(f"{path}/{name}")
+    read = lambda name: spark.read.parquet(f"{path}/{meta['at']}/{name}")
     two = None
     if "mode" in meta:
         two = Stage2(read("fields"), read("reference2"), meta["n2"], meta["window_us"], meta["mode"], meta["watch"])
