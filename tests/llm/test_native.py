@@ -1,6 +1,7 @@
 """Operators 3, 6, 7 and 9 against plain Python."""
 
 import hashlib
+import random
 import re
 from collections import Counter, defaultdict
 
@@ -36,7 +37,7 @@ def test_licenses(both):
     got = rows_of(licenses.scan(both))
     assert Counter((r["doc_id"], r["n_words"], r["n_base"], r["first_word"], r["last_word"], r["base_labels"]) for r in got) == want
     assert all(0 <= r["score"] <= 1 and set(filter(None, r["base_labels"].split(","))) <= set(r["labels"].split(",")) for r in got)
-    assert (len(licenses.rules()) > 200) and all(re.compile(x[1]) for x in licenses.rules())
+    assert len(licenses.LICENSES) + len(licenses.NOTICES) > 200 and all(re.compile(x[1]) for x in licenses.rules())
 
 
 @pytest.mark.parametrize(
@@ -73,6 +74,8 @@ def sample(parts):
         kind = str(kind)
         if kind == "LITERAL":
             out += chr(x)
+        elif kind == "NOT_LITERAL":
+            out += "1"
         elif kind == "BRANCH":
             out += sample(x[1][0])
         elif kind == "SUBPATTERN":
@@ -110,6 +113,43 @@ def test_rules_find_names_however_they_are_wrapped(spark):
             assert inside == [" ".join(texts[plain["doc_id"]][d["first"] : d["last"]].split()) for d in plain["detections"]]
 
 
+def brute_outermost(raw):
+    def inside(x, y):
+        return y[0] <= x[0] and y[1] >= x[1] and (y[3] > x[3] or (y[3] == x[3] and y[1] - y[0] > x[1] - x[0]))
+
+    return sorted(x for x in raw if not any(inside(x, y) for y in raw))
+
+
+def brute_licenses(text):
+    """The detections of a text by Python's regular expressions, all pairs compared."""
+    lower, raw = low(text), []
+    if re.search(licenses.spaced(licenses.GATE), lower, re.ASCII):
+        for label, regex, keyword, priority in licenses.rules():
+            raw += [(m.start(), m.end(), label, priority) for m in re.finditer(regex, lower, re.ASCII)]
+    return brute_outermost(raw)
+
+
+def test_license_detections_against_all_pairs(spark, both):
+    signed = [" and ".join(sample(re._parser.parse(r)) for _, r, _, _ in licenses.NOTICES[k : k + 4]) for k in range(len(licenses.NOTICES))]
+    signed += ["Copyright (c) 2020 X Consortium. All rights reserved. Licensed under the MIT License, SPDX-License-Identifier: MIT", "mit license, gnu gpl, " * 300]
+    docs = both.select("doc_id", "text").union(spark.createDataFrame([(70_000 + i, t) for i, t in enumerate(signed)], "doc_id long, text string"))
+    want, texts = Counter(), rows_of(docs)
+    for r in texts:
+        found, base = brute_licenses(r["text"]), {x for p, x in licenses.PHRASES if f" {p} " in f" {' '.join(words(r['text']))} "}
+        score = max([x[3] for x in found] + [60 if base else 0]) / 100
+        want[(r["doc_id"], tuple(found), ",".join(sorted(base | {x[2] for x in found})), score)] += 1
+    got = rows_of(licenses.scan(docs))
+    assert Counter((r["doc_id"], tuple(sorted((d["first"], d["last"], d["label"], d["priority"]) for d in r["detections"])), r["labels"], r["score"]) for r in got) == want
+
+
+def test_outermost_of_random_spans(spark):
+    r = random.Random(3)
+    rows = [[(a, a + r.randint(1, 12), r.choice("xyz"), r.choice([40, 60, 90])) for a in (r.randint(0, 25) for _ in range(n))] for n in [0, 1, 2, 3, 5, 8, 20, 40] * 5]
+    frame = spark.createDataFrame([(i, x) for i, x in enumerate(rows)], "i int, raw array<struct<first:int,last:int,label:string,priority:int>>")
+    for x in rows_of(frame.select("i", licenses.outermost(F.col("raw")).alias("kept"))):
+        assert sorted(map(tuple, x["kept"])) == brute_outermost(rows[x["i"]])
+
+
 def brute_pii(text):
     text = text or ""
     kinds = [r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]"]

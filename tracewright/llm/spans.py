@@ -9,7 +9,7 @@ from pyspark.sql import Column, functions as F
 _BLOCK = 256
 
 
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value), with value computed once however often body names it."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
@@ -43,7 +43,13 @@ def sums_before(a: Column, levels: int = 3) -> Column:
         starts = sums_before(F.transform(parts, _sum), levels - 1)
         return F.flatten(F.zip_with(parts, starts, within))
 
-    return _let(_blocks(a, F.size(a)), by_blocks)
+    return let(_blocks(a, F.size(a)), by_blocks)
+
+
+def running_max(a: Column) -> Column:
+    """For each place of an array of int (none below -1) the largest up to it, in steps that double how far back they look."""
+    steps = F.filter(F.transform(F.sequence(F.lit(0), F.lit(30)), lambda k: F.pow(F.lit(2), k).cast("int")), lambda s: s < F.size(a))
+    return F.aggregate(steps, a, lambda own, s: F.slice(F.zip_with(own, F.concat(F.array_repeat(F.lit(-1), s), own), lambda x, y: F.greatest(x, y)), F.lit(1), F.size(own)))
 
 
 def matches(text: Column, regex: Column) -> Column:
@@ -65,4 +71,4 @@ def matches(text: Column, regex: Column) -> Column:
 
         return F.transform(ends, one)
 
-    return _let(both, placed)
+    return let(both, placed)
