@@ -42,6 +42,14 @@ def test_sums_are_those_of_each_field_by_itself(spark):
     assert same(sums.spine(table, S), windows.spine(f, S)) and sums.of_frames(f.limit(0), S).count() == 0
 
 
+def test_ranges_make_no_row_for_a_gap(spark):
+    f = mixed(spark)
+    whole, short = sums.of_frames(f, S), sums.of_frames(f, S, times=False)
+    assert same(short, whole.where(F.col("field") != sums.GAP)) and sums.gaps(whole).count() > 0 == sums.gaps(short).count()
+    # However long the parts are, and however many gaps differ, the ranges are the same.
+    assert same(features.ranges(f, 9 * S), features.ranges(f, S // 10)) and same(features.ranges(f), sums.ranges(whole))
+
+
 def test_frames_are_sorted_once(spark):
     plan = sums.of_frames(mixed(spark, 10), S)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1 and plan.count("Sort [") == 1 and "SortAggregate" not in plan

@@ -100,8 +100,9 @@ def per_field(placed: DataFrame) -> DataFrame:
 
 def ranges(frames: DataFrame, us: int = 1_000_000) -> DataFrame:
     """For each capture, id and field over all its frames: low, high, jump. Steps don't cross captures; a frame too short
-    for a field is passed over. us only cuts the work into parts: captures are summed by windows, then joined up."""
-    return sums.ranges(sums.of_frames(frames, us))
+    for a field is passed over. us only cuts the work into parts: captures are summed by windows, then joined up. A row
+    a window, id and field stands between, so us should be long enough to hold many frames."""
+    return sums.ranges(sums.of_frames(frames, us, times=False))
 
 
 def turns(frames: DataFrame) -> DataFrame:

@@ -22,12 +22,13 @@ def _byte(payload: Column, i: int) -> Column:
     return hex_value(F.substring(payload, 2 * i + 1, 2))
 
 
-def summed(placed: DataFrame) -> DataFrame:
+def summed(placed: DataFrame, times: bool = True) -> DataFrame:
     """capture_id, w, can_id, field, gap_us, n, low, high, jump, least, first, opening, closing, id_t, id_line, from frames with w.
 
     A row for each window, sender and field: its values' extremes, largest step, the place of the first value (numbers of
     frame and field), and its first and last value. FRAMES rows count a sender's frames; least is the shortest gap. GAP rows
-    count the gaps of each length. A field's value before a frame is that of the last frame long enough to have it.
+    count the gaps of each length, of which there may be as many as frames; without times they are left out, and only windows,
+    senders and fields make rows. A field's value before a frame is that of the last frame long enough to have it.
     """
     order = Window.partitionBy(*KEY).orderBy("t_us", "line_no")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
@@ -41,7 +42,9 @@ def summed(placed: DataFrame) -> DataFrame:
     def row(field: str, gap: Column, value: Column, step: Column, no: Column, there: Column) -> Column:
         return F.when(there, F.struct(F.lit(field).alias("field"), gap.alias("gap_us"), value.alias("value"), step.alias("step"), (number * 64 + no).alias("place")))
 
-    rows = [row(FRAMES, none, none, F.col("gap"), F.lit(0), F.lit(True)), row(GAP, F.col("gap"), none, none, F.lit(0), F.col("gap").isNotNull())]
+    rows = [row(FRAMES, none, none, F.col("gap"), F.lit(0), F.lit(True))]
+    if times:
+        rows.append(row(GAP, F.col("gap"), none, none, F.lit(0), F.col("gap").isNotNull()))
     n = F.col("bytes")
     for i in range(MOST_BYTES):
         now, last = _byte(F.col("payload"), i), _byte(F.col(f"before{i + 1}"), i)
@@ -58,9 +61,9 @@ def summed(placed: DataFrame) -> DataFrame:
     )
 
 
-def of_frames(frames: DataFrame, us: int) -> DataFrame:
+def of_frames(frames: DataFrame, us: int, times: bool = True) -> DataFrame:
     """summed() of all windows of frames, the last ones too."""
-    return summed(frames.withColumn("w", F.expr(f"t_us div {us}")))
+    return summed(frames.withColumn("w", F.expr(f"t_us div {us}")), times)
 
 
 def complete(sums: DataFrame, every: int = 1) -> DataFrame:

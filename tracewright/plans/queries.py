@@ -277,7 +277,7 @@ def f3_payload_fields(t):
 
 @query("SELECT capture_id, can_id, field, low, high, jump FROM ranges", "ranges")
 def a9_field_ranges(t):
-    return features.ranges(t.frames)
+    return features.ranges(t.frames, US)
 
 
 @query("SELECT can_id, field, min(low) AS low, max(high) AS high, max(jump) AS jump FROM ranges GROUP BY ALL", "ranges")
