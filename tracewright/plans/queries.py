@@ -282,7 +282,7 @@ def a9_field_ranges(t):
 
 @query("SELECT can_id, field, min(low) AS low, max(high) AS high, max(jump) AS jump FROM ranges GROUP BY ALL", "ranges")
 def a10_merged_ranges(t):
-    return features.merged(features.ranges(t.frames))
+    return features.merged(features.ranges(t.frames, US))
 
 
 @query("SELECT can_id, field, low, high, max_jump FROM model2", "model2")
