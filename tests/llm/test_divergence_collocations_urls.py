@@ -209,6 +209,19 @@ def test_rules_are_all_of_the_token_sets(spark):
         assert row["verdict"] == ("block" if any(set(s) <= own for s in want) else "allow")
 
 
+def test_all_tokens_of_a_page_take_part_in_mining(spark):
+    # 40 bad copies of a page of 70 tokens; a pair of tokens that tells more than each alone stands behind 14 others.
+    copies = [("http://long.test/" + "/".join(f"w{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(68)), 1)] * 40
+    extra = "/".join(f"k{chr(97 + i)}" for i in range(14))
+    rows = copies + [(f"http://h.test/{extra}/{x}", int(x == "p/q")) for x in ("p/q", "p", "q") for _ in range(30)] + [("http://h.test/r", 0)] * 100
+    pages = spark.createDataFrame([(i, u) for i, (u, _) in enumerate(rows)], "page_id long, url string")
+    labels = spark.createDataFrame([(i, 1, b) for i, (_, b) in enumerate(rows)], "doc_id long, quality int, toxic int")
+    mined = rows_of(url_filters.learn(pages, labels, 0.02, 5, 0.9))
+    own = plain_tokens(copies[0][0]) - {"h:test"}
+    assert {tuple(m["antecedent"]) for m in mined} == {(t,) for t in own} | {("p:p", "p:q")} and len(mined) == len(own) + 1
+    assert all(m["confidence"] == 1 for m in mined)
+
+
 def test_query_answers_every_page(spark):
     got = url_filters.op13_url_filters(spark, DATA)
     assert got.count() == spark.read.parquet(f"{DATA}/pages.parquet").count()

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.ml.fpm import FPGrowth
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from tracewright.llm.common import cut, lower_ascii, small, table
 
@@ -13,10 +13,6 @@ RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "exa
 BLOCK = "=block"
 #: A rule must hold in this share of the labelled pages, and in SUPPORT_ROWS of them; CONFIDENCE of those that have its tokens must be bad.
 SUPPORT, SUPPORT_ROWS, CONFIDENCE = 0.005, 20, 0.6
-#: Tokens of a labelled page that take part in mining: those that tell the most about the label. It bounds the sets of
-#: frequent tokens (2^12 a page), since a page of very many tokens with very many copies would else have too many. It
-#: bounds learning only: every page is judged by all its tokens.
-ITEMS = 12
 
 
 def parts(url: Column) -> tuple[Column, Column, Column]:
@@ -47,11 +43,31 @@ def tokens(url: Column) -> Column:
     return F.array_distinct(F.concat(named("h:", host, r"\."), named("p:", lower_ascii(path), r"[/._-]+"), named("q:", lower_ascii(query), "[&;]"), mark))
 
 
+def alike(seen: DataFrame) -> DataFrame:
+    """(token, name) of frequent tokens (token, n, m, a, b): tokens of the same labelled pages share a name, the first of them.
+
+    a and b are 64-bit sums over a token's pages, so equal counts and sums tell equal sets of pages. A page of many tokens
+    with many copies then counts as few items in mining, where it had 2^tokens sets.
+    """
+    return seen.withColumn("name", F.min("token").over(Window.partitionBy("n", "m", "a", "b"))).select("token", "name")
+
+
+def spelled(found: DataFrame, named: DataFrame) -> DataFrame:
+    """found, rules of names, with a row for every choice of one token of each name."""
+    members = named.groupBy("name").agg(F.collect_list("token").alias("tokens"))  # at most tokens a page / support rows in all
+    own = found.withColumn("rule", F.array_join("antecedent", " ")).select("rule", "confidence", "support", F.explode("antecedent").alias("name")).join(small(members, F.lit(64)), "name")
+    sets = own.groupBy("rule", "confidence", "support").agg(F.collect_list("tokens").alias("sets"))
+    none = F.array(F.array().cast("array<string>"))
+    choices = F.aggregate("sets", none, lambda done, more: F.flatten(F.transform(done, lambda d: F.transform(more, lambda t: F.concat(d, F.array(t))))))
+    return sets.select(F.explode(choices).alias("antecedent"), "confidence", "support").withColumn("antecedent", F.array_sort("antecedent"))
+
+
 def learn(pages: DataFrame, labels: DataFrame, support: float = SUPPORT, support_rows: int = SUPPORT_ROWS, confidence: float = CONFIDENCE) -> DataFrame:
     """(antecedent, confidence, support): sets of tokens whose pages are mostly bad, mined by Spark's FP-growth.
 
     labels: doc_id, quality, toxic; a page of that id is bad if any of its labels is toxic or of quality 0. Equal pages
-    count once. A rule goes if one with a token less is as confident. Few or no labelled pages give no rules.
+    count once. A rule goes if one with a token less is as confident. Few or no labelled pages give no rules. All frequent
+    tokens of all labelled pages take part.
     """
     spark = pages.sparkSession
     bad = F.coalesce(F.col("toxic") == 1, F.lit(False)) | F.coalesce(F.col("quality") == 0, F.lit(False))
@@ -63,11 +79,12 @@ def learn(pages: DataFrame, labels: DataFrame, support: float = SUPPORT, support
     if not n_bad or least > 1:
         return spark.createDataFrame([], "antecedent array<string>, confidence double, support double")
     each = own.select("page_id", "url", "bad", F.explode("tokens").alias("token"))
-    base = n_bad / n
-    seen = each.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.count_if("bad").alias("m")).where(F.col("n") >= least * n)
-    seen = seen.select("token", (-F.abs(F.col("m") - F.col("n") * base) / F.sqrt(F.col("n"))).alias("order"))  # at most tokens a page / support rows
-    told = each.join(small(seen, 64), "token").groupBy("page_id", "url", "bad").agg(F.slice(F.sort_array(F.collect_list(F.struct("order", "token"))), 1, ITEMS).alias("t"))
-    sets = told.select(F.concat(F.col("t.token"), F.when(F.col("bad"), F.array(F.lit(BLOCK))).otherwise(F.array().cast("array<string>"))).alias("items"))
+    # A rule's tokens stand in enough bad pages, so others can be in none.
+    marks = F.bit_xor(F.xxhash64("page_id", "url")).alias("a"), F.bit_xor(F.xxhash64("url", "page_id", F.lit(1))).alias("b")
+    seen = each.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.count_if("bad").alias("m"), *marks).where(F.col("m") >= least * n)
+    named = cut(alike(seen), "url-tokens")  # at most tokens a page / support rows
+    told = each.join(small(named, F.length("token") + F.length("name") + 32), "token").groupBy("page_id", "url", "bad").agg(F.collect_set("name").alias("t"))
+    sets = told.select(F.concat(F.col("t"), F.when(F.col("bad"), F.array(F.lit(BLOCK))).otherwise(F.array().cast("array<string>"))).alias("items"))
     # Labelled pages without a frequent token still count as pages.
     short = n - told.count()
     if short:
@@ -77,7 +94,7 @@ def learn(pages: DataFrame, labels: DataFrame, support: float = SUPPORT, support
     found = cut(found, "url-rules")
     less = found.select("antecedent", "confidence", F.explode("antecedent").alias("token")).select(F.col("antecedent").alias("of"), "confidence", F.array_except("antecedent", F.array("token")).alias("antecedent"))
     shorter = less.join(found.select("antecedent", F.col("confidence").alias("as_good")), "antecedent").where("as_good >= confidence").select(F.col("of").alias("antecedent")).distinct()
-    return found.join(shorter, "antecedent", "left_anti")
+    return spelled(found.join(shorter, "antecedent", "left_anti"), named)
 
 
 def matched(urls: DataFrame, rules: DataFrame) -> DataFrame:
