@@ -55,6 +55,19 @@ def test_frames_are_sorted_once(spark):
     assert plan.count("Exchange hashpartitioning") == 1 and plan.count("Sort [") == 1 and "SortAggregate" not in plan
 
 
+def test_medians_of_all_models_are_percentiles(spark):
+    r = random.Random(6)
+    counts = {}
+    for _ in range(2000):
+        k = (f"c{r.randrange(5)}", f"i{r.randrange(3)}", int(r.expovariate(1 / 10 ** r.randrange(1, 9))))
+        counts[k] = counts.get(k, 0) + r.randrange(1, 4)
+    counts |= {("c0", "z", 0): 1, ("c1", "z", 2**50): 1, ("c0", "y", 7): 5}
+    values = spark.createDataFrame([(*k, n) for k, n in counts.items()], "unit string, id string, value long, n long")
+    train = spark.createDataFrame([(f"m{i}", f"c{j}") for i in range(5) for j in range(5) if i != j], "model string, unit string")
+    want = train.join(values, "unit").groupBy("model", "id").agg(F.percentile("value", 0.5, F.col("n")).alias("median"))
+    assert same(ranks.medians(values, train, "unit", "id"), want) and ranks.medians(values.limit(0), train, "unit", "id").count() == 0
+
+
 def test_rank_merge_counts_what_is_below(spark):
     r = random.Random(4)
     refs = [(g, float(r.choice([0, 0, 1, 1.5, r.random() * 9]))) for g in "ab" for _ in range(400)]

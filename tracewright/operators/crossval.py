@@ -58,8 +58,9 @@ def fit(table: DataFrame, folds: Folds, us: int) -> Models:
     total = train.join(windows, "capture_id").groupBy("model").agg(F.sum("windows").alias("windows"))
     frames = sums.per_id(own).groupBy("capture_id", "can_id").agg(F.sum("n").alias("frames"))
     rate = train.join(frames, "capture_id").groupBy("model", "can_id").agg(F.sum("frames").alias("frames"))
-    gaps = sums.gaps(own).groupBy("capture_id", "can_id", "gap_us").agg(F.sum("n").alias("n"))
-    median = train.join(gaps, "capture_id").groupBy("model", "can_id").agg(F.percentile("gap_us", 0.5, F.col("n")).alias("gap"))
+    # There may be as many gaps as frames, so they don't meet the models; their medians are found by counts.
+    gaps = written(sums.gaps(own).groupBy("capture_id", "can_id", F.col("gap_us").alias("value")).agg(F.sum("n").alias("n")), "fold-gaps")
+    median = ranks.medians(gaps, train, "capture_id", "can_id").withColumnRenamed("median", "gap")
     known = rate.join(median, ["model", "can_id"], "left").join(total, "model")
     ids = known.select("model", "can_id", (F.col("frames") / (F.col("windows") * (us / 1e6))).alias("rate"), F.greatest(F.col("gap") / 1e6, F.when(F.col("gap").isNotNull(), F.lit(1e-6))).alias("median_gap"))
 

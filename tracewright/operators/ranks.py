@@ -1,4 +1,4 @@
-"""How many reference values lie below each value, by one range-partitioned merge of both."""
+"""How many reference values lie below each value, by one range-partitioned merge of both; medians of many sets at once."""
 
 from __future__ import annotations
 
@@ -7,6 +7,10 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from tracewright.operators.store import small, written
 
 
+#: Leading binary digits by which each round of medians() tells values apart; the last round tells them all.
+ROUNDS = (7, 14, 22, 63)
+
+
 def counted(reference: DataFrame, by: list[str]) -> DataFrame:
     """(by, value, m): reference values, each distinct one once, with how often it occurs."""
     return reference.groupBy(*by, "value").agg(F.count(F.lit(1)).alias("m"))
@@ -51,3 +55,33 @@ def scores(rows: DataFrame, reference: DataFrame, names: tuple[str, ...], by: li
     score = unusualness(F.col("value"), F.col("below"), F.col("n"), F.col("most"))
     each = long.join(at, [*by, "check", "value"]).groupBy(*key).agg(*[F.max(F.when(F.col("check") == c, score)).alias(f"{c}_score") for c in names])
     return rows.join(each, key)
+
+
+def leading(value: Column, digits: int) -> Column:
+    """value (whole, 0 or more) with the binary digits behind its first ones set to 0; it never falls as value grows."""
+    rest = F.greatest(F.length(F.bin(value)) - digits, F.lit(0))
+    return F.call_function("shiftleft", F.call_function("shiftright", value, rest), rest)
+
+
+def medians(values: DataFrame, train: DataFrame, unit: str, key: str) -> DataFrame:
+    """(model, key, median) of values (unit, key, value, n): of all units that train (model, unit) names for a model, the mean
+    of the two middle values, as percentile() gives it.
+
+    The middle ranks of all models close in together. A round counts each unit's values by some more of their leading
+    digits, only where a rank still lies, and only these counts meet the models; values don't. values are read in each
+    round, so they should be a table.
+    """
+    n = train.join(values.groupBy(unit, key).agg(F.sum("n").alias("n")), unit).groupBy("model", key).agg(F.sum("n").alias("n"))
+    ranks = F.array_distinct(F.array(F.expr("(n - 1) div 2"), F.expr("n div 2")))
+    want = n.select("model", key, F.explode(ranks).alias("rank")).select("*", F.col("rank").alias("rest"), F.lit(0).cast("long").alias("at"))
+    known, one, before = small(train, 128), ["model", key, "rank", "rest"], 0
+    for digits in ROUNDS:
+        want = written(want, "middle-ranks")
+        open_ = small(want.select(key, "at").distinct(), 64)
+        inside = values.withColumn("at", leading(F.col("value"), before)).join(open_, [key, "at"])
+        counts = inside.groupBy(unit, key, "at", leading(F.col("value"), digits).alias("next")).agg(F.sum("n").alias("n"))
+        met = want.join(known, "model").join(counts, [unit, key, "at"]).groupBy(*one, "next").agg(F.sum("n").alias("n"))
+        ahead = F.sum("n").over(Window.partitionBy(*one).orderBy("next")) - F.col("n")
+        hit = met.withColumn("ahead", ahead).where("ahead <= rest and rest < ahead + n")
+        want, before = hit.select("model", key, "rank", (F.col("rest") - F.col("ahead")).alias("rest"), F.col("next").alias("at")), digits
+    return want.groupBy("model", key).agg((0.5 * F.min("at") + 0.5 * F.max("at")).alias("median"))
