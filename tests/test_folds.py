@@ -9,8 +9,10 @@ import pytest
 from pyspark.sql import Window, functions as F
 
 from test_operators import S, normal
+from testdata_folder import DATA
 from tracewright.operators import calibrate, clean, crossval, evaluate, features, ml, model, ranks, sums, windows
 from tracewright.operators.store import written
+from tracewright.plans import queries
 
 FRAMES = "capture_id string, line_no long, t_us long, can_id string, payload string"
 
@@ -244,3 +246,10 @@ def test_quota_stops_reading(spark):
         windows.real(f, S, [])
     with pytest.raises(ValueError, match="no window"):
         windows.real(f, S, ["cap99"])
+
+
+def test_attack_folds_do_not_read_all_frames_for_their_captures(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(crossval, "attack_cv", lambda table, captures, *rest: seen.append(captures) or captures)
+    queries._attack_rows(queries.Tables(spark, DATA))
+    assert seen[0].count() > 0 and not [f for f in seen[0].inputFiles() if "events" in f]

@@ -563,7 +563,8 @@ def a21_false_alarms(t):
 
 def _attack_rows(t: Tables) -> DataFrame:
     """Folds whose recordings have targets of their own, so that each fold's second stage watches another id."""
-    captures = t.captures.withColumn("target", F.when(F.col("fold") == 1, "0E0").otherwise("0B0"))
+    # The captures come from all frames and are read in every step, so they are found once.
+    captures = written(t.captures, "captures").withColumn("target", F.when(F.col("fold") == 1, "0E0").otherwise("0B0"))
     marked = labels.window_labels(t.frames, captures, US)
     own = captures.withColumn("kind", F.when(F.substring("capture_id", 4, 2) < "10", "fabrication").otherwise("masquerade"))
     return crossval.attack_cv(t.sums, own, marked, US, 0.05)
