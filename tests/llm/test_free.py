@@ -159,6 +159,15 @@ def test_token_files(spark, both, nothing):
     assert token_files.read(spark, empty).count() == 0
 
 
+def test_checksums_of_token_files_leave_the_ids_in_one_worker(spark, odd):
+    path = shared_dir(spark, "test")
+    token_files.write(odd, path, BYTE_BPE)
+    found = token_files.checksums(spark, path)
+    want = [(r["file"], r["segment"], r["place"], r["doc_id"], r["n_tokens"], zlib.crc32(r["ids"])) for r in rows_of(token_files.read(spark, path))]
+    assert sorted(map(str, map(tuple, rows_of(found)))) == sorted(map(str, want)) and len(want) == odd.count()
+    assert found._jdf.queryExecution().toString().split("Physical Plan")[1].count("MapInArrow") == 1
+
+
 WORDS = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -103,7 +103,9 @@ def write(docs: DataFrame, path: str, tokenizer: str, spaced: bool = True, end_i
     )
 
 
-def _decoder(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _decoder(last: str, of: Callable[[np.ndarray], bytes | int], kind: pa.DataType):
+    """Segments to (file, segment, place, doc_id, n_tokens, last), where last is of() of the document's ids."""
+
     def flush(rows: list) -> pa.RecordBatch:
         parts = [unpack_segment(r["record"]) for r in rows]
         heads = np.concatenate([h for _, h, _ in parts])
@@ -117,28 +119,36 @@ def _decoder(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             whole = np.concatenate(ids[at : at + len(own)])
             at += len(own)
             for k, (doc, part) in enumerate(zip(r["doc_ids"], np.split(whole, np.cumsum(sizes.astype(np.int64))[:-1]))):
-                for c, v in zip(out, (r["file"], r["segment"], k, doc, len(part), part.tobytes())):
+                for c, v in zip(out, (r["file"], r["segment"], k, doc, len(part), of(part))):
                     c.append(v)
-        kinds = (pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds)], ["file", "segment", "place", "doc_id", "n_tokens", "ids"])
-
-    rows, blocks = [], 0
-    for batch in batches:
-        for i in range(batch.num_rows):
-            row = {c: batch.column(k)[i].as_py() for k, c in enumerate(batch.schema.names)}
-            rows.append(row)
-            blocks += len(unpack_segment(row["record"])[1])
-            if blocks >= LANES:
-                yield flush(rows)
-                rows, blocks = [], 0
-    if rows:
-        yield flush(rows)
+        kinds = (pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), kind)
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds)], ["file", "segment", "place", "doc_id", "n_tokens", last])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, blocks = [], 0
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = {c: batch.column(k)[i].as_py() for k, c in enumerate(batch.schema.names)}
+                rows.append(row)
+                blocks += len(unpack_segment(row["record"])[1])
+                if blocks >= LANES:
+                    yield flush(rows)
+                    rows, blocks = [], 0
+        if rows:
+            yield flush(rows)
+
+    return run
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
     """The documents of a table that write() made: file, segment, place, doc_id, n_tokens and ids (bytes,
     little-endian unsigned 32-bit). A block whose ids do not match its checksum raises an error."""
-    return spark.read.schema(FILE).parquet(path).mapInArrow(_decoder, "file int, segment long, place int, doc_id long, n_tokens long, ids binary")
+    return spark.read.schema(FILE).parquet(path).mapInArrow(_decoder("ids", np.ndarray.tobytes, pa.binary()), "file int, segment long, place int, doc_id long, n_tokens long, ids binary")
+
+
+def checksums(spark: SparkSession, path: str) -> DataFrame:
+    """read() with ids_crc32, the crc32 of a document's ids as read, in place of the ids, which stay in the worker that decodes them."""
+    return spark.read.schema(FILE).parquet(path).mapInArrow(_decoder("ids_crc32", zlib.crc32, pa.int64()), "file int, segment long, place int, doc_id long, n_tokens long, ids_crc32 long")
 
 
 def starts(docs: DataFrame) -> DataFrame:
@@ -155,17 +165,11 @@ def starts(docs: DataFrame) -> DataFrame:
     return docs.withColumn("_inside", inside).join(within, ["file", "segment"]).join(whole, "file").withColumn("start", F.col("_before") + F.col("_ahead") + F.col("_inside")).drop("_before", "_ahead", "_inside")
 
 
-def _crc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        ids = b.schema.get_field_index("ids")
-        yield b.set_column(ids, "ids_crc32", pa.array([zlib.crc32(x.as_buffer()) for x in b.column(ids)], pa.int64()))
-
-
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path = shared_dir(spark, "token-files")
     write(table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"))
     # The ids of a document are checked and let go before its start is computed.
-    docs = cut(read(spark, path).mapInArrow(_crc, "file int, segment long, place int, doc_id long, n_tokens long, ids_crc32 long"), "token-index")
+    docs = cut(checksums(spark, path), "token-index")
     return starts(docs).select("doc_id", "start", "n_tokens", "ids_crc32")
