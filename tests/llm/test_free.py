@@ -17,7 +17,7 @@ from tokenizers import Tokenizer
 
 from tests_support import DATA, rows_of
 from tracewright.llm import fingerprints, id_coder, language_id, language_model, near_duplicates, packing, token_files
-from tracewright.llm.common import mounted, shared_dir
+from tracewright.llm.common import Scratch, mounted, shared_dir
 from tracewright.llm.hashing import word_hashes
 from tracewright.llm.tokens import Ids
 
@@ -370,3 +370,42 @@ def test_sketches_estimate_and_merge():
     assert abs(fingerprints.distinct(x) / 3996 - 1) < 0.3
     assert (fingerprints.merge(fingerprints.sketch(" ".join(w[:3000])), fingerprints.sketch(" ".join(w[2996:]))) == fingerprints.sketch(" ".join(w))).all()
     assert (fingerprints.from_text(fingerprints.to_text(x)) == x).all()
+
+
+def test_components_take_one_execution_a_table(spark):
+    r = random.Random(8)
+    links = [(r.randrange(60), r.randrange(60)) for _ in range(35)] + [(i, i + 1) for i in range(100, 130)] + [(200, x) for x in range(201, 220)]
+    root = {x: x for pair in links for x in pair if pair[0] != pair[1]}
+    for _ in range(len(links)):
+        for a, b in links:
+            if a != b:
+                root[a] = root[b] = min(root[a], root[b])
+
+    class Counted(Scratch):
+        cuts = 0
+
+        def cut(self, df, kind):
+            self.cuts += 1
+            return super().cut(df, kind)
+
+    def executions():
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        return spark._jsparkSession.sharedState().statusStore().executionsCount()
+
+    key = lambda x: x.to_bytes(2, "big")
+    made = spark.createDataFrame([(key(a), key(b)) for a, b in links], "a binary, b binary")
+    for some, want in ((made, {key(a): key(b) for a, b in root.items()}), (made.limit(0), {})):
+        scratch, before = Counted(spark), executions()
+        got = near_duplicates.components(some, scratch)
+        assert executions() - before == scratch.cuts
+        assert {bytes(x["node"]): bytes(x["root"]) for x in rows_of(got)} == want
+
+
+def test_language_sample_is_held_once(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(language_id, "fit", lambda rows: seen.extend(rows))
+    docs = spark.createDataFrame([(i, f"text {'abc' * i} und {i}", "en" if i % 2 else "de") for i in range(40)], "doc_id long, text string, lang string")
+    language_id.learn(docs)
+    want = [(x["lang"], *language_id.grams(x["text"])) for x in rows_of(docs.where(language_id.remainder() != 0))]
+    plain = lambda rows: sorted((lang, found.tolist(), counts.tolist()) for lang, found, counts in rows)
+    assert plain(seen) == plain(want) and not any(x.flags.owndata for _, *parts in seen for x in parts)

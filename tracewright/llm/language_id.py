@@ -145,6 +145,12 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array([f.astype(np.int32) for f, _ in made], pa.list_(pa.int32())), pa.array([c for _, c in made], pa.list_(pa.float64()))], ["lang", "found", "counts"])
 
 
+def _parts(lists: pa.ListArray) -> list[np.ndarray]:
+    """The lists as views into their common values."""
+    values, ends = lists.values.to_numpy(), lists.offsets.to_numpy()
+    return [values[a:b] for a, b in zip(ends[:-1], ends[1:])]
+
+
 def learn(docs: DataFrame, per_language: int = ROWS_PER_LANGUAGE) -> Model:
     """A model from labelled rows (doc_id, text, lang) whose doc_id is not held out.
 
@@ -161,7 +167,8 @@ def learn(docs: DataFrame, per_language: int = ROWS_PER_LANGUAGE) -> Model:
     chance = F.pmod(F.xxhash64("doc_id", F.lit("language sample")), F.lit(1 << 30)) / float(1 << 30)
     sample = rows.join(small(shares, F.octet_length("lang") + 24), "lang").where(chance < F.col("share"))
     made = sample.select("lang", "text").mapInArrow(_features, "lang string, found array<int>, counts array<double>").toArrow()
-    found = [(x, np.array(f.as_py(), np.int64), np.array(c.as_py())) for x, f, c in zip(made.column(0).to_pylist(), made.column(1), made.column(2))]
+    # Views into the batches, 12 bytes a gram, so the driver holds them once and lets go of them whole.
+    found = [r for b in made.to_batches() for r in zip(b.column(0).to_pylist(), _parts(b.column(1)), _parts(b.column(2)))]
     # The order of arrival depends on the tasks; that of the fit must not.
     return fit(sorted((r for r in found if len(r[1])), key=lambda r: (r[0], len(r[1]), r[1].tobytes(), r[2].tobytes())))
 

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
 from tracewright.llm.common import Scratch, cut, fresh, small, table, with_rows
 from tracewright.llm.hashing import mix, shingle_hashes, word_hashes
@@ -165,10 +165,13 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
         near = both.join(roots.withColumnRenamed("node", "b"), "b").select(F.col("a").alias("node"), "root")
         # What a root's members have seen, told to the root; and the root's own root, told to its members.
         told = near.join(roots.select("node", F.col("root").alias("own")), "node").select(F.col("own").alias("node"), "root").where("node > root")
-        best = near.union(told).union(roots).groupBy("node").agg(F.min("root").alias("root"))
-        up = best.join(roots.select(F.col("node").alias("root"), F.col("root").alias("higher")), "root", "left")
-        new = scratch.cut(up.select("node", F.least("root", F.coalesce("higher", "root")).alias("root")), "roots")
-        changed = new.join(roots.withColumnRenamed("root", "old"), "node").where("root <> old").limit(1).count()
+        # Each node's root so far goes along, so the write itself counts the changes and no second job joins the tables again.
+        best = near.union(told).withColumn("old", F.lit(None).cast(roots.schema["root"].dataType)).union(roots.withColumn("old", F.col("root"))).groupBy("node").agg(F.min("root").alias("root"), F.max("old").alias("old"))
+        up = best.join(roots.select(F.col("node").alias("root"), F.col("root").alias("higher")), "root", "left").select("node", F.least("root", F.coalesce("higher", "root")).alias("root"), "old")
+        seen = Observation()
+        new = scratch.cut(up.observe(seen, F.count_if(F.col("root") != F.col("old")).alias("changed")).select("node", "root"), "roots")
+        # Without any row there may be no count either.
+        changed = seen.get.get("changed")
         scratch.drop(roots)
         roots = new
         if not changed:
