@@ -236,6 +236,51 @@ def test_near_duplicates(spark, both, nothing):
     assert near_duplicates.classes(nothing).count() == 0 and near_duplicates.keep_first(nothing).count() == 0
 
 
+def test_large_buckets_of_texts_that_are_not_alike_are_not_compared_pair_by_pair(spark, monkeypatch):
+    """Copies of one text with so many words changed that few are alike: what is compared exactly stays in proportion to them."""
+    r = random.Random(11)
+    word = lambda: f"w{r.randrange(10**9)}"
+    base, texts = [word() for _ in range(60)], []
+    for _ in range(400):
+        own = list(base)
+        for i in r.sample(range(60), r.randint(4, 8)):
+            own[i] = word()
+        texts.append(own)
+    texts += [[*t[:-1], word()] for t in texts[::40]]
+    asked, compare = [], near_duplicates.with_pivots
+    monkeypatch.setattr(near_duplicates, "PAIRED", 4)
+    monkeypatch.setattr(near_duplicates, "with_pivots", lambda some, sets: asked.append(some.count()) or compare(some, sets))
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    got = rows_of(near_duplicates.classes(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert Counter((x["doc_id"], x["class_id"]) for x in got) == brute_classes(rows)
+    # The first is each text with its hub, the second what the signatures' buckets ask for.
+    assert sum(asked[2:]) <= len(texts), asked
+
+
+def test_rarest_hashes_bring_all_alike_pairs_together(spark):
+    r = np.random.default_rng(5)
+    base = r.integers(0, 1 << 62, (3, 60))
+    sets = [np.unique(np.concatenate([r.choice(base[i % 3], r.integers(40, 60), False), r.integers(0, 1 << 62, r.integers(0, 14)), r.choice(base[0], 3)])) for i in range(90)]
+    key = lambda i: b"%03d" % i
+    nodes = spark.createDataFrame([(key(i), key(i - i % 2)) for i in range(90)], "node binary, root binary")
+    own = spark.createDataFrame([(key(i), s.astype(np.uint64).tobytes()) for i, s in enumerate(sets)], "node binary, shingles binary")
+    scratch = Scratch(spark)
+    met = {}
+    for x in rows_of(near_duplicates.rarest(nodes, own, scratch)):
+        met.setdefault(int(bytes(x["node"])), {})[x["band"]] = x["place"]
+    scratch.drop()
+    alike = 0
+    for i in range(90):
+        for j in range(i):
+            both = len(np.intersect1d(sets[i], sets[j]))
+            if i // 2 != j // 2 and both >= 0.8 * (len(sets[i]) + len(sets[j]) - both):
+                alike += 1
+                some = met[i].keys() & met[j].keys()
+                # At the first they share, what is left of both is no less than what they share.
+                assert max(min(len(sets[i]) - met[i][b], len(sets[j]) - met[j][b]) for b in some) >= both
+    assert alike > 10
+
+
 def test_keep_first_tells_classes_with_the_same_or_no_doc_id_apart(spark):
     texts = [(None, "apples and pears in a bowl"), (None, "apples and pears in a bowl"), (None, "seven ships on a grey sea"), (None, None), (7, "   "), (7, "another text of the same id"), (7, "quite a different one under it"), (9, "Another text, of the same id!")]
     kept = rows_of(near_duplicates.keep_first(spark.createDataFrame(texts, "doc_id long, text string")))

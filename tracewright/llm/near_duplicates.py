@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
+from pyspark.sql import DataFrame, Observation, SparkSession, Window, functions as F
 
 from tracewright.llm.common import Scratch, cut, fresh, small, table, with_rows
 from tracewright.llm.hashing import mix, shingle_hashes, word_hashes
@@ -184,12 +184,37 @@ def text_key(text: str = "text") -> F.Column:
     return F.unhex(F.md5(F.coalesce(F.col(text), F.lit(""))))
 
 
+def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, root, shingles) with the hashes as an array."""
+    for b in batches:
+        own = [np.frombuffer(x.as_buffer(), np.int64) for x in b.column(2)]
+        offsets = np.concatenate([[0], np.cumsum([len(x) for x in own])]).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.empty(0, np.int64), *own])))], ["node", "root", "hashes"])
+
+
+def rarest(nodes: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
+    """(band, node, place): the buckets in which every alike pair of nodes (node, root) of different roots meets; a band is a hash.
+
+    All hashes have one order: first those that a single root's nodes have, then by how many of the nodes have them. If
+    a and b are alike, they share 0.8 |a| hashes or more, so the first they share is among the first 0.2 |a| + 1 of a, and
+    so of b. place is the number of a node's hashes before the band: two nodes that share none before share no more
+    than what either has from there on.
+    """
+    own = scratch.cut(nodes.join(sets, "node").select("node", "root", "shingles").mapInArrow(_listed, "node binary, root binary, hashes array<long>"), "hashes")
+    each = own.select("node", "root", F.size("hashes").alias("n"), F.explode("hashes").alias("band"))
+    common = each.groupBy("band").agg(F.count(F.lit(1)).alias("df"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("band", "df")
+    mine = Window.partitionBy("node")
+    place = F.col("n") - F.count(F.lit(1)).over(mine) + F.row_number().over(mine.orderBy("df", "band")) - 1
+    ranked = each.join(common, "band").select("band", "node", "n", place.cast("int").alias("place"))
+    return ranked.where(F.col("place") <= F.col("n") - F.ceil(SIMILARITY * F.col("n") - _NEAR_ZERO)).select("band", "node", "place")
+
+
 def _split_by(compared: DataFrame) -> DataFrame:
-    """(band, node, via, bare, inside): the smaller buckets that the members of a bucket fall into once they are compared with its pivot.
+    """(band, node, via, bare, inside, place): the smaller buckets that the members of a bucket fall into once they are compared with its pivot.
 
     Let U be all hashes of the pivots in via, e(x) what x has besides U, and a and b alike. If they share a hash that U
     lacks, then at least 0.8 |a| - |U & a| of them, so among the least 0.2 |a| + 1 of e(a) and those of e(b) there is a
-    common one, as in any prefix-filtered join: a key for each of these.
+    common one, as in any prefix-filtered join: a key for each of these. place is how many of e(x) are less.
 
     If they share hashes of U only, then |a & b| <= |U & b| and |a | b| >= |U & a| + e(a) + e(b), and the same the other
     way round, so short(b) <= net(a) and short(a) <= net(b), where short(x) = 0.8 (|U| + e(x)) - |U & x| and net(x) =
@@ -201,11 +226,11 @@ def _split_by(compared: DataFrame) -> DataFrame:
         "node", "via", "alike", "extras", "inside", F.floor(F.log("size") / math.log(1 / SIMILARITY)).alias("level"),
         (SIMILARITY * (F.col("size_u") + extra) - F.col("inside")).alias("short"), (SIMILARITY * (F.col("size_u") - F.col("inside") - extra)).alias("net"),
     )
-    shared = known.select("via", "node", "inside", F.explode("extras").alias("s")).select(F.xxhash64("via", "s").alias("band"), "node", "via", F.lit(False).alias("bare"), "inside")
+    shared = known.select("via", "node", "inside", F.posexplode("extras").alias("place", "s")).select(F.xxhash64("via", "s").alias("band"), "node", "via", F.lit(False).alias("bare"), "inside", "place")
     levels = known.drop("extras").withColumn("level", F.explode(F.array("level", F.col("level") + 1)))
     reach = levels.groupBy("via", "level").agg(F.max("net").alias("most"), F.min(F.when(~F.col("alike"), F.col("short"))).alias("least")).where(f"least <= most + {_NEAR_ZERO}")
     bare = levels.join(reach, ["via", "level"]).where(f"(not alike and short <= most + {_NEAR_ZERO}) or net >= least - {_NEAR_ZERO}")
-    return shared.union(bare.select(F.xxhash64("via", F.lit("bare"), "level").alias("band"), "node", "via", F.lit(True), "inside"))
+    return shared.union(bare.select(F.xxhash64("via", F.lit("bare"), "level").alias("band"), "node", "via", F.lit(True), "inside", F.lit(0)))
 
 
 def classes(docs: DataFrame) -> DataFrame:
@@ -223,8 +248,8 @@ def classes(docs: DataFrame) -> DataFrame:
     member of its buckets that meets most others: n comparisons join most of what is alike. A bucket whose members
     are all of one class by then is done. In one of up to PAIRED members those of different classes are compared with
     each other, unless their sizes and what is known of them rule a link out; in a larger one all are compared with a
-    pivot, and what is left apart falls into smaller buckets (_split_by), with which the same is done again, with a
-    PAIRED four times as large, as far fewer are left each time. So a bucket of n costs a number of comparisons in
+    pivot. Those left apart then meet by their rarest hashes (rarest), and where many still share one, a pivot splits them
+    into smaller buckets (_split_by), with which the same is done again, with a PAIRED four times as large. So a bucket of n costs a number of comparisons in
     proportion to n a round, and no link between candidates is lost.
     """
     spark = docs.sparkSession
@@ -253,18 +278,21 @@ def classes(docs: DataFrame) -> DataFrame:
     hubs = scratch.cut(of_pivots(met.select("band", "node")).groupBy("node").agg(F.max("p").alias("p")).select("node", F.array("p.node").alias("via")), "hubs")
     links = scratch.cut(with_pivots(hubs, sets).where("alike").select(F.col("node").alias("a"), F.element_at("via", -1).alias("b")), "hub-links")
     roots = components(links, scratch)
-    left = scratch.cut(apart(met.select("band", "node", F.array().cast("array<binary>").alias("via"), F.lit(False).alias("bare"), F.lit(0).alias("inside")), roots), "left")
+    left = scratch.cut(apart(met.select("band", "node", F.array().cast("array<binary>").alias("via"), F.lit(False).alias("bare"), F.lit(0).alias("inside"), F.lit(0).alias("place")), roots), "left")
     scratch.drop(hubs, links, met)
-    paired = PAIRED
+    turn = 0
     while left.limit(1).count():
-        few = left.where(F.col("m") <= paired).join(nodes, "node").select("band", "node", "root", "n", "bare", "inside")
-        other = few.select("band", *[F.col(c).alias(f"{c}_b") for c in ("node", "root", "n", "inside")])
-        near = F.least("n", "n_b") >= SIMILARITY * F.greatest("n", "n_b") - _NEAR_ZERO
+        # Far fewer are left each time, and more is known of each.
+        paired = PAIRED * 4 ** max(0, turn - 1)
+        few = left.where(F.col("m") <= paired).join(nodes, "node").select("band", "node", "root", "n", "bare", "inside", "place")
+        other = few.select("band", *[F.col(c).alias(f"{c}_b") for c in ("node", "root", "n", "inside", "place")])
+        # Similarity 0.8 takes 0.8 / 1.8 of both sizes in common.
+        shared = F.least("inside", "inside_b") + F.least(F.col("n") - F.col("inside") - F.col("place"), F.col("n_b") - F.col("inside_b") - F.col("place_b"))
+        near = shared >= SIMILARITY / (1 + SIMILARITY) * (F.col("n") + F.col("n_b")) - _NEAR_ZERO
         least = F.greatest("inside", "inside_b") + F.col("n") - F.col("inside") + F.col("n_b") - F.col("inside_b")
         near &= ~F.col("bare") | (F.least("inside", "inside_b") >= SIMILARITY * least - _NEAR_ZERO)
         pairs = few.join(other, "band").where((F.col("node") < F.col("node_b")) & (F.col("root") != F.col("root_b")) & near).select("node", F.array("node_b").alias("via"))
         placed = scratch.cut(of_pivots(left.where(F.col("m") > paired).select("band", "node", "via")).select("band", "node", F.concat("via", F.array("p.node")).alias("via")), "placed")
-        paired *= 4
         asked = scratch.cut(pairs.union(placed.select("node", "via")).distinct(), "asked")
         compared = scratch.cut(with_pivots(asked, sets), "compared")
         alike = compared.where("alike").select(F.col("node").alias("a"), F.element_at("via", -1).alias("b"))
@@ -274,8 +302,13 @@ def classes(docs: DataFrame) -> DataFrame:
         joined = roots.join(higher.select(F.col("node").alias("root"), F.col("root").alias("higher")), "root", "left").select("node", F.coalesce("higher", "root").alias("root"))
         joined = joined.union(higher.join(roots, "node", "left_anti"))
         old, roots = roots, scratch.cut(joined, "roots")
-        open_ = apart(placed, roots).select("node", "via").distinct()
-        rest = scratch.cut(_split_by(compared.join(open_, ["node", "via"])).distinct(), "split")
+        still = apart(placed, roots)
+        if not turn:
+            rest = rarest(still.select("node", "root").distinct(), sets, scratch).select("band", "node", F.array().cast("array<binary>").alias("via"), F.lit(False).alias("bare"), F.lit(0).alias("inside"), "place")
+        else:
+            rest = _split_by(compared.join(still.select("node", "via").distinct(), ["node", "via"])).distinct()
+        rest = scratch.cut(rest, "split")
+        turn += 1
         scratch.drop(old, higher, left, placed, asked, compared)
         left = scratch.cut(apart(rest, roots), "left")
         scratch.drop(rest)
