@@ -257,6 +257,52 @@ def test_large_buckets_of_texts_that_are_not_alike_are_not_compared_pair_by_pair
     assert sum(asked[2:]) <= len(texts), asked
 
 
+def test_buckets_of_texts_just_below_the_threshold_make_no_table_of_pairs(spark, monkeypatch):
+    """Groups of texts of similarity 0.7 with a few alike ones among them, dealt to several blocks or none, behind a pivot or not."""
+    r = random.Random(12)
+    word = lambda: f"w{r.randrange(10**9)}"
+    texts = []
+    for _ in range(10):
+        base = [word() for _ in range(60)]
+        own = [[*base[:i], word(), *base[i + 1 :]] for i in r.sample(range(6, 54), 14)]
+        texts += own + [[*t[:-1], word()] for t in own[:2]]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    asked, compare = [], near_duplicates.with_pivots
+    monkeypatch.setattr(near_duplicates, "with_pivots", lambda some, sets: asked.append(some.count()) or compare(some, sets))
+    docs, want = spark.createDataFrame(rows, "doc_id long, text string"), brute_classes(rows)
+    for paired, hashes in ((near_duplicates.PAIRED, near_duplicates.BLOCK_HASHES), (near_duplicates.PAIRED, 200), (8, 200)):
+        monkeypatch.setattr(near_duplicates, "PAIRED", paired)
+        monkeypatch.setattr(near_duplicates, "BLOCK_HASHES", hashes)
+        asked.clear()
+        assert Counter((x["doc_id"], x["class_id"]) for x in rows_of(near_duplicates.classes(docs))) == want
+        if paired > 16:
+            # Each text with its hub.
+            assert sum(asked) <= len(texts), asked
+
+
+def test_linked_roots_join_what_alike_sets_lead_to():
+    r = np.random.default_rng(8)
+    base = np.unique(r.integers(0, 1 << 62, 50).astype(np.uint64))
+    sets = [np.unique(np.concatenate([r.choice(base, r.integers(40, 51), False), r.integers(0, 1 << 62, r.integers(0, 6)).astype(np.uint64)])) for _ in range(80)]
+    roots = [b"%02d" % (i - i % 3) for i in range(80)]
+
+    def top(links):
+        of = {x: x for x in roots}
+        for a, b in links:
+            of = {x: of[b] if y == of[a] else y for x, y in of.items()} if of[a] != of[b] else of
+        return sorted(sorted(x for x in of if of[x] == y) for y in {*of.values()})
+
+    for first in (0, 30):
+        alike = []
+        for i in range(first or 80):
+            for j in range(max(first, i + 1), 80):
+                both = len(np.intersect1d(sets[i], sets[j]))
+                if both >= 0.8 * (len(sets[i]) + len(sets[j]) - both):
+                    alike.append((roots[i], roots[j]))
+        found = list(near_duplicates.linked_roots(roots, sets, first))
+        assert top(found) == top(alike) and len(found) < len({*roots}) < len(alike)
+
+
 def test_rarest_hashes_bring_all_alike_pairs_together(spark):
     r = np.random.default_rng(5)
     base = r.integers(0, 1 << 62, (3, 60))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,8 +19,10 @@ BANDS, ROWS = 32, 6
 REGISTERS = BANDS * ROWS
 #: Members of a bucket that are compared with its pivot in one run of rows; the pivot's set is sent once for each run.
 RUN = 256
-#: Members of a bucket that are compared with each other at first; in a larger one they are compared with one of them.
-PAIRED = 16
+#: Members of a bucket that are compared with each other at once; in a larger one they are compared with one of them before.
+PAIRED = 256
+#: Hashes of the sets in a block, about; members of a bucket are dealt to blocks, and two blocks are held in memory at once.
+BLOCK_HASHES = 1 << 18
 _CHUNK = 200_000
 _NEAR_ZERO = 1e-9
 
@@ -110,46 +111,96 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingle_set(t.as_py()).tobytes() for t in b.column(1)], pa.binary())], ["node", "shingles"])
 
 
-COMPARED = "node binary, via array<binary>, alike boolean, size int, size_u int, inside int, extras array<long>"
-
-
 def _with_pivots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (via, run, place, node, shingles), for each via and run first those of via's own sets, whose node is null, to COMPARED.
-
-    alike: with the last of via. inside: how many of the size_u hashes that any of via has the node has too. extras: the
-    least of the hashes that it has and none of via does, as many as a pair needs that is alike and shares any.
-    """
-    pivot = seen = np.empty(0, np.uint64)
+    """Rows (pivot, run, node, shingles), for each pivot and run first the pivot's own, whose node is null, to the (a, b) that are alike."""
+    one = np.empty(0, np.uint64)
     for batch in batches:
-        rows: tuple[list, ...] = ([], [], [], [], [], [], [])
-        for via, place, node, own in zip(batch.column(0), batch.column(2).to_pylist(), batch.column(3), batch.column(4)):
+        rows: tuple[list, ...] = ([], [])
+        for pivot, node, own in zip(batch.column(0), batch.column(2), batch.column(3)):
             x = np.frombuffer(own.as_buffer(), np.uint64)
             if not node.is_valid:
-                pivot = x.copy()
-                seen = np.union1d(seen, pivot) if place else pivot
+                one = x.copy()
                 continue
-            both = int((pivot[np.minimum(np.searchsorted(pivot, x), len(pivot) - 1)] == x).sum())
-            known = seen[np.minimum(np.searchsorted(seen, x), len(seen) - 1)] == x
-            alike = both >= SIMILARITY * (len(x) + len(pivot) - both) - _NEAR_ZERO
-            least = len(x) - math.ceil(SIMILARITY * len(x) - _NEAR_ZERO) + 1
-            for c, v in zip(rows, (node.as_py(), via.as_py(), alike, len(x), len(seen), int(known.sum()), x[~known][:least].view(np.int64))):
-                c.append(v)
-        kinds = (pa.binary(), pa.list_(pa.binary()), pa.bool_(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.int64()))
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, kinds)], ["node", "via", "alike", "size", "size_u", "inside", "extras"])
+            both = int((one[np.minimum(np.searchsorted(one, x), len(one) - 1)] == x).sum())
+            if both >= SIMILARITY * (len(x) + len(one) - both) - _NEAR_ZERO:
+                rows[0].append(node.as_py())
+                rows[1].append(pivot.as_py())
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in rows], ["a", "b"])
 
 
 def with_pivots(asked: DataFrame, sets: DataFrame) -> DataFrame:
-    """COMPARED for distinct (node, via) by the exact sets; via: nodes, of which the last is the one to compare with.
+    """(a, b): of distinct (node, pivot) those that are alike by their exact sets.
+
+    The nodes that go with one pivot are dealt to runs of about RUN rows, so that a pivot with very many is spread over
+    tasks; a run's rows are sorted behind the pivot's set and streamed past it.
+    """
+    runs = asked.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / RUN).cast("int").alias("runs"))
+    dealt = asked.join(runs, "pivot").select("pivot", F.pmod(F.xxhash64("node"), F.col("runs")).cast("int").alias("run"), "node")
+    members = dealt.join(sets, "node").select("pivot", "run", "node", "shingles")
+    pivots = runs.withColumnRenamed("pivot", "node").join(sets, "node")
+    pivots = pivots.select(F.col("node").alias("pivot"), F.explode(F.sequence(F.lit(0), F.col("runs") - 1)).alias("run"), F.lit(None).cast("binary").alias("node"), "shingles")
+    return pivots.union(members).repartition("pivot", "run").sortWithinPartitions("pivot", "run", F.col("node").asc_nulls_first()).mapInArrow(_with_pivots, "a binary, b binary")
+
+
+def linked_roots(roots: list[bytes], sets: list[np.ndarray], first: int) -> Iterator[tuple[bytes, bytes]]:
+    """Pairs of roots that lead from each root to all those that alike sets link it with; no more than there are roots.
+
+    first: how many of the sets are the first block's, to be compared with the others only; 0: all with each other.
+    """
+    names, label = np.unique(np.array(roots, object), return_inverse=True)
+    sizes = np.array([len(x) for x in sets])
+    begin = np.concatenate([[0], np.cumsum(sizes)])
+    distinct, place = np.unique(np.concatenate(sets), return_inverse=True)
+    mark = np.zeros(len(distinct), np.int32)
+    at = label.copy()
+    for a in range(first or len(sets) - 1):
+        rest = max(first, a + 1)
+        open_ = (at[rest:] != at[a]) & (np.minimum(sizes[rest:], sizes[a]) >= SIMILARITY * np.maximum(sizes[rest:], sizes[a]) - _NEAR_ZERO)
+        if not open_.any():
+            continue
+        own = place[begin[a] : begin[a + 1]]
+        mark[own] = 1
+        both = np.add.reduceat(mark[place[begin[rest] :]], begin[rest:-1] - begin[rest])
+        mark[own] = 0
+        for b in rest + np.flatnonzero(open_ & (both >= SIMILARITY * (sizes[a] + sizes[rest:] - both) - _NEAR_ZERO)):
+            if at[b] != at[a]:
+                yield names[label[a]], names[label[b]]
+                at[at == at[b]] = at[a]
+
+
+def _within_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (band, i, j, block, root, shingles), sorted by the first four, to (a, b): linked_roots() of each (band, i, j)."""
+
+    def flush(roots: list, sets: list, blocks: list) -> pa.RecordBatch:
+        found = list(linked_roots(roots, sets, blocks.count(blocks[0]) if last[1] != last[2] else 0)) if len({*blocks}) == 1 + (last[1] != last[2]) else []
+        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.binary()) for k in (0, 1)], ["a", "b"])
+
+    last, roots, sets, blocks = (0, 0, 0), [], [], []
+    for batch in batches:
+        for *key, block, root, own in zip(*[batch.column(k).to_pylist() for k in range(6)]):
+            if sets and last != tuple(key):
+                yield flush(roots, sets, blocks)
+                roots, sets, blocks = [], [], []
+            last = tuple(key)
+            roots.append(root)
+            sets.append(np.frombuffer(own, np.uint64))
+            blocks.append(block)
+    if sets:
+        yield flush(roots, sets, blocks)
+
+
+def within_buckets(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b): links of roots, by which all roots of alike members (band, node, root, total) of a band are joined.
 
-    The nodes that go with one via are dealt to runs of about RUN rows, so that a pivot with very many is spread over
-    tasks; a run's rows are sorted behind the sets of via and streamed past them.
+    total: the hashes of all sets of the band. Members are dealt to blocks of about BLOCK_HASHES of them, and each two blocks
+    meet in a group of rows of their own, so a member is sent once for each block of its band, pairs are only counted inside
+    a task, and two blocks are all that a task holds.
     """
-    runs = asked.groupBy("via").agg(F.ceil(F.count(F.lit(1)) / RUN).cast("int").alias("runs"))
-    dealt = asked.join(runs, "via").select("via", F.pmod(F.xxhash64("node"), F.col("runs")).cast("int").alias("run"), F.lit(1 << 30).alias("place"), "node")
-    members = dealt.join(sets, "node").select("via", "run", "place", "node", "shingles")
-    pivots = runs.select("via", "runs", F.posexplode("via").alias("place", "node")).join(sets, "node")
-    pivots = pivots.select("via", F.explode(F.sequence(F.lit(0), F.col("runs") - 1)).alias("run"), "place", F.lit(None).cast("binary").alias("node"), "shingles")
-    return pivots.union(members).repartition("via", "run").sortWithinPartitions("via", "run", "place").mapInArrow(_with_pivots, COMPARED)
+    blocks = F.ceil(F.col("total") / BLOCK_HASHES).cast("int")
+    dealt = members.withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    dealt = dealt.select("band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "root", "node")
+    rows = dealt.join(sets, "node").select("band", "i", "j", "block", "root", "shingles")
+    return rows.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j", "block").mapInArrow(_within_blocks, "a binary, b binary")
 
 
 def components(links: DataFrame, scratch: Scratch) -> DataFrame:
@@ -209,30 +260,6 @@ def rarest(nodes: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
     return ranked.where(F.col("place") <= F.col("n") - F.ceil(SIMILARITY * F.col("n") - _NEAR_ZERO)).select("band", "node", "place")
 
 
-def _split_by(compared: DataFrame) -> DataFrame:
-    """(band, node, via, bare, inside, place): the smaller buckets that the members of a bucket fall into once they are compared with its pivot.
-
-    Let U be all hashes of the pivots in via, e(x) what x has besides U, and a and b alike. If they share a hash that U
-    lacks, then at least 0.8 |a| - |U & a| of them, so among the least 0.2 |a| + 1 of e(a) and those of e(b) there is a
-    common one, as in any prefix-filtered join: a key for each of these. place is how many of e(x) are less.
-
-    If they share hashes of U only, then |a & b| <= |U & b| and |a | b| >= |U & a| + e(a) + e(b), and the same the other
-    way round, so short(b) <= net(a) and short(a) <= net(b), where short(x) = 0.8 (|U| + e(x)) - |U & x| and net(x) =
-    0.8 (|U| - |U & x| - e(x)). One of them, b, is not alike with the last pivot, or both would be of its class. So a
-    key, bare, for those whom the least short of such a b and the most net allow that, among those of sizes near enough.
-    """
-    extra = F.col("size") - F.col("inside")
-    known = compared.select(
-        "node", "via", "alike", "extras", "inside", F.floor(F.log("size") / math.log(1 / SIMILARITY)).alias("level"),
-        (SIMILARITY * (F.col("size_u") + extra) - F.col("inside")).alias("short"), (SIMILARITY * (F.col("size_u") - F.col("inside") - extra)).alias("net"),
-    )
-    shared = known.select("via", "node", "inside", F.posexplode("extras").alias("place", "s")).select(F.xxhash64("via", "s").alias("band"), "node", "via", F.lit(False).alias("bare"), "inside", "place")
-    levels = known.drop("extras").withColumn("level", F.explode(F.array("level", F.col("level") + 1)))
-    reach = levels.groupBy("via", "level").agg(F.max("net").alias("most"), F.min(F.when(~F.col("alike"), F.col("short"))).alias("least")).where(f"least <= most + {_NEAR_ZERO}")
-    bare = levels.join(reach, ["via", "level"]).where(f"(not alike and short <= most + {_NEAR_ZERO}) or net >= least - {_NEAR_ZERO}")
-    return shared.union(bare.select(F.xxhash64("via", F.lit("bare"), "level").alias("band"), "node", "via", F.lit(True), "inside", F.lit(0)))
-
-
 def classes(docs: DataFrame) -> DataFrame:
     """(doc_id, node, class_id, root, worded) for each row of docs (doc_id, text), where node is the text's key, root the
     smallest node of its class and worded whether it has words.
@@ -246,11 +273,10 @@ def classes(docs: DataFrame) -> DataFrame:
     Equal texts are one node from the start. Signatures give each node its band keys; nodes that share one are a bucket,
     and a bucket's members are candidates for each other. First each node is compared, exactly, with one hub, the
     member of its buckets that meets most others: n comparisons join most of what is alike. A bucket whose members
-    are all of one class by then is done. In one of up to PAIRED members those of different classes are compared with
-    each other, unless their sizes and what is known of them rule a link out; in a larger one all are compared with a
-    pivot. Those left apart then meet by their rarest hashes (rarest), and where many still share one, a pivot splits them
-    into smaller buckets (_split_by), with which the same is done again, with a PAIRED four times as large. So a bucket of n costs a number of comparisons in
-    proportion to n a round, and no link between candidates is lost.
+    are all of one class by then is done. The members of one of up to PAIRED are sent together to a task that compares those of
+    different classes with each other and tells which classes meet (within_buckets); in a larger one all are compared
+    with a pivot, and those left apart then meet by their rarest hashes (rarest), in buckets that are compared block by block.
+    So no table has a row for each pair, and no link between candidates is lost.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark)
@@ -270,50 +296,45 @@ def classes(docs: DataFrame) -> DataFrame:
         return members.join(pivots, "band").where("node <> p.node")
 
     def apart(members: DataFrame, roots: DataFrame) -> DataFrame:
-        """The members whose band has several classes, with root and the band's number of members, m."""
-        placed = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        split = placed.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("m")).where("low <> high").select("band", "m")
-        return placed.join(split, "band")
-
-    hubs = scratch.cut(of_pivots(met.select("band", "node")).groupBy("node").agg(F.max("p").alias("p")).select("node", F.array("p.node").alias("via")), "hubs")
-    links = scratch.cut(with_pivots(hubs, sets).where("alike").select(F.col("node").alias("a"), F.element_at("via", -1).alias("b")), "hub-links")
+        """The members (band, node, n) whose band has several classes, with root and the band's number of members, m, and of hashes, total."""
+        placed = scratch.cut(members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "placed")
+        split = placed.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("m"), F.sum("n").alias("total")).where("low <> high").select("band", "m", "total")
+        left = scratch.cut(placed.join(split, "band"), "left")
+        scratch.drop(placed)
+        return left
+
+    def joined(roots: DataFrame, links: DataFrame) -> DataFrame:
+        """roots with those joined that links (a, b) of roots lead to."""
+        higher = components(links, scratch)
+        # A node that had no link until now is its own root.
+        more = roots.join(higher.select(F.col("node").alias("root"), F.col("root").alias("higher")), "root", "left").select("node", F.coalesce("higher", "root").alias("root"))
+        new = scratch.cut(more.union(higher.join(roots, "node", "left_anti")), "roots")
+        scratch.drop(higher, roots)
+        return new
+
+    hubs = scratch.cut(of_pivots(met.select("band", "node")).groupBy("node").agg(F.max("p").alias("p")).select("node", F.col("p.node").alias("pivot")), "hubs")
+    links = scratch.cut(with_pivots(hubs, sets), "hub-links")
     roots = components(links, scratch)
-    left = scratch.cut(apart(met.select("band", "node", F.array().cast("array<binary>").alias("via"), F.lit(False).alias("bare"), F.lit(0).alias("inside"), F.lit(0).alias("place")), roots), "left")
+    left = apart(met.select("band", "node", "n"), roots)
     scratch.drop(hubs, links, met)
-    turn = 0
-    while left.limit(1).count():
-        # Far fewer are left each time, and more is known of each.
-        paired = PAIRED * 4 ** max(0, turn - 1)
-        few = left.where(F.col("m") <= paired).join(nodes, "node").select("band", "node", "root", "n", "bare", "inside", "place")
-        other = few.select("band", *[F.col(c).alias(f"{c}_b") for c in ("node", "root", "n", "inside", "place")])
-        # Similarity 0.8 takes 0.8 / 1.8 of both sizes in common.
-        shared = F.least("inside", "inside_b") + F.least(F.col("n") - F.col("inside") - F.col("place"), F.col("n_b") - F.col("inside_b") - F.col("place_b"))
-        near = shared >= SIMILARITY / (1 + SIMILARITY) * (F.col("n") + F.col("n_b")) - _NEAR_ZERO
-        least = F.greatest("inside", "inside_b") + F.col("n") - F.col("inside") + F.col("n_b") - F.col("inside_b")
-        near &= ~F.col("bare") | (F.least("inside", "inside_b") >= SIMILARITY * least - _NEAR_ZERO)
-        pairs = few.join(other, "band").where((F.col("node") < F.col("node_b")) & (F.col("root") != F.col("root_b")) & near).select("node", F.array("node_b").alias("via"))
-        placed = scratch.cut(of_pivots(left.where(F.col("m") > paired).select("band", "node", "via")).select("band", "node", F.concat("via", F.array("p.node")).alias("via")), "placed")
-        asked = scratch.cut(pairs.union(placed.select("node", "via")).distinct(), "asked")
-        compared = scratch.cut(with_pivots(asked, sets), "compared")
-        alike = compared.where("alike").select(F.col("node").alias("a"), F.element_at("via", -1).alias("b"))
+    links = within_buckets(left.where(F.col("m") <= PAIRED), sets)
+    large = left.where(F.col("m") > PAIRED).select("band", "node", "n")
+    if large.limit(1).count():
+        asked = scratch.cut(of_pivots(large).select("node", F.col("p.node").alias("pivot")).distinct(), "asked")
+        alike = with_pivots(asked, sets)
         for side in ("a", "b"):
             alike = alike.join(roots.withColumnRenamed("node", side), side, "left").withColumn(side, F.coalesce("root", side)).drop("root")
-        higher = components(alike.where("a <> b"), scratch)
-        joined = roots.join(higher.select(F.col("node").alias("root"), F.col("root").alias("higher")), "root", "left").select("node", F.coalesce("higher", "root").alias("root"))
-        joined = joined.union(higher.join(roots, "node", "left_anti"))
-        old, roots = roots, scratch.cut(joined, "roots")
-        still = apart(placed, roots)
-        if not turn:
-            rest = rarest(still.select("node", "root").distinct(), sets, scratch).select("band", "node", F.array().cast("array<binary>").alias("via"), F.lit(False).alias("bare"), F.lit(0).alias("inside"), "place")
-        else:
-            rest = _split_by(compared.join(still.select("node", "via").distinct(), ["node", "via"])).distinct()
-        rest = scratch.cut(rest, "split")
-        turn += 1
-        scratch.drop(old, higher, left, placed, asked, compared)
-        left = scratch.cut(apart(rest, roots), "left")
-        scratch.drop(rest)
-    linked = banded.select("node", "first", (F.col("n") > 0).alias("worded")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    place = cut(linked.join(linked.groupBy("root").agg(F.min("first").alias("class_id")), "root"), "classes")
+        roots = joined(roots, links.union(alike.select("a", "b")))
+        still = apart(large, roots)
+        rest = rarest(still.select("node", "root").distinct(), sets, scratch).select("band", "node")
+        rest = apart(rest.join(nodes.select("node", "n"), "node"), roots)
+        links = within_buckets(rest, sets)
+    roots = joined(roots, links)
+    firsts = banded.select("node", "first", (F.col("n") > 0).alias("worded"))
+    # Nodes without a link are classes of their own.
+    of_class = roots.join(roots.join(firsts, "node").groupBy("root").agg(F.min("first").alias("class_id")), "root")
+    placed = firsts.join(of_class, "node", "left").select(F.coalesce("root", "node").alias("root"), "node", "first", "worded", F.when(F.col("root").isNull(), F.col("first")).otherwise(F.col("class_id")).alias("class_id"))
+    place = cut(placed, "classes")
     scratch.drop()
     return keyed.select("doc_id", "node").join(place, "node").select("doc_id", "node", F.when(F.col("worded"), F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"), "root", "worded")
 
