@@ -19,7 +19,7 @@ BANDS, ROWS = 32, 6
 REGISTERS = BANDS * ROWS
 #: Members of a bucket that are compared with its pivot in one run of rows; the pivot's set is sent once for each run.
 RUN = 256
-#: Members of a bucket that are compared with each other at once; in a larger one they are compared with one of them before.
+#: Members of a bucket that are compared with each other at once; in a larger one of several blocks they are compared with one of them before.
 PAIRED = 256
 #: Hashes of the sets in a block, about; members of a bucket are dealt to blocks, and two blocks are held in memory at once.
 BLOCK_HASHES = 1 << 18
@@ -273,8 +273,8 @@ def classes(docs: DataFrame) -> DataFrame:
     Equal texts are one node from the start. Signatures give each node its band keys; nodes that share one are a bucket,
     and a bucket's members are candidates for each other. First each node is compared, exactly, with one hub, the
     member of its buckets that meets most others: n comparisons join most of what is alike. A bucket whose members
-    are all of one class by then is done. The members of one of up to PAIRED are sent together to a task that compares those of
-    different classes with each other and tells which classes meet (within_buckets); in a larger one all are compared
+    are all of one class by then is done. The members of one of up to PAIRED, or of one block, are sent together to a task that compares those
+    of different classes with each other and tells which classes meet (within_buckets); in a larger one all are compared
     with a pivot, and those left apart then meet by their rarest hashes (rarest), in buckets that are compared block by block.
     So no table has a row for each pair, and no link between candidates is lost.
     """
@@ -317,8 +317,9 @@ def classes(docs: DataFrame) -> DataFrame:
     roots = components(links, scratch)
     left = apart(met.select("band", "node", "n"), roots)
     scratch.drop(hubs, links, met)
-    links = within_buckets(left.where(F.col("m") <= PAIRED), sets)
-    large = left.where(F.col("m") > PAIRED).select("band", "node", "n")
+    is_large = (F.col("m") > PAIRED) & (F.col("total") > BLOCK_HASHES)
+    links = within_buckets(left.where(~is_large), sets)
+    large = left.where(is_large).select("band", "node", "n")
     if large.limit(1).count():
         asked = scratch.cut(of_pivots(large).select("node", F.col("p.node").alias("pivot")).distinct(), "asked")
         alike = with_pivots(asked, sets)
