@@ -6,6 +6,7 @@ import re
 from collections import Counter, defaultdict
 from math import ceil
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -141,6 +142,44 @@ def test_collocations_of_nothing(nothing):
     assert rows_of(collocations.mine(nothing)) == []
 
 
+def test_passes_over_texts_do_not_grow_with_phrases(both, monkeypatch):
+    made, cut = [], collocations.cut
+    monkeypatch.setattr(collocations, "cut", lambda df, kind: made.append(kind) or cut(df, kind))
+    collocations.mine(both, 4, 300)
+    monkeypatch.setattr(collocations, "HEAVY", 700)
+    monkeypatch.setattr(collocations, "PHRASES", 9000)
+    collocations.mine(both, 4, 300)
+    assert made[: len(made) // 2] == made[len(made) // 2 :]
+
+
+def test_parts_of_long_pieces_count_each_phrase_once(monkeypatch):
+    monkeypatch.setattr(collocations, "CHUNK", 64)
+    r = random.Random(3)
+    pieces = [" ".join(r.choice(["a", "bb", "ccc", "d" * 70]) + r.choice(["", "", " ", "\t"]) for _ in range(n)) for n in (0, 1, 2, 3, 90, 5, 200, 1, 60)]
+    text = "".join(p + r.choice(".\n,") for p in pieces) + " e" * 100
+    batch = pa.RecordBatch.from_pydict({"lang": ["x", "x", "x"], "text": [text, None, "d" * 70 + "\n" + "bb " * 80]})
+    got, want = Counter(), Counter()
+    for _, data in collocations._together(batch):
+        begin, end, found = collocations._phrases("x", data)
+        for k, first, _ in found:
+            got.update(" ".join(data[begin[i] : end[i + k - 1]].decode().split()) for i in first)
+    for x in (text, "d" * 70 + "\n" + "bb " * 80):
+        for piece in re.split("[.,\n]", x):
+            w = piece.split()
+            want.update(" ".join(w[i : i + k]) for k in range(1, 5) for i in range(len(w) - k + 1))
+    assert got == want
+
+
+def test_words_of_equal_hashes_stay_apart(spark):
+    odd = "a"
+    for _ in range(12):  # this and its opposite have the same polynomial modulo 2^64
+        odd += odd.translate(str.maketrans("ab", "ba"))
+    pair = odd, odd.translate(str.maketrans("ab", "ba"))
+    df = spark.createDataFrame([(1, f"{pair[i % 5 > 2]} x {pair[i % 2]}.", "en") for i in range(40)], "doc_id long, text string, lang string").coalesce(1)
+    rows = rows_of(df)
+    assert set(map(tuple, rows_of(collocations.mine(df, 4, 300)))) == plain_phrases(rows, 4, 300)
+
+
 # --- 13 ---
 
 
